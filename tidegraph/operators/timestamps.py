@@ -155,9 +155,8 @@ def normalise_timestamps(events: DataFrame, sources: DataFrame, column: str = "c
     parsed = with_instant(joined, column, "_file_zone").drop("_file_zone", "_known")
     valid = F.col("instant_utc").isNotNull()
     canonical = F.coalesce(F.col(column).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"), F.lit(False))
-    return parsed.withColumns(
-        {
-            "outcome": F.when(valid, instant_text(F.col("instant_utc"))).otherwise(F.lit("invalid_timestamp")),
-            "already_normal": valid & canonical,
-        }
-    )
+    outcome = F.when(valid, instant_text(F.col("instant_utc"))).otherwise(F.lit("invalid_timestamp"))
+    # A generator of one row keeps later filters on these columns above it; pushed down, they would
+    # be written out once per use of every step of the cascade.
+    made = F.explode(F.array(F.struct("instant_utc", outcome.alias("outcome"), (valid & canonical).alias("already_normal"))))
+    return parsed.select(*events.columns, made.alias("_made")).select(*events.columns, "_made.*")
