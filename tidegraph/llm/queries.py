@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegraph.llm import neardup, survivor
+from tidegraph.llm import neardup, pii, survivor
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -16,6 +16,19 @@ def query(f):
     return f
 
 
+@query
+def p1_found(spark, d):
+    t = lambda name: table(spark, d, name)
+    return pii.found(t("graph_events"), t("normalized_records"), t("given_names"), t("lang_samples"))
+
+
+@query
+def p1_redacted(spark, d):
+    t = lambda name: table(spark, d, name)
+    rows = pii.both_sources(t("graph_events"), t("normalized_records"))
+    return pii.scan(rows, t("given_names"), t("lang_samples"), "text", redacted=True).where("spans > 0").drop("text")
+
+
 @query
 def p4_found(spark, d):
     pairs = neardup.similar_pairs(table(spark, d, "graph_events"), "text_hash", "cleaned_text")
