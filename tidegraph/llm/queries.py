@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegraph.llm import neardup, pii, survivor
+from tidegraph.llm import language, neardup, pii, survivor
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -29,6 +29,24 @@ def p1_redacted(spark, d):
     return pii.scan(rows, t("given_names"), t("lang_samples"), "text", redacted=True).where("spans > 0").drop("text")
 
 
+@query
+def p3_found(spark, d):
+    t = lambda name: table(spark, d, name)
+    rows = language.unlabelled(t("graph_events"), t("normalized_records"), t("lang_samples"))
+    return rows.select("source_table", "row_id", "segment_no", "lang")
+
+
+@query
+def p3_language_report(spark, d):
+    """Texts by the language their label names and the one found, with the mean confidence."""
+    t = lambda name: table(spark, d, name)
+    rows = language.detect(language.both_sources(t("graph_events"), t("normalized_records")), "text", t("lang_samples"))
+    first = F.get("segments", F.lit(0))
+    return rows.groupBy(
+        "source_table", "label", F.when(F.size("segments") == 1, first["lang"]).when(F.size("segments") > 1, F.lit("mixed")).alias("found")
+    ).agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(first["confidence"]), 3).alias("confidence"))
+
+
 @query
 def p4_found(spark, d):
     pairs = neardup.similar_pairs(table(spark, d, "graph_events"), "text_hash", "cleaned_text")
