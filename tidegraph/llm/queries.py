@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegraph.llm import language, neardup, pii, survivor
+from tidegraph.llm import language, neardup, pii, residue, survivor
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -68,6 +68,19 @@ def p5_consolidated(spark, d):
     return survivor.consolidate(table(spark, d, "normalized_records"))
 
 
+@query
+def p10_found(spark, d):
+    docs = residue.flagged(table(spark, d, "documents").select("doc_id", "text", "source"), "text", "source")
+    return docs.where("reason is not null").select("doc_id")
+
+
+@query
+def p10_clean_documents(spark, d):
+    """The documents without residue: the corpus that goes on."""
+    docs = residue.flagged(table(spark, d, "documents"), "text", "source")
+    return docs.where("reason is null").drop("reason")
+
+
 _POST = (
     "CASE WHEN regexp_replace(s, '[^0-9]', '', 'g') <> '' AND NOT regexp_matches(s, '[0-9]\\s*[.٫．]|[.٫．]\\s*[0-9]|[0-9]\\s*[eE]\\s*[+-]?\\s*[0-9]') "
     "THEN regexp_replace(s, '[^0-9]', '', 'g') END"
