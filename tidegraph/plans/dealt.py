@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegraph.operators import skew, timestamps
+from tidegraph.operators import drift, skew, timestamps
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -16,6 +16,21 @@ def query(f):
     return f
 
 
+@query
+def p2_found(spark, d):
+    return drift.changes(table(spark, d, "dataset_b_raw"))
+
+
+@query
+def p2_unified(spark, d):
+    return drift.unify(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"))
+
+
+@query
+def p2_alternatives(spark, d):
+    return drift.alternatives(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"))
+
+
 @query
 def p6_found(spark, d):
     done = timestamps.normalise_timestamps(table(spark, d, "graph_events").select("event_id", "source_file", "created_at_utc_iso"), table(spark, d, "calendar_sources"))
