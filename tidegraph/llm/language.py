@@ -22,11 +22,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import strip
+from tidegraph.session import ship
 
 LANGUAGES = ("en", "fa", "ar", "es", "pt", "tr", "de", "fr", "id")
 MAX_SAMPLES = 50_000
@@ -116,8 +117,8 @@ class Model:
         self.known = np.unique(self.owner)
         self.cache: dict[str, tuple] = {}
 
-    def word(self, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Of a word: products with all centroids, scores by language, its columns, and the square of its unseen part."""
+    def word(self, w: str) -> tuple[np.ndarray, float, np.ndarray, float]:
+        """Of a word: its row (scores by language, then products with all centroids), squared length, columns, and the square of its unseen part."""
         hit = self.cache.get(w)
         if hit is None:
             if len(self.cache) >= CACHED_WORDS:
@@ -127,40 +128,49 @@ class Model:
             missing = (len(gs) - len(at)) * self.unseen**2
             weights = self.idf[at]
             products = self.centroids[:, at] @ weights
-            length = np.sqrt((weights**2).sum() + missing) or 1.0
+            square = float((weights**2).sum() + missing)
             by_language = np.full(len(LANGUAGES), -1.0)
-            by_language[self.known] = np.maximum.reduceat(products, self.start[self.known]) / length
-            hit = self.cache[w] = (products, by_language * 10.0, at, missing)
+            by_language[self.known] = np.maximum.reduceat(products, self.start[self.known]) / (np.sqrt(square) or 1.0)
+            hit = self.cache[w] = (np.concatenate([by_language * 10.0, products]), square, at, missing)
         return hit
 
+    def _length(self, hits: list[tuple]) -> float:
+        columns, counts = np.unique(np.concatenate([h[2] for h in hits]), return_counts=True)
+        return float(np.sqrt(((counts * self.idf[columns]) ** 2).sum() + sum(h[3] for h in hits))) or 1.0
+
     def classify(self, words: list[str]) -> tuple[int, float, float]:
-        """Language index, cosine and confidence of the words taken as one text; -1 if rejected."""
+        """Language index, cosine and confidence of the words taken as one text; -1 if rejected.
+
+        Confidence is the lead over the second language, as a share of the cosine.
+        The cosine is exact where it is near ``REJECT`` and otherwise counts
+        n-grams shared by different words as different ones, which only raises it.
+        """
         hits = [self.word(w) for w in words]
         if not hits:
             return -1, 0.0, 0.0
-        products = np.sum([h[0] for h in hits], axis=0)
-        columns, counts = np.unique(np.concatenate([h[2] for h in hits]), return_counts=True)
-        length = np.sqrt(((counts * self.idf[columns]) ** 2).sum() + sum(h[3] for h in hits)) or 1.0
+        return self._nearest(hits, np.sum([h[0] for h in hits], axis=0)[len(LANGUAGES) :])
+
+    def _nearest(self, hits: list[tuple], products: np.ndarray) -> tuple[int, float, float]:
         best = np.full(len(LANGUAGES), -1.0)
-        best[self.known] = np.maximum.reduceat(products, self.start[self.known]) / length
+        best[self.known] = np.maximum.reduceat(products, self.start[self.known])
         first = int(best.argmax())
-        cosine = float(best[first])
-        rival = float(np.partition(best, -2)[-2])
+        top = float(best[first])
+        best[first] = -1.0
+        rival = max(float(best.max()), 0.0)
+        cosine = top / (sum(h[1] for h in hits) ** 0.5 or 1.0)
+        if cosine < 3 * REJECT:
+            cosine = top / self._length(hits)
         if cosine < REJECT:
             return -1, cosine, 0.0
-        return first, cosine, min(1.0, max(0.0, (cosine - max(rival, 0.0)) / cosine))
+        return first, cosine, min(1.0, max(0.0, (top - rival) / top))
 
     def stretches(self, words: list[str], min_words: int = MIN_WORDS, switch: float = SWITCH) -> list[tuple[int, int, int]]:
         """(language, first word, end) of the stretches in order; each has ``min_words`` words or is the only one."""
         if not words:
             return []
-        scores = np.array([self.word(w)[1] for w in words])
-        total = scores.sum(axis=0)
-        lead = int(total.argmax())
-        loss = scores.max(axis=1) - scores[:, lead]
-        if len(words) < 2 * min_words or loss.sum() <= switch:
-            return [(lead, 0, len(words))]
-        # the most a change can win: the best split of the losses
+        scores = np.array([self.word(w)[0] for w in words])[:, : len(LANGUAGES)]
+        if _one_language(scores, len(words), min_words, switch):
+            return [(int(scores.sum(axis=0).argmax()), 0, len(words))]
         cost = np.zeros(len(LANGUAGES))
         back = np.empty(scores.shape, dtype=np.int64)
         here = np.arange(len(LANGUAGES))
@@ -183,6 +193,14 @@ class Model:
         return runs
 
 
+def _one_language(scores: np.ndarray, n: int, min_words: int, switch: float) -> bool:
+    """Whether no path with a change can beat the one best language: the words lose less in it than a change costs."""
+    if n < 2 * min_words:
+        return True
+    lead = int(scores.sum(axis=0).argmax())
+    return float((scores.max(axis=1) - scores[:, lead]).sum()) <= switch
+
+
 def _runs(path: list[int]) -> list[tuple[int, int, int]]:
     out, a = [], 0
     for i in range(1, len(path) + 1):
@@ -222,9 +240,18 @@ def describe(model: Model, text: str | None, min_words: int = MIN_WORDS) -> list
     if not text or len(_ANY_WORD.findall(text)) < min_words:
         return []
     words = content_words(text)
+    if not words:
+        return []
     out: list[list] = []
-    for _, a, b in model.stretches(words, min_words):
-        lang, _, confidence = model.classify(words[a:b])
+    hits = [model.word(w) for w in words]
+    rows = np.array([h[0] for h in hits])
+    n = len(LANGUAGES)
+    if _one_language(rows[:, :n], len(words), min_words, SWITCH):
+        runs = [(0, 0, len(words))]
+    else:
+        runs = model.stretches(words, min_words)
+    for _, a, b in runs:
+        lang, _, confidence = model._nearest(hits[a:b], rows[a:b, n:].sum(axis=0))
         if lang < 0:
             continue
         if out and out[-1][0] == lang:
@@ -234,6 +261,7 @@ def describe(model: Model, text: str | None, min_words: int = MIN_WORDS) -> list
     return [(i + 1, LANGUAGES[lang], confidence, n) for i, (lang, confidence, n) in enumerate(out)]
 
 
+_SEGMENT = pa.struct([("segment_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())])
 _SEGMENTS = "array<struct<segment_no:int,lang:string,confidence:double,words:int>>"
 
 
@@ -243,13 +271,19 @@ def detect(df: DataFrame, text: str, samples: DataFrame, min_words: int = MIN_WO
     Texts that are NULL, too short or of no known language have an empty array.
     Texts are read whole; rows are neither moved nor merged.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(fit(samples))
+    shipped = ship(df.sparkSession).sparkContext.broadcast(fit(samples))
 
-    @F.pandas_udf(_SEGMENTS)
-    def segments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_SEGMENTS)
+    def segments(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shipped.value
         for batch in batches:
-            yield pd.Series([[dict(zip(("segment_no", "lang", "confidence", "words"), s)) for s in describe(model, t, min_words)] for t in batch], dtype=object)
+            ends, flat = [0], []
+            for t in batch.to_pylist():
+                flat += describe(model, t, min_words)
+                ends.append(len(flat))
+            columns = zip(*flat) if flat else ([], [], [], [])
+            values = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SEGMENT)], fields=list(_SEGMENT))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     return df.withColumn("segments", segments(F.col(text)))
 
