@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import DIGITS
+from tidegraph.session import ship
 
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 ACCEPT = 0.5
@@ -372,7 +373,7 @@ def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacte
     neither moved nor merged; columns of ``df`` keep their names.
     """
     given, common = knowledge(names, samples)
-    spark: SparkSession = df.sparkSession
+    spark: SparkSession = ship(df.sparkSession)
     shipped = spark.sparkContext.broadcast((given, common))
 
     if not redacted:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegraph.llm import language, neardup, pii, residue, survivor
+from tidegraph.llm import language, mixing, neardup, packing, pii, residue, survivor
+from tidegraph.llm.tokens import with_tokens
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -68,6 +69,32 @@ def p5_consolidated(spark, d):
     return survivor.consolidate(table(spark, d, "normalized_records"))
 
 
+@query
+def p8_containers(spark, d):
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    packed = packing.pack(packing.items(docs, table(spark, d, "container_sizes")))
+    return packed.select("container_kind", "container_id", "doc_id", "piece", "first_token", F.col("size").alias("tokens"))
+
+
+@query
+def p8_certificate(spark, d):
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return packing.certificate(packing.pack(packing.items(docs, table(spark, d, "container_sizes"))))
+
+
+@query
+def p9_mix(spark, d):
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text", "source"), "text")
+    return mixing.mix(docs, table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark, d):
+    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text", "source"), "text")
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(docs, targets), targets)
+
+
 @query
 def p10_found(spark, d):
     docs = residue.flagged(table(spark, d, "documents").select("doc_id", "text", "source"), "text", "source")

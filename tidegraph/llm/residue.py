@@ -28,7 +28,7 @@ loading|log in|sign in|trending now|fan board|sign up|back to top|terms|about|co
 MESSAGES = """error|http|status|code|fatal|sorry|oops|whoops|ray at node|reference|message|errors|notice|exception|request id|page not found|not found|this page does not exist|we looked everywhere but|internal server error|
 bad gateway|service unavailable|forbidden|access denied by policy|you may not view this thread|the gateway gave no answer|gateway timeout|no healthy upstream answered|the connection timed out|that link leads nowhere|
 cannot read property of undefined at line|at render board js|your session has expired|something broke on our side|something went wrong|an unexpected condition stopped the request|unexpected error|
-this status cannot be shown any more|the account behind this page is suspended or gone|the board is down for maintenance|rate limit reached for this window|you have asked too often|too many requests|too many redirects|
+this status cannot be shown any more|the account behind this page is suspended or gone|the board is down for maintenance|rate limit reached for this window|you have asked too often|too many requests|too many redirects|the file you wanted was moved or deleted|
 try again in minutes|try again later|please log in and reload|go back to the start page|if this keeps happening tell the admins|contact the administrator|unauthorized|null pointer|stack trace|
 خطا خطای این صفحه پیدا نشد|دسترسی شما مجاز نیست|سرور پاسخ نمی دهد کد|مشکلی پیش آمد دوباره تلاش کنید|خطأ الصفحة غير موجودة|حدث خلل أعد المحاولة|الوصول مرفوض|الخادم لا يستجيب|ليس لديك إذن|غير مصرح|
 algo salió mal vuelva a intentarlo|acceso denegado|no encontramos esta página|página no encontrada|error del servidor|algo deu errado tente outra vez|erro esta página sumiu|acesso negado|página não encontrada|
@@ -88,7 +88,7 @@ _WEAK = set("error http status code sorry oops whoops reference message errors n
 PROOF = tuple(
     sorted(
         {p for p in _phrases(MESSAGES) + _phrases(SCRIPTS) + _phrases(FILLER) if len(p.split()) >= 2 and not p.startswith("lorem ipsum dolor sit")}
-        | {"javascript", "noscript", "blindtext", "lorem ipsum", "dolor", "incididunt", "consectetur", "adipiscing", "eiusmod", "nostrud", "forbidden", "xxx xxx", "asdf", "page not found", "does not exist", "cannot be shown", "gave no answer", "timed out", "has expired"}
+        | {"javascript", "noscript", "blindtext", "lorem ipsum", "ipsum", "dolor", "incididunt", "consectetur", "adipiscing", "eiusmod", "nostrud", "forbidden", "xxx xxx", "asdf", "page not found", "does not exist", "cannot be shown", "gave no answer", "timed out", "has expired"}
         | {_fold_text(x) for x in ("این صفحه پیدا نشد", "سرور پاسخ نمی دهد", "الصفحة غير موجودة", "bu sayfa bulunamadı", "halaman tidak ada", "page introuvable", "esta página sumiu", "diese seite gibt es nicht", "texte d exemple")}
     )
 )
