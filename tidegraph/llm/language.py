@@ -285,7 +285,8 @@ def detect(df: DataFrame, text: str, samples: DataFrame, min_words: int = MIN_WO
             values = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SEGMENT)], fields=list(_SEGMENT))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    return df.withColumn("segments", segments(F.col(text)))
+    # as non-deterministic it is not evaluated once more for a filter on its result
+    return df.withColumn("segments", segments.asNondeterministic()(F.col(text)))
 
 
 def both_sources(events: DataFrame, records: DataFrame) -> DataFrame:
