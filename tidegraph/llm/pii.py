@@ -384,7 +384,8 @@ def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacte
             for batch in batches:
                 yield pd.Series([sorted({k for _, _, k in find(t, g, c)}) if t else [] for t in batch], dtype=object)
 
-        return df.withColumn("kinds", kinds(F.col(text)))
+        # as non-deterministic it is not evaluated once more for a filter on its result
+        return df.withColumn("kinds", kinds.asNondeterministic()(F.col(text)))
 
     @F.pandas_udf("clean_text string, spans int")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -393,7 +394,7 @@ def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacte
             found = [(t, find(t, g, c) if t else []) for t in batch]
             yield pd.DataFrame({"clean_text": [redact(t, f) if t else t for t, f in found], "spans": [len(f) for _, f in found]})
 
-    return df.withColumn("_clean", clean(F.col(text))).select(*df.columns, "_clean.*")
+    return df.withColumn("_clean", clean.asNondeterministic()(F.col(text))).select(*df.columns, "_clean.*")
 
 
 def both_sources(events: DataFrame, records: DataFrame) -> DataFrame:
