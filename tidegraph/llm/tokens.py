@@ -37,4 +37,4 @@ def with_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataF
         for batch in batches:
             yield pa.array([len(encode(t)) if t else 0 for t in batch.to_pylist()], pa.int64())
 
-    return df.withColumn("tokens", count(F.col(text)))
+    return df.withColumn("tokens", count.asNondeterministic()(F.col(text)))
