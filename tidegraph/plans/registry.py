@@ -1,6 +1,6 @@
 """All registered queries outside ``llm``."""
 
-from tidegraph.plans import dealt
+from tidegraph.plans import core, dealt, vectors
 
-QUERIES = {**dealt.QUERIES}
-SQL = {**dealt.SQL}
+QUERIES = {**core.QUERIES, **vectors.QUERIES, **dealt.QUERIES}
+SQL = {**core.SQL, **vectors.SQL, **dealt.SQL}
