@@ -17,6 +17,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.frames import carry, restore
 from tidegraph.functions.text import ascii_digits, strip
 
 FIRST_INSTANT = "2006-03-21 00:00:00"
@@ -142,21 +143,22 @@ def normalise_timestamps(events: DataFrame, sources: DataFrame, column: str = "c
     ``sources`` gives one ``timezone_assumption`` per ``source_file``; files it
     does not name are taken as UTC, of repeated names the smallest assumption
     holds. A zone-less time in a file whose assumption names no zone is invalid.
-    NULL, blank and unreadable values are invalid. The lookup is one row per
+    NULL, blank and unreadable values are invalid. Other columns pass through, save those
+    with the names of the three made ones, which are replaced. The lookup is one row per
     file; Spark broadcasts it when it is small and sorts otherwise.
     """
     zones = (
         sources.groupBy("source_file")
         .agg(F.min("timezone_assumption").alias("assumed"))
-        .select("source_file", default_zone(F.col("assumed")).alias("_file_zone"), F.lit(True).alias("_known"))
+        .select(F.col("source_file").alias("_file"), default_zone(F.col("assumed")).alias("_file_zone"), F.lit(True).alias("_known"))
     )
-    joined = events.join(zones, "source_file", "left")
+    joined = carry(events, _raw=F.col(f"`{column}`").cast("string"), _file="source_file").join(zones, "_file", "left")
     joined = joined.withColumn("_file_zone", F.when(F.col("_known"), F.col("_file_zone")).otherwise(F.lit("+00:00")))
-    parsed = with_instant(joined, column, "_file_zone").drop("_file_zone", "_known")
+    parsed = with_instant(joined, "_raw", "_file_zone")
     valid = F.col("instant_utc").isNotNull()
-    canonical = F.coalesce(F.col(column).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"), F.lit(False))
+    canonical = F.coalesce(F.col("_raw").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"), F.lit(False))
     outcome = F.when(valid, instant_text(F.col("instant_utc"))).otherwise(F.lit("invalid_timestamp"))
     # A generator of one row keeps later filters on these columns above it; pushed down, they would
     # be written out once per use of every step of the cascade.
     made = F.explode(F.array(F.struct("instant_utc", outcome.alias("outcome"), (valid & canonical).alias("already_normal"))))
-    return parsed.select(*events.columns, made.alias("_made")).select(*events.columns, "_made.*")
+    return restore(parsed.select("_row", made.alias("_made")).select("_row", "_made.*"), events, "instant_utc", "outcome", "already_normal")
