@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.frames import carry, restore
 from tidegraph.functions.text import DIGITS
 from tidegraph.session import ship
 
@@ -370,7 +371,7 @@ def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacte
     """``df`` with ``kinds`` (array of the types found) or, with ``redacted``, ``clean_text`` and ``spans`` (how many).
 
     NULL texts have no kinds and stay NULL; empty texts stay empty. Rows are
-    neither moved nor merged; columns of ``df`` keep their names.
+    neither moved nor merged; columns of ``df`` stay, save those with the names of the made ones.
     """
     given, common = knowledge(names, samples)
     spark: SparkSession = ship(df.sparkSession)
@@ -394,7 +395,8 @@ def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacte
             found = [(t, find(t, g, c) if t else []) for t in batch]
             yield pd.DataFrame({"clean_text": [redact(t, f) if t else t for t, f in found], "spans": [len(f) for _, f in found]})
 
-    return df.withColumn("_clean", clean.asNondeterministic()(F.col(text))).select(*df.columns, "_clean.*")
+    made = carry(df, _text=text).withColumn("_clean", clean.asNondeterministic()(F.col("_text"))).select("_row", "_clean.*")
+    return restore(made, df, "clean_text", "spans")
 
 
 def both_sources(events: DataFrame, records: DataFrame) -> DataFrame:

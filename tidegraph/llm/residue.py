@@ -22,6 +22,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.frames import carry, restore
+
 # Phrases of page furniture, messages, script notices and filler.
 FURNITURE = """accept all|menu|share|download the app|skip to main part|skip to content|dark mode|report|language auto|cookies help us run the board|help centre|help center|more options|
 loading|log in|sign in|trending now|fan board|sign up|back to top|terms|about|contact us|settings|privacy|privacy policy|who to follow|explore|home|search|reject|all rights reserved|cookie settings|next|previous"""
@@ -174,9 +176,12 @@ def flagged(df: DataFrame, text: str, host: str, address: str | None = None, rep
     repeated: a text of at most 12 words besides furniture, at least half of
     them known or with a title or address that does not fit its body, that occurs
     ``repeats`` times or more and on two hosts or more. Blank texts and NULL are content of length
-    zero: they have no reason. Missing hosts count as one host.
+    zero: they have no reason. Missing hosts count as one host. A column named reason is replaced.
     """
-    e = evidence(df, text, address)
+    needed = {"_text": F.col(text).cast("string"), "_from": F.coalesce(F.lower(F.trim(F.col(host).cast("string"))), F.lit(""))}
+    if address:
+        needed["_address"] = F.col(address).cast("string")
+    e = evidence(carry(df, **needed), "_text", "_address" if address else None)
     rest = F.col("known") + F.col("unknown")
     message = F.col("proof") & (F.col("known") > F.col("unknown")) & ((F.col("unknown") <= 2) | (F.col("unknown") * 10 <= rest))
     low = (rest > 0) & (rest <= 12) & (F.col("known") > 0) & ((F.col("known") >= F.col("unknown")) | (F.col("mismatch") & (F.col("known") * 3 >= rest)))
@@ -184,7 +189,7 @@ def flagged(df: DataFrame, text: str, host: str, address: str | None = None, rep
     doubtful = F.col("_first").isNull() & low
     again = (
         decided.where(doubtful)
-        .groupBy("signature", F.coalesce(F.lower(F.trim(F.col(host).cast("string"))), F.lit("")).alias("_host"))
+        .groupBy("signature", "_from")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("signature")
         .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_hosts"))
@@ -192,4 +197,4 @@ def flagged(df: DataFrame, text: str, host: str, address: str | None = None, rep
         .select("signature", F.lit(True).alias("_again"))
     )
     joined = decided.withColumn("_key", F.when(doubtful, F.col("signature"))).join(again.withColumnRenamed("signature", "_key"), "_key", "left")
-    return joined.withColumn("reason", F.coalesce("_first", F.when(F.col("_again"), "repeated"))).select(*df.columns, "reason")
+    return restore(joined.withColumn("reason", F.coalesce("_first", F.when(F.col("_again"), "repeated"))), df, "reason")
