@@ -97,14 +97,16 @@ def p9_shares(spark, d):
 
 @query
 def p10_found(spark, d):
-    docs = residue.flagged(table(spark, d, "documents").select("doc_id", "text", "source"), "text", "source")
+    ordinary = residue.ordinary_words(table(spark, d, "lang_samples"))
+    docs = residue.flagged(table(spark, d, "documents"), "text", "source", ordinary=ordinary, columns=["doc_id"])
     return docs.where("reason is not null").select("doc_id")
 
 
 @query
 def p10_clean_documents(spark, d):
     """The documents without residue: the corpus that goes on."""
-    docs = residue.flagged(table(spark, d, "documents"), "text", "source")
+    ordinary = residue.ordinary_words(table(spark, d, "lang_samples"))
+    docs = residue.flagged(table(spark, d, "documents"), "text", "source", ordinary=ordinary)
     return docs.where("reason is null").drop("reason")
 
 

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.frames import carry, restore
+from tidegraph.functions.frames import restore
+from tidegraph.session import written
 
 # Phrases of page furniture, messages, script notices and filler.
 FURNITURE = """accept all|menu|share|download the app|skip to main part|skip to content|dark mode|report|language auto|cookies help us run the board|help centre|help center|more options|
@@ -83,7 +85,7 @@ def _phrases(phrases: str) -> list[str]:
     return [p for p in (" ".join(re.findall(r"[^\W_]+", _fold_text(x))) for x in phrases.split("|")) if p]
 
 
-_NUMBER = r"^(?:[0-9]+|[0-9a-f]{8,}|[0-9]+[a-z]?)$"
+_NUMBERS = r" (?:[0-9]+[a-z]?|[0-9a-f]{8,})(?= )"
 #: Words of messages that also make up ordinary sentences and therefore prove nothing alone.
 _WEAK = set("error http status code sorry oops whoops reference message errors notice fatal hata not found forbidden js xxx test".split()) | {_fold_text(x) for x in "خطا خطای این صفحه پیدا نشد".split()}
 #: A text is a message only if it contains one of these phrases whole (folded, spaces between words).
@@ -127,74 +129,94 @@ SLOT = "|".join(
 )
 
 
-def evidence(df: DataFrame, text: str, address: str | None = None) -> DataFrame:
-    """``df`` with ``slots``, ``total``, ``furniture``, ``known``, ``unknown``, ``proof``, ``mismatch`` and ``signature``.
+#: What every slot begins with; the full patterns are tried only on texts that have it.
+_SLOT_MARK = r"[{}\[<]|@@|__|\*\||XX_|%[A-Z(]|\$[\p{L}{]|&lt;|«[^»\n]{0,24}(?:وارد|بنویسید|أدخل|ادخل|[a-z]{5} )"
 
-    ``total`` counts words other than numbers and hexadecimal ids, ``furniture``
-    those of page furniture, ``known`` the other ones of messages, notices and filler, ``unknown`` the
-    rest. ``proof``: a whole phrase of those occurs. ``mismatch``: no term of the
-    title (first line) or of the address slug occurs in the body. ``signature``
-    is that of the distinct words besides furniture. NULL texts count as empty.
+
+def ordinary_words(samples: DataFrame, most: int = 50_000) -> frozenset:
+    """The folded words of a small table of sample texts, whose size is checked first."""
+    texts = samples.select("text").where("text is not null").limit(most + 1).collect()
+    if len(texts) > most:
+        raise ValueError(f"more than {most} sample texts")
+    return frozenset(w for r in texts for w in re.findall(r"[^\W_]+", _fold_text(r.text)))
+
+
+def evidence(df: DataFrame, text: str, address: str | None = None, ordinary: Iterable[str] = ()) -> DataFrame:
+    """``df`` with ``slots``, ``total``, ``furniture``, ``known``, ``unknown``, ``strong``, ``proof``, ``mismatch`` and ``signature``.
+
+    Terms are a text's distinct words other than numbers and hexadecimal ids. ``total`` counts
+    them, ``furniture`` those of page furniture, ``known`` the other ones of messages, notices
+    and filler, ``unknown`` the rest. The last four are looked at only where they can matter, in texts of
+    which at least a third of the terms besides furniture are known: ``strong``, known terms that are not
+    among ``ordinary`` words; ``proof``, a whole phrase of those occurs;
+    ``mismatch``, no term of the title (first line) or of the address slug occurs in the body;
+    ``signature`` of the terms besides furniture. NULL texts count as empty.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    message_terms = set(_terms(MESSAGES)) | set(_terms(SCRIPTS)) | set(_terms(FILLER))
+    message_terms = set(_terms(MESSAGES)) | set(_terms(SCRIPTS)) | set(_terms(FILLER)) | {"html", "body", "h1", "h2", "p", "div", "span", "br", "errors", "notice", "message", "code", "head", "title"}
     furniture_terms = set(_terms(FURNITURE)) - message_terms
-    markup = {"html", "body", "h1", "h2", "p", "div", "span", "br", "errors", "notice", "message", "code", "head", "title"}
-    bare = F.regexp_replace(fold(whole), r"</?[a-z0-9]+>", " ")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    tokens = F.filter(F.split(F.trim(spaced), " "), lambda w: (w != "") & ~w.rlike(_NUMBER))
     phrases = "|".join(re.escape(p) for p in PROOF)
-    title = F.split(F.trim(F.regexp_replace(F.regexp_extract(bare, r"^\s*([^\n]*)\n", 1), r"[^\p{L}\p{N}]+", " ")), " ")
-    body = F.split(F.trim(F.regexp_replace(F.regexp_replace(bare, r"^\s*[^\n]*\n", ""), r"[^\p{L}\p{N}]+", " ")), " ")
-    apart = F.coalesce((F.size(F.array_remove(title, "")) > 0) & ~F.arrays_overlap(title, body), F.lit(False))
+    terms = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    words_of = lambda c: F.array_remove(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), "")
+    bare, spaced = F.col("_bare"), F.col("_spaced")
+    apart = ~F.arrays_overlap(words_of(F.regexp_extract(bare, r"^\s*([^\n]*)\n", 1)), words_of(F.regexp_replace(bare, r"^\s*[^\n]*\n", "")))
+    apart = bare.rlike(r"^\s*[^\n]*[\p{L}\p{N}][^\n]*\n") & F.coalesce(apart, F.lit(False))
     if address:
-        slug = F.split(F.trim(F.regexp_replace(fold(F.regexp_extract(F.coalesce(F.col(address), F.lit("")), r"([^/?#]*)/?(?:[?#].*)?$", 1)), r"[^\p{L}\p{N}]+", " ")), " ")
-        apart = apart | F.coalesce((F.size(F.array_remove(slug, "")) > 0) & ~F.arrays_overlap(slug, F.split(F.trim(spaced), " ")), F.lit(False))
+        slug = words_of(fold(F.regexp_extract(F.coalesce(F.col(address), F.lit("")), r"([^/?#]*)/?(?:[?#].*)?$", 1)))
+        apart = apart | ((F.size(slug) > 0) & F.coalesce(~F.arrays_overlap(slug, F.split(F.trim(spaced), " ")), F.lit(False)))
+    likely = (F.col("known") > 0) & (F.col("known") * 3 >= F.col("known") + F.col("unknown"))
     return (
-        df.withColumns(
+        df.withColumn("_bare", F.regexp_replace(fold(whole), r"</?[a-z0-9]+>", " "))
+        .withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+        .withColumn("_terms", F.array_distinct(F.array_remove(F.split(F.trim(F.regexp_replace(spaced, _NUMBERS, "")), " +"), "")))
+        .withColumn("_rest", F.array_except("_terms", terms(furniture_terms)))
+        .withColumns({"total": F.size("_terms"), "furniture": F.size("_terms") - F.size("_rest"), "unknown": F.size(F.array_except("_rest", terms(message_terms)))})
+        .withColumn("known", F.size("_rest") - F.col("unknown"))
+        .withColumns(
             {
-                "slots": F.regexp_count(F.regexp_replace(whole, _TALK, " "), F.lit(SLOT)),
-                "_tokens": tokens,
-                "proof": spaced.rlike(rf" (?:{phrases}) "),
-                "mismatch": apart,
+                "strong": F.when(likely, F.size(F.array_intersect("_rest", terms(message_terms - set(ordinary))))).otherwise(0),
+                "slots": F.when(whole.rlike(_SLOT_MARK), F.regexp_count(F.regexp_replace(whole, _TALK, " "), F.lit(SLOT))).otherwise(0),
+                "proof": F.when(likely, spaced.rlike(rf" (?:{phrases}) ")).otherwise(False),
+                "mismatch": F.when(likely, apart).otherwise(False),
+                "signature": F.when(likely, F.xxhash64(F.array_sort("_rest"))),
             }
         )
-        .withColumn("total", F.size("_tokens"))
-        .withColumn("furniture", F.size(F.filter("_tokens", lambda w: w.isin(*sorted(furniture_terms)))))
-        .withColumn("known", F.size(F.filter("_tokens", lambda w: w.isin(*sorted(message_terms | markup)))))
-        .withColumn("unknown", F.col("total") - F.col("furniture") - F.col("known"))
-        .withColumn("signature", F.xxhash64(F.array_sort(F.array_distinct(F.filter("_tokens", lambda w: ~w.isin(*sorted(furniture_terms)))))))
-        .drop("_tokens")
+        .drop("_bare", "_spaced", "_terms", "_rest")
     )
 
 
-def flagged(df: DataFrame, text: str, host: str, address: str | None = None, repeats: int = 3) -> DataFrame:
-    """``df`` with ``reason``: 'slot', 'message', 'repeated' or NULL (content).
+def flagged(df: DataFrame, text: str, host: str, address: str | None = None, repeats: int = 3, ordinary: Iterable[str] = (), columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all of them by default) with ``reason``: 'slot', 'message', 'repeated' or NULL (content).
 
     message: a whole phrase of a message, notice or filler occurs and almost
-    nothing else does: at most two unknown words, or a tenth, of more known ones.
-    repeated: a text of at most 12 words besides furniture, at least half of
-    them known or with a title or address that does not fit its body, that occurs
+    nothing else does: at most two unknown terms, or a tenth, beside more known ones.
+    repeated: a text of at most 12 terms besides furniture, at least two of them and a
+    third strong (half of them without a title or address that does not fit its body), that occurs
     ``repeats`` times or more and on two hosts or more. Blank texts and NULL are content of length
     zero: they have no reason. Missing hosts count as one host. A column named reason is replaced.
     """
     needed = {"_text": F.col(text).cast("string"), "_from": F.coalesce(F.lower(F.trim(F.col(host).cast("string"))), F.lit(""))}
     if address:
         needed["_address"] = F.col(address).cast("string")
-    e = evidence(carry(df, **needed), "_text", "_address" if address else None)
+    kept = df.select(*[F.col(f"`{c}`") for c in (columns or df.columns)])
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
+    e = evidence(df.select(row, *[c.alias(name) for name, c in needed.items()]), "_text", "_address" if address else None, ordinary)
     rest = F.col("known") + F.col("unknown")
     message = F.col("proof") & (F.col("known") > F.col("unknown")) & ((F.col("unknown") <= 2) | (F.col("unknown") * 10 <= rest))
-    low = (rest > 0) & (rest <= 12) & (F.col("known") > 0) & ((F.col("known") >= F.col("unknown")) | (F.col("mismatch") & (F.col("known") * 3 >= rest)))
-    decided = e.withColumn("_first", F.when(F.col("slots") > 0, "slot").when(message, "message"))
-    doubtful = F.col("_first").isNull() & low
+    strong = F.col("strong")
+    low = (rest <= 12) & (strong >= 2) & ((strong * 2 >= rest) | (F.col("mismatch") & (strong * 3 >= rest)))
+    first = F.when(F.col("slots") > 0, "slot").when(message, "message")
+    # the evidence is used twice, so it is written once
+    decided = written(e.select("_row", "_from", "signature", first.alias("_first"), low.alias("_low")), "residue")
+    doubtful = F.col("_first").isNull() & F.col("_low")
+    unsure = decided.where(doubtful)
     again = (
-        decided.where(doubtful)
-        .groupBy("signature", "_from")
+        unsure.groupBy("signature", "_from")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("signature")
         .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_hosts"))
         .where((F.col("_n") >= repeats) & (F.col("_hosts") >= 2))
-        .select("signature", F.lit(True).alias("_again"))
+        .select("signature", F.lit("repeated").alias("reason"))
     )
-    joined = decided.withColumn("_key", F.when(doubtful, F.col("signature"))).join(again.withColumnRenamed("signature", "_key"), "_key", "left")
-    return restore(joined.withColumn("reason", F.coalesce("_first", F.when(F.col("_again"), "repeated"))), df, "reason")
+    clear = decided.where(~doubtful).select("_row", F.col("_first").alias("reason"))
+    return restore(clear.unionByName(unsure.join(again, "signature", "left").select("_row", "reason")), kept, "reason")
