@@ -1,11 +1,12 @@
 """Filling containers of fixed capacity with texts (problem 8).
 
 Bound-certified repacking. Items are spread over groups of bounded size, each
-group is packed by best-fit decreasing, and a lower bound from dual feasible
-functions says how many containers that group needs at least. Groups that meet
-their bound are certified and done; the others give up their containers that
-are not full, exchange those items pairwise and pack them again, keeping the
-better of the old and the new packing.
+group is packed by best-fit decreasing, and lower bounds from dual feasible
+functions say how many containers a group, and all items of a kind, need at
+least. A kind that meets its bound is certified and done; of the others,
+groups with a gap give up their containers that are not full, and all groups
+those with much room, exchange these items pairwise and pack them again,
+keeping the better of the old and the new packing.
 
 A text is cut only if it exceeds the capacity: into full containers and one rest
 that is packed like any other item.
@@ -23,6 +24,8 @@ from tidegraph.session import ship, written
 #: Items a group holds on average; a task packs one group.
 GROUP_ITEMS = 20_000
 ROUNDS = 3
+#: Containers filled to less than this share are given up for an exchange even in groups that meet their bound.
+LOOSE = 0.98
 MAX_KINDS = 1_000
 
 
@@ -128,17 +131,17 @@ def pack(item: DataFrame, key: str = "doc_id", group_items: int = GROUP_ITEMS, r
     rows = item.withColumns({"grp": grp, "round": F.lit(0), "container_id": F.lit(None).cast("string"), "fill": F.lit(0).cast("bigint"), "gap": F.lit(0).cast("bigint")})
     names = rows.columns
     packed = written(rows.groupBy("container_kind", "grp").applyInPandas(_pack_group, schema), "packed")
-    done = None
+    done = packed.limit(0).select(names)
     for r in range(1, rounds + 1):
-        free = packed.where((F.col("gap") > 0) & (F.col("fill") < F.col("capacity")))
-        kept = packed.where((F.col("gap") <= 0) | (F.col("fill") >= F.col("capacity"))).select(names)
-        done = kept if done is None else done.unionByName(kept)
-        groups = free.select("container_kind", "grp").distinct().count()
-        if groups < 2:
-            return done.unionByName(free.select(names)).select(*item.columns, "container_id", "fill")
-        # two groups with gaps meet; the distance between them doubles each round
+        open_kinds = [c.container_kind for c in certificate(done.unionByName(packed.select(names))).where("containers > least_containers").select("container_kind").collect()]
+        if not open_kinds:
+            break
+        slack = (F.col("fill") < F.col("capacity")) & ((F.col("gap") > 0) | (F.col("fill") < F.col("capacity") * LOOSE))
+        free = F.coalesce(F.col("container_kind").isin(open_kinds), F.lit(False)) & slack
+        done = done.unionByName(packed.where(~free).select(names))
+        # two groups meet; the distance between them doubles each round
         meet = F.col("grp") - F.pmod(F.floor(F.col("grp") / F.lit(2 ** (r - 1))), F.lit(2)) * F.lit(2 ** (r - 1))
-        again = free.withColumns({"grp": meet.cast("bigint"), "round": F.lit(r)}).select(names)
+        again = packed.where(free).withColumns({"grp": meet.cast("bigint"), "round": F.lit(r)}).select(names)
         packed = written(again.groupBy("container_kind", "grp").applyInPandas(_pack_group, schema), "packed")
     return done.unionByName(packed.select(names)).select(*item.columns, "container_id", "fill")
 
