@@ -87,3 +87,47 @@ SELECT account_id, CAST(sum(nl * nr) AS BIGINT) AS rows, CAST(sum(cl * nr) AS BI
 FROM (SELECT account_id, count(*) AS nl, sum(chars) AS cl FROM w WHERE account_id IS NOT NULL GROUP BY 1)
 JOIN (SELECT account_id, count(*) AS nr, sum(chars_in) AS cr FROM g WHERE account_id IS NOT NULL GROUP BY 1) USING (account_id) GROUP BY account_id
 """
+
+_INSTANTS = r"""
+WITH z AS (SELECT source_file, min(timezone_assumption) AS a FROM calendar_sources GROUP BY 1),
+f AS (SELECT source_file, CASE WHEN a IS NULL OR upper(trim(a)) IN ('', 'UTC', 'GMT', 'Z') THEN '+00:00' WHEN regexp_matches(a, '^[A-Za-z]+/') THEN a
+  ELSE regexp_extract(a, '([+-])', 1) || lpad(regexp_extract(a, '[+-](\d{1,2})', 1), 2, '0') || ':' || CASE WHEN a LIKE '%:%' THEN right(a, 2) ELSE '00' END END AS zone FROM z),
+t AS (SELECT event_id, e.source_file, created_at_utc_iso AS raw, coalesce(zone, '+00:00') AS zone, regexp_replace(trim(translate(created_at_utc_iso, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '^[A-Z][a-z]{2} ([A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2}) ([+-]\d{4}) (\d{4})$', '\1 \3\2') AS s FROM graph_events e LEFT JOIN f USING (source_file)),
+u AS (SELECT *, CASE WHEN regexp_matches(s, '[AP]M$') OR NOT regexp_matches(s, '\d:?\d{2}') THEN '' ELSE regexp_extract(s, '( ?[A-Z]{1,4}|(?:\d{2}:\d{2}(?:\.\d+)?|\d{2}:\d{2} ?| \d{4})[ ]?[+-]\d{2}:?\d{2})$', 1) END AS tail FROM t),
+v AS (SELECT *, CASE WHEN regexp_matches(tail, '[+-]') THEN regexp_extract(tail, '([+-]\d{2}:?\d{2})$', 1) ELSE trim(tail) END AS w FROM u),
+x AS (SELECT *, CASE w WHEN '' THEN NULL WHEN 'Z' THEN '+00:00' WHEN 'UTC' THEN '+00:00' WHEN 'GMT' THEN '+00:00' WHEN 'CET' THEN '+01:00' WHEN 'CEST' THEN '+02:00' WHEN 'KST' THEN '+09:00' WHEN 'EST' THEN '-05:00' WHEN 'EDT' THEN '-04:00' WHEN 'PST' THEN '-08:00'
+  ELSE CASE WHEN regexp_matches(w, '^[+-]') THEN left(w, 3) || ':' || right(w, 2) END END AS written, rtrim(left(s, length(s) - length(w))) AS base FROM v),
+y AS (SELECT *, CASE WHEN w <> '' AND written IS NULL THEN NULL ELSE try_strptime(base, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d', '%Y/%m/%d %H:%M:%S', '%d.%m.%Y %H:%M', '%m/%d/%Y %I:%M %p', '%b %d %H:%M:%S %Y', '%a, %d %b %Y %H:%M:%S', '%d %B %Y, %H:%M', '%Y%m%dT%H%M%S']) END AS local, coalesce(written, zone) AS zz FROM x),
+g AS (SELECT *, CASE WHEN regexp_full_match(s, '-?\d+(\.\d+)?') THEN make_timestamp(CAST(floor(CAST(s AS DECIMAL(28, 6)) * CASE WHEN abs(CAST(s AS DOUBLE)) < 1e11 THEN 1000000 WHEN abs(CAST(s AS DOUBLE)) < 1e14 THEN 1000 ELSE 1 END) AS BIGINT))
+  WHEN local IS NULL THEN NULL WHEN regexp_matches(zz, '^[+-]') THEN local - to_minutes(CAST((CASE WHEN zz LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(zz, 2, 2) AS INTEGER) * 60 + CAST(substr(zz, 5, 2) AS INTEGER)) AS INTEGER))
+  ELSE CAST(timezone('UTC', CASE WHEN timezone(zz, timezone(zz, local) - INTERVAL 1 HOUR) = local THEN timezone(zz, local) - INTERVAL 1 HOUR ELSE timezone(zz, local) END) AS TIMESTAMP) END AS i FROM y),
+o AS (SELECT event_id, source_file, CASE WHEN i >= TIMESTAMP '2006-03-21' AND i < TIMESTAMP '2026-07-01' THEN strftime(i, '%Y-%m-%dT%H:%M:%S.%fZ') ELSE 'invalid_timestamp' END AS outcome, coalesce(regexp_full_match(raw, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00'), false) AS form FROM g)
+"""
+SQL["p6_found"] = _INSTANTS + "SELECT event_id, outcome FROM o WHERE NOT (form AND outcome <> 'invalid_timestamp')"
+SQL["p6_invalid_by_file"] = _INSTANTS + (
+    "SELECT source_file, count(*) AS rows_inspected, count(*) FILTER (outcome = 'invalid_timestamp') AS invalid_timestamp, count(*) FILTER (form AND outcome <> 'invalid_timestamp') AS already_normal FROM o GROUP BY 1"
+)
+
+_COLUMNS = r"""
+WITH c AS (SELECT feed_id, file_seq, source_file, source_row_number, record_json AS j, unnest(json_keys(record_json)) AS name, unnest(range(len(json_keys(record_json)))) AS place FROM dataset_b_raw),
+d AS (SELECT *, json_extract(j, '$."' || name || '"') AS v FROM c),
+k AS (SELECT * EXCLUDE (v, j), md5(j) AS h, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'fraction' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'integer' END AS type, json_extract_string(j, '$."' || name || '"') AS x FROM d),
+n AS (SELECT feed_id, file_seq, source_file, name, type, count(*) AS n, max(place) AS place, count(*) FILTER (regexp_full_match(x, '\d{15,20}')) AS ids FROM k GROUP BY ALL),
+p AS (SELECT feed_id, file_seq, source_file, name, max(place) AS place, arg_min(type, {'n': -n, 't': type}) FILTER (type IS NOT NULL) AS type, sum(n) FILTER (type IS NOT NULL) AS rows, sum(ids) AS ids FROM n GROUP BY ALL),
+s AS (SELECT *, lag(source_file) OVER (PARTITION BY feed_id ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed_id, file_seq, source_file FROM dataset_b_raw)),
+i AS (SELECT source_file, arg_min(name, place) AS name FROM p WHERE ids * 2 > rows GROUP BY 1),
+r AS (SELECT DISTINCT k.source_file, source_row_number, h, x AS post FROM k JOIN i ON i.source_file = k.source_file AND i.name = k.name WHERE regexp_full_match(x, '\d{15,20}')),
+m AS (SELECT k.source_file, post, name, min(x) AS x FROM k JOIN r USING (source_file, source_row_number, h) GROUP BY ALL),
+f AS (SELECT s.source_file, s.prev, coalesce(a.name, b.name) AS name, a.place AS place, b.place AS prev_place, a.type AS type, b.type AS prev_type FROM s JOIN LATERAL (SELECT DISTINCT name FROM p WHERE p.source_file IN (s.source_file, s.prev)) q ON true
+  LEFT JOIN p a ON a.source_file = s.source_file AND a.name = q.name LEFT JOIN p b ON b.source_file = s.prev AND b.name = q.name WHERE s.prev IS NOT NULL),
+e AS (SELECT g.source_file, g.name AS old, w.name AS new, count(*) FILTER (mo.x = mn.x) AS equal, count(*) FILTER (mo.x IS NOT NULL OR mn.x IS NOT NULL) AS compared FROM f g JOIN m mo ON mo.source_file = g.prev AND mo.name = g.name JOIN f w ON w.source_file = g.source_file AND w.prev_place IS NULL
+  JOIN m mn ON mn.source_file = w.source_file AND mn.name = w.name AND mn.post = mo.post WHERE g.place IS NULL GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file, old ORDER BY equal / compared DESC, equal DESC, new) AS a, row_number() OVER (PARTITION BY source_file, new ORDER BY equal / compared DESC, equal DESC, old) AS b FROM e WHERE equal > 0 AND equal * 10 >= compared * 6) WHERE a = 1 AND b = 1),
+l AS (SELECT f.source_file, f.name, f.place, f.prev_place, f.type, f.prev_type, false AS renamed FROM f WHERE place IS NOT NULL AND prev_place IS NOT NULL
+  UNION ALL SELECT t.source_file, t.new, w.place, g.prev_place, w.type, g.prev_type, true FROM t JOIN f w ON w.source_file = t.source_file AND w.name = t.new JOIN f g ON g.source_file = t.source_file AND g.name = t.old),
+o AS (SELECT source_file, list(name ORDER BY place) <> list(name ORDER BY prev_place) AS moved FROM l GROUP BY 1)
+SELECT source_file, 'removed' AS change_type, name AS column_name FROM f WHERE place IS NULL AND (source_file, name) NOT IN (SELECT (source_file, old) FROM t)
+UNION ALL SELECT source_file, 'added', name FROM f WHERE prev_place IS NULL AND (source_file, name) NOT IN (SELECT (source_file, new) FROM t)
+UNION ALL SELECT source_file, 'renamed', new FROM t UNION ALL SELECT source_file, 'retyped', name FROM l WHERE type <> prev_type UNION ALL SELECT source_file, 'reordered', '*' FROM o WHERE moved
+"""
+SQL["p2_found"] = _COLUMNS
