@@ -84,3 +84,11 @@ def test_config_and_schemas(spark, tmp_path):
     assert exact_columns(["a", "b"], ("a", "c")) == {"matches": False, "missing": ["c"], "unexpected": ["b"]}
     assert required_columns(["a", "b"], ("b",)) == {"b": 1}
     assert mismatches(spark.createDataFrame([], EVENTS), EVENTS) == []
+
+
+def test_strip_of_long_inner_runs(spark):
+    import time
+
+    began = time.time()
+    got = values(spark, ["a" + " " * 200_000 + "b ", " " * 200_000], text.strip(F.col("x")))
+    assert len(got[0][0]) == 200_002 and got[1][0] == "" and time.time() - began < 30

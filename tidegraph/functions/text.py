@@ -20,7 +20,8 @@ DIGITS = (
 
 def strip(c: Column) -> Column:
     """Without white space at either end, U+00A0 and other Unicode spaces included."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    # the look-behind keeps long inner runs from being tried from each of their places
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def ascii_digits(c: Column) -> Column:
