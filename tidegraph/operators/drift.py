@@ -28,23 +28,18 @@ SAME_TENTHS = 6
 
 
 def cells(raw: DataFrame) -> DataFrame:
-    """One row per JSON key of each row: file, row, hash of its content, place (from 0), name, text (NULL for null) and type.
+    """One row per JSON key of each row (of a key given twice both): file, row, hash of its content, place (from 0), name, text (NULL for null) and type.
 
     type is string, integer, fraction, boolean, object or array, NULL for null. Rows
     whose record_json is NULL, no JSON or no object have no cells.
     """
     j = F.col("record_json")
-    keys = F.json_object_keys(j)
-    parsed = raw.select(
-        *FILE,
-        "source_row_number",
-        F.xxhash64(j).alias("row_hash"),
-        F.posexplode(keys).alias("place", "name"),
-        F.from_json(j, "map<string,string>").alias("texts"),
-        F.from_json(j, "map<string,variant>").alias("values"),
-    )
-    tag = F.schema_of_variant(F.element_at("values", F.col("name")))
-    text = F.element_at("texts", F.col("name"))
+    # both maps hold the keys in the order of the text, so the cells need no look-up by key
+    maps = raw.select(*FILE, "source_row_number", F.xxhash64(j).alias("row_hash"), F.from_json(j, "map<string,string>").alias("t"), F.from_json(j, "map<string,variant>").alias("v"))
+    zipped = F.arrays_zip(F.map_keys("t").alias("name"), F.map_values("t").alias("text"), F.map_values("v").alias("value"))
+    parsed = maps.select(*FILE, "source_row_number", "row_hash", F.posexplode(zipped).alias("place", "c"))
+    tag = F.schema_of_variant("c.value")
+    text = F.col("c.text")
     number = F.when(text.rlike(r"[.eE]"), "fraction").otherwise("integer")
     kind = (
         F.when(text.isNull() | (tag == "VOID"), F.lit(None).cast("string"))
@@ -54,7 +49,7 @@ def cells(raw: DataFrame) -> DataFrame:
         .when(tag.startswith("ARRAY"), "array")
         .otherwise(number)
     )
-    return parsed.select(*FILE, "source_row_number", "row_hash", "place", "name", text.alias("text"), kind.alias("type"))
+    return parsed.select(*FILE, "source_row_number", "row_hash", "place", F.col("c.name").alias("name"), text.alias("text"), kind.alias("type"))
 
 
 def profiles(cell: DataFrame) -> DataFrame:
@@ -72,6 +67,12 @@ def profiles(cell: DataFrame) -> DataFrame:
     )
 
 
+def read_once(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and profiles as written tables: both are used several times, the texts are parsed once."""
+    cell = written(cells(raw), "cells")
+    return cell, written(profiles(cell), "profiles")
+
+
 def successions(raw: DataFrame) -> DataFrame:
     """One row per file that has a file before it in its feed: the file and prev_seq, prev_file.
 
@@ -155,8 +156,8 @@ def changes(raw: DataFrame) -> DataFrame:
     removed, added, renamed, retyped (a type on both sides, another one than before)
     and reordered (column_name '*'). Rows read twice change nothing.
     """
-    cell = cells(raw)
-    links = written(column_links(raw, cell, profiles(cell)), "links")
+    cell, profile = read_once(raw)
+    links = written(column_links(raw, cell, profile), "links")
     paired = F.col("name").isNotNull() & F.col("prev_name").isNotNull()
     change = F.filter(
         F.array(
@@ -219,8 +220,7 @@ def unify(raw: DataFrame, contract: DataFrame) -> DataFrame:
     conflict is a typed branch beside the canonical value. Columns outside the contract are in ``extras``.
     """
     wanted = [(r.column_name, r.json_type) for r in contract.select("column_name", "json_type", "column_position").distinct().orderBy("column_position").limit(10_000).collect()]
-    cell = cells(raw)
-    profile = profiles(cell)
+    cell, profile = read_once(raw)
     names = canonical_names(written(column_links(raw, cell, profile), "links"), profile, contract)
     named = cell.join(names, ["feed_id", "source_file", "name"])
     types = dict(wanted)
@@ -239,8 +239,7 @@ def unify(raw: DataFrame, contract: DataFrame) -> DataFrame:
 
 def alternatives(raw: DataFrame, contract: DataFrame) -> DataFrame:
     """The union of types per column: feed_id, canonical, type, values, files, first_seq (where the alternative appears)."""
-    cell = cells(raw)
-    profile = profiles(cell)
+    cell, profile = read_once(raw)
     names = canonical_names(written(column_links(raw, cell, profile), "links"), profile, contract)
     return (
         cell.where("type is not null")
