@@ -66,3 +66,12 @@ def test_rest_of_the_text_stays(spark):
     assert got[5].clean_text.endswith("z [EMAIL]")
     assert [r.kinds for r in pii.scan(df, names, samples, "t").orderBy("id").collect()] == [["email"], [], [], [], ["email"]]
     assert pii.scan(df.limit(0), names, samples, "t").count() == 0
+
+
+@pytest.mark.parametrize("text", ["z" * 300_000, "9" * 300_000, "a.b" * 100_000, "- " * 100_000, "Clara " * 50_000, "+1 " * 60_000, "x" + " " * 200_000 + "y", "@" * 200_000, "calle " * 30_000 + "7"])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.find(text, GIVEN, COMMON)
+    assert time.process_time() - began < 20

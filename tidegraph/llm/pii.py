@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -277,12 +278,13 @@ def find(text: str, given: frozenset, common: frozenset) -> list[tuple[int, int,
     s = made.translate(_SAME_LENGTH)
     spans: list[tuple[int, int, str]] = []
 
-    def taken(a: int, b: int) -> bool:
-        return any(x < b and a < y for x, y, _ in spans)
+    def taken(a: int, b: int) -> bool:  # the spans are kept in order and apart, so only two of them can meet it
+        i = bisect_left(spans, (a,))
+        return (i < len(spans) and spans[i][0] < b) or (i > 0 and spans[i - 1][1] > a)
 
     def add(a: int, b: int, kind: str) -> None:
-        if not taken(a, b):
-            spans.append((a, b, kind))
+        if a < b and not taken(a, b):
+            insort(spans, (a, b, kind))
 
     low = s.lower()
     if "@" in s:
@@ -332,10 +334,13 @@ def find(text: str, given: frozenset, common: frozenset) -> list[tuple[int, int,
             names(pattern, weak, False)
     if " from my old school" in low or " az madrese" in low or " de mi escuela" in low:
         names(_THEN_NAMED, False, True)
-    hidden = [q.span() for q in _QUOTED.finditer(s)]
+    hidden: list[tuple[int, int]] | None = None
     for m in _CAPITALS.finditer(s):
-        if m["g"].lower() in given and m["f"].lower() not in common and not any(a <= m.start() < b for a, b in hidden):
-            add(m.start(), m.end(), "person_name")
+        if m["g"].lower() in given and m["f"].lower() not in common:
+            hidden = [q.span() for q in _QUOTED.finditer(s)] if hidden is None else hidden
+            i = bisect_left(hidden, (m.start() + 1,))
+            if not (i > 0 and hidden[i - 1][1] > m.start()):
+                add(m.start(), m.end(), "person_name")
     if places:
         spans = [(places[a], places[b], k) for a, b, k in spans]
     return sorted(spans)
