@@ -63,3 +63,13 @@ def test_frames(spark, samples):
     records = spark.createDataFrame([(9, "los fans esperaron la canción en la estación")], "record_id bigint, text_normalized string")
     assert {(r.source_table, r.row_id, r.segment_no, r.lang) for r in language.unlabelled(events, records, s).collect()} == {("graph_events", 2, 1, "es"), ("normalized_records", 9, 1, "es")}
     assert language.detect(df.limit(0), "t", s).count() == 0
+
+
+@pytest.mark.parametrize("text", ["z" * 300_000, "9" * 300_000, "a.b" * 100_000, '"' * 100_001, "x" + " " * 200_000 + "y"])
+def test_long_runs_take_linear_time(samples, text):
+    import time
+
+    model = language.Model(samples)
+    began = time.process_time()
+    language.describe(model, text)
+    assert time.process_time() - began < 20

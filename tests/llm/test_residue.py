@@ -47,3 +47,13 @@ def test_address_slug(spark):
     assert residue.evidence(df, "text", "url").first().mismatch
     fits = spark.createDataFrame([("https://x.example/gateway-upstream", "upstream\nupstream gateway")], "url string, text string")
     assert not residue.evidence(fits, "text", "url").first().mismatch
+
+
+@pytest.mark.parametrize("text", ["lorem ipsum " * 30_000, "z" * 300_000, "{" * 100_000, "[your " * 20_000, "x" + " " * 200_000 + "y", "<" * 100_000, "9" * 200_000])
+def test_long_runs(spark, text):
+    import time
+
+    df = spark.createDataFrame([(text, "h")], "text string, host string")
+    began = time.time()
+    assert residue.flagged(df, "text", "host").count() == 1
+    assert time.time() - began < 60

@@ -53,7 +53,7 @@ NAMES = {
 }
 _CODES = {n: code for code, names in NAMES.items() for n in names.split()}
 
-_DROPPED = re.compile(r"https?://\S+|www\.\S+|<[^<>\s]+>|[\w.+%-]+ ?[@＠] ?[\w-]+(?:\.[\w-]+)+|(?<!\w)[@#][\w‌]+|\"[^\"\n]{1,120}\"|«[^»\n]{1,120}»|“[^”\n]{1,120}”|\d[\d.,:/-]*")
+_DROPPED = re.compile(r"https?://\S+|www\.\S+|<[^<>\s]+>|(?<![\w.+%-])[\w.+%-]++ ?[@＠] ?[\w-]+(?:\.[\w-]+)+|(?<!\w)[@#][\w‌]+|\"[^\"\n]{1,120}\"|«[^»\n]{1,120}»|“[^”\n]{1,120}”|\d[\d.,:/-]*")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ًͯ-ٕ'])*")
 _ANY_WORD = re.compile(r"[^\W_]+")
 

@@ -145,3 +145,8 @@ s AS (SELECT h, count(*) AS n FROM w GROUP BY h HAVING count(*) >= 8),
 c AS (SELECT a.h AS a, b.h AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.h < b.h GROUP BY 1, 2)
 SELECT a AS text_hash_a, b AS text_hash_b FROM c JOIN s x ON x.h = a JOIN s y ON y.h = b WHERE 10 * k >= 7 * (x.n + y.n - k)
 """
+SQL["p4_groups"] = (
+    SQL["p4_found"].replace("WITH t AS", "WITH RECURSIVE t AS").replace("SELECT a AS text_hash_a, b AS text_hash_b FROM c", ", p AS (SELECT a, b FROM c").rstrip().replace("\n, p AS", ",\np AS")
+    + "),\ne AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(n, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n)\n"
+    "SELECT n AS text_hash, min(m) AS group_hash, (SELECT count(*) FROM e WHERE e.a = r.n) AS links FROM r GROUP BY n"
+)

@@ -159,8 +159,9 @@ def evidence(df: DataFrame, text: str, address: str | None = None, ordinary: Ite
     terms = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
     words_of = lambda c: F.array_remove(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), "")
     bare, spaced = F.col("_bare"), F.col("_spaced")
-    apart = ~F.arrays_overlap(words_of(F.regexp_extract(bare, r"^\s*([^\n]*)\n", 1)), words_of(F.regexp_replace(bare, r"^\s*[^\n]*\n", "")))
-    apart = bare.rlike(r"^\s*[^\n]*[\p{L}\p{N}][^\n]*\n") & F.coalesce(apart, F.lit(False))
+    start = F.ltrim(bare)
+    title, cut = words_of(F.substring_index(start, "\n", 1)), F.locate("\n", start)
+    apart = (cut > 0) & (F.size(title) > 0) & F.coalesce(~F.arrays_overlap(title, words_of(F.substr(start, cut + 1))), F.lit(False))
     if address:
         slug = words_of(fold(F.regexp_extract(F.coalesce(F.col(address), F.lit("")), r"([^/?#]*)/?(?:[?#].*)?$", 1)))
         apart = apart | ((F.size(slug) > 0) & F.coalesce(~F.arrays_overlap(slug, F.split(F.trim(spaced), " ")), F.lit(False)))
