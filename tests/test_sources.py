@@ -160,3 +160,13 @@ def test_profile(spark):
     got = {r.column: r for r in profile.column_profile(df).collect()}
     assert got["text"].nulls == 1 and got["id"].type == "integer" and got["id"].distinct_values == 3
     assert profile.column_roles(["id", "user_id", "created_at", "text", "lang"])["timestamp"] == ["created_at"]
+
+
+def test_written_tables_are_released(spark):
+    from tidegraph import session
+
+    session.release(spark)
+    t = session.written(spark.range(5), "test")
+    path = t.inputFiles()[0]
+    assert t.count() == 5 and path.startswith(spark.conf.get("spark.checkpoint.dir")) and session.release(spark) == 1
+    assert session.release(spark) == 0

@@ -44,18 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
     The plan is computed once, survives lost executors and starts afresh from
-    the files, so later stages do not repeat what came before.
+    the files, so later stages do not repeat what came before. The files stay
+    until ``release`` is called, as results may be read from them later.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegraph/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables ``written`` made in this process; how many. Results that still depend on them can no longer be read."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 _SHIPPED: set[str] = set()
 
 
