@@ -44,15 +44,19 @@ def needed(size_a: Column, size_b: Column) -> Column:
     return _ceil_div((size_a + size_b) * NUMERATOR, NUMERATOR + DENOMINATOR)
 
 
-def distinct_texts(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per key with ``words``: the 64-bit hashes of its distinct words.
+def one_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per key with its text; of differing texts under one key the smallest holds, NULL keys and texts are left out."""
+    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
 
-    Of differing texts under one key the smallest holds. NULL keys and texts with
-    fewer than ``min_words`` distinct words are left out: they have no links.
-    """
-    one = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-    hashed = one.select("key", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("words"))
-    return hashed.where(F.size("words") >= min_words)
+
+def hashed(one: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """key and ``words``, the 64-bit hashes of its distinct words; texts with fewer than ``min_words`` are left out: they have no links."""
+    sets = one.select("key", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("words"))
+    return sets.where(F.size("words") >= min_words)
+
+
+def distinct_texts(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+    return hashed(one_text(df, key, text), min_words)
 
 
 def postings(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -101,8 +105,11 @@ def similar_pairs(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS
 
     Repeated rows of a key count once. Empty tables give no pairs.
     """
-    texts = distinct_texts(df, key, text, min_words)
-    pairs = candidate_pairs(postings(texts))
+    one = one_text(df, key, text)
+    pairs = candidate_pairs(postings(hashed(one, min_words)))
+    # only texts of some pair are cut into words once more
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = hashed(one.join(named, "key", "left_semi"), min_words)
     common = F.size(F.array_intersect("wa", "wb"))
     union = F.size("wa") + F.size("wb") - common
     return (
