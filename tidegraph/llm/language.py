@@ -37,7 +37,7 @@ REJECT = 0.06
 MIN_WORDS = 5
 #: Price of a change of language, in units of a word's advantage.
 SWITCH = 2.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 #: Other names of the languages (fixed values): two- and three-letter codes and English names.
 NAMES = {
