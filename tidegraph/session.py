@@ -88,3 +88,13 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, by a hash of ``keys``, for costly work row by row.
+
+    Only an input of fewer partitions than cores is moved (small files of one row group each);
+    larger ones are left as they are read. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
