@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import strip
-from tidegraph.session import ship
+from tidegraph.session import ship, spread
 
 LANGUAGES = ("en", "fa", "ar", "es", "pt", "tr", "de", "fr", "id")
 MAX_SAMPLES = 50_000
@@ -303,6 +303,6 @@ def unlabelled(events: DataFrame, records: DataFrame, samples: DataFrame) -> Dat
 
     A text in one language whose label names that language gives no row.
     """
-    rows = detect(both_sources(events, records), "text", samples)
+    rows = detect(spread(both_sources(events, records), "source_table", "row_id"), "text", samples)
     agrees = (F.size("segments") == 1) & F.coalesce(F.get("segments", F.lit(0))["lang"] == F.col("label"), F.lit(False))
     return rows.where(~agrees).select("source_table", "row_id", F.explode("segments").alias("s")).select("source_table", "row_id", "s.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.frames import carry, restore
 from tidegraph.functions.text import DIGITS
-from tidegraph.session import ship
+from tidegraph.session import ship, spread
 
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 ACCEPT = 0.5
@@ -413,5 +413,5 @@ def both_sources(events: DataFrame, records: DataFrame) -> DataFrame:
 
 def found(events: DataFrame, records: DataFrame, names: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per row of either table and kind of personal datum in it."""
-    rows = scan(both_sources(events, records), names, samples, "text")
+    rows = scan(spread(both_sources(events, records), "source_table", "row_id"), names, samples, "text")
     return rows.select("source_table", "row_id", F.explode("kinds").alias("pii_type"))
