@@ -92,6 +92,11 @@ def best_locations(records: DataFrame, fields: Sequence[str] = FIELDS) -> DataFr
     )
 
 
+def data_columns(records: DataFrame) -> list[str]:
+    """Every column that can be voted on: all but the post id, which is the key."""
+    return [c for c in records.columns if c != "tweet_id"]
+
+
 def consolidate(records: DataFrame, fields: Sequence[str] = FIELDS, half_life_days: float = 365.0, as_of: str = AS_OF) -> DataFrame:
     """One record per post with the value of most votes in every field (``votes``).
 
