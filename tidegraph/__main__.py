@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "graph":
         done = pipelines.build_graph(core.interactions(spark, a.data), core.nodes(spark, a.data), a.out, config)
     elif a.command == "records":
-        done = pipelines.normalise_records(core.raw_sheet(spark, a.data), core.nodes(spark, a.data), a.out, config)
+        done = pipelines.normalise_records(core.unified_sheet(spark, a.data), core.nodes(spark, a.data), a.out, config)
     elif a.command == "diagnostics":
         done = pipelines.run_diagnostics(core.interactions(spark, a.data), core.plain_records(spark, a.data), core.nodes(spark, a.data), a.out, config)
     elif a.command == "embeddings":

@@ -237,6 +237,21 @@ def unify(raw: DataFrame, contract: DataFrame) -> DataFrame:
     return one.select(*FILE, "source_row_number", *typed, grouped(F.col("_b")).alias("branches"), grouped(F.col("_e")).alias("extras"))
 
 
+def sheet(raw: DataFrame, contract: DataFrame, columns: list[str]) -> DataFrame:
+    """``raw`` with the values of these columns of the contract as text, whatever each file calls them.
+
+    Every row of ``raw`` comes out once, also repeated ones and those that hold no JSON object. Of
+    several values under names of one column the greatest text is taken, as in ``unify``.
+    """
+    cell, profile = read_once(raw)
+    names = canonical_names(written(column_links(raw, cell, profile), "links"), profile, contract)
+    per_file = names.groupBy(F.col("feed_id").alias("_feed"), F.col("source_file").alias("_file")).agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("_names"))
+    read = raw.withColumn("_cells", F.map_entries(F.from_json("record_json", "map<string,string>")))
+    joined = read.join(per_file, F.col("feed_id").eqNullSafe(F.col("_feed")) & F.col("source_file").eqNullSafe(F.col("_file")), "left")
+    held = lambda c: F.array_max(F.transform(F.filter("_cells", lambda e: F.coalesce(F.try_element_at("_names", e["key"]), e["key"]) == c), lambda e: e["value"]))
+    return joined.withColumns({c: held(c) for c in columns}).drop("_cells", "_feed", "_file", "_names")
+
+
 def alternatives(raw: DataFrame, contract: DataFrame) -> DataFrame:
     """The union of types per column: feed_id, canonical, type, values, files, first_seq (where the alternative appears)."""
     cell, profile = read_once(raw)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions import hashing, times
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error
-from tidegraph.operators import diagnostics, graph, profile, records, selection, validate
+from tidegraph.operators import diagnostics, drift, graph, profile, records, selection, validate
 from tidegraph.operators.skew import account_key
 from tidegraph.sources.tables import table
 
@@ -304,6 +304,12 @@ def raw_sheet(spark, d):
     return table(spark, d, "dataset_b_raw").select(*[j(c) for c in ("id", "created_at", "user", "text", *records.METRICS)], "source_file", "source_sheet", "source_row_number")
 
 
+def unified_sheet(spark, d):
+    """As ``raw_sheet``, with renamed columns followed to the contract's names."""
+    columns = ["id", "created_at", "user", "text", *records.METRICS]
+    return drift.sheet(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"), columns).select(*columns, "source_file", "source_sheet", "source_row_number")
+
+
 _NORMAL = rf"""WITH j AS (SELECT record_json ->> 'id' AS id, record_json ->> 'created_at' AS ts, record_json ->> 'user' AS u FROM dataset_b_raw),
 k AS (SELECT coalesce({_T('id')}, '') AS s, {_T('ts')} AS t, {_T('u')} AS u FROM j),
 m AS (SELECT *, CASE WHEN regexp_full_match(s, '[+-]?\d+(\.\d*)?([eE][+-]?\d+)?') AND regexp_matches(s, '[.eE]') THEN 'invalid_tweet_id_float' WHEN NOT regexp_full_match(s, '\d{{15,20}}') THEN 'invalid_tweet_id' END AS bad,
@@ -319,6 +325,12 @@ def normalize_status(spark, d):
     return records.normalise(raw_sheet(spark, d), nodes(spark, d)).groupBy("record_status", "exclusion_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query()
+def normalize_status_unified(spark, d):
+    """``normalize_status`` over all names a column has had; that query reads the fixed names of its SQL."""
+    return records.normalise(unified_sheet(spark, d), nodes(spark, d)).groupBy("record_status", "exclusion_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     r"SELECT source_file, source_row_number, nfc_normalize(regexp_replace(replace(record_json ->> 'text', chr(65279), ''), '\r\n?', chr(10), 'g')) AS text_normalized, count(*) AS rows FROM dataset_b_raw GROUP BY ALL"
 )
@@ -326,6 +338,12 @@ def normalized_texts(spark, d):
     return records.normalized_text(raw_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query()
+def normalized_texts_unified(spark, d):
+    """``normalized_texts`` over all names the text column has had."""
+    return records.normalized_text(unified_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     f"WITH {RECORDS} SELECT source_file, count(*) AS rows_in, count(*) FILTER (record_status = 'retained') AS retained, count(*) FILTER (record_status = 'excluded') AS excluded, count(*) FILTER (record_status = 'rejected') AS rejected, count(*) FILTER (record_status IS NULL) AS without_status FROM r GROUP BY 1"
 )
