@@ -28,3 +28,10 @@ def test_sheet_is_the_plain_one_where_nothing_drifted(spark, data):
 
     order = lambda df: sorted(map(str, df.select("source_file", "source_row_number", "id", "text").collect()))
     assert order(core.unified_sheet(spark, data)) == order(core.raw_sheet(spark, data))
+
+
+def test_profile_has_every_column(spark, data):
+    from tidegraph.plans import core
+
+    got = core.profile_columns_all(spark, data).select("column").collect()
+    assert sorted(r.column for r in got) == sorted(spark.read.parquet(f"{data}/normalized_records.parquet").columns)

@@ -536,6 +536,23 @@ def profile_columns(spark, d):
     return profile.column_profile(table(spark, d, "normalized_records").select(*_PROFILE_COLUMNS))
 
 
+_ALL_COLUMNS = (
+    "record_id", "tweet_id", "author_account_id", "node_index", "created_at_original", "created_at_utc", "snapshot_id", "text_raw", "text_normalized", "text_quality", "text_raw_len", "text_normalized_len", *records.METRICS,
+    "source_file", "source_sheet", "source_row_number", "record_status", "exclusion_reason", "is_duplicate", "is_canonical_duplicate", "collected_at",
+)
+
+
+@query(
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM normalized_records" for c in _ALL_COLUMNS) + "), "
+    f"t AS (SELECT \"column\", v, trim(v, ' ') AS s FROM c), y AS (SELECT \"column\", v, {_TYPE} AS ty FROM t), "
+    "b AS (SELECT \"column\", ty, row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, ty) AS i FROM y WHERE ty <> 'null' GROUP BY \"column\", ty) "
+    "SELECT y.\"column\", count(*) AS rows, count(*) FILTER (y.ty = 'null') AS nulls, count(DISTINCT CASE WHEN y.ty <> 'null' THEN v END) AS distinct_values, any_value(b.ty) AS type FROM y LEFT JOIN b ON b.\"column\" = y.\"column\" AND b.i = 1 GROUP BY y.\"column\""
+)
+def profile_columns_all(spark, d):
+    """The profile of the whole table; ``profile_columns`` has the columns of its SQL."""
+    return profile.column_profile(table(spark, d, "normalized_records"))
+
+
 @query(
     rf"""WITH v AS (SELECT tweet_id, author_account_id, created_at_original, {_T('created_at_original')} AS s FROM normalized_records),
 e AS (SELECT *, CASE WHEN regexp_full_match(s, '[+-]?\d+(\.\d+)?([eE][+-]?\d+)?') THEN CAST(trunc(CASE WHEN abs(CAST(s AS DOUBLE)) > 1e12 THEN CAST(s AS DOUBLE) / 1000 ELSE CAST(s AS DOUBLE) END) AS BIGINT) END AS n FROM v),
