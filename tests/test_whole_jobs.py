@@ -35,3 +35,14 @@ def test_profile_has_every_column(spark, data):
 
     got = core.profile_columns_all(spark, data).select("column").collect()
     assert sorted(r.column for r in got) == sorted(spark.read.parquet(f"{data}/normalized_records.parquet").columns)
+
+
+def test_empty_quarters_of_the_whole_table(spark, data, monkeypatch):
+    from tidegraph.plans import core
+
+    every = core.interactions
+    monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where("snapshot_id in (3, 6) and author_account_id <> '1794210302680150987'"))
+    got = {r.snapshot_id: r.position for r in core.empty_quarters_all(spark, data).collect()}
+    assert got == {i: "leading" if i < 3 else "internal" if i < 6 else "trailing" for i in range(35) if i not in (3, 6)}
+    monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where("false"))
+    assert [r.position for r in core.empty_quarters_all(spark, data).collect()] == ["leading"] * 35

@@ -133,6 +133,15 @@ def empty_quarters(spark, d):
     return diagnostics.empty_quarters(diagnostics.calendar_report(rows, times.calendar(spark)))
 
 
+@query(
+    f"WITH {INTERACTIONS}{_REPORT}, b AS (SELECT min(snapshot_id) FILTER (rows > 0) AS lo, max(snapshot_id) FILTER (rows > 0) AS hi FROM rp) "
+    "SELECT snapshot_id, label, CASE WHEN lo IS NULL OR snapshot_id < lo THEN 'leading' WHEN snapshot_id > hi THEN 'trailing' ELSE 'internal' END AS position FROM rp, b WHERE rows = 0"
+)
+def empty_quarters_all(spark, d):
+    """The quarters of the calendar without any event; ``empty_quarters`` looks at the one account of its SQL."""
+    return diagnostics.empty_quarters(calendar_report(spark, d))
+
+
 # -- identity ----------------------------------------------------------------------------------------
 
 
