@@ -46,3 +46,15 @@ def test_empty_quarters_of_the_whole_table(spark, data, monkeypatch):
     assert got == {i: "leading" if i < 3 else "internal" if i < 6 else "trailing" for i in range(35) if i not in (3, 6)}
     monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where("false"))
     assert [r.position for r in core.empty_quarters_all(spark, data).collect()] == ["leading"] * 35
+
+
+def test_model_queries_use_every_relation_and_feature(spark, data, monkeypatch):
+    from tidegraph.config import FEATURES
+    from tidegraph.plans import vectors
+
+    assert sorted(r.feature for r in vectors.robust_scaler_fit_all(spark, data).collect()) == sorted(FEATURES)
+    assert set(vectors.robust_scaled_all(spark, data).columns) == {"snapshot_id", "node_index", *FEATURES}
+    every = vectors.edges_of
+    monkeypatch.setattr(vectors, "edges_of", lambda s, d: every(s, d).where("relation_id = 3"))
+    got = vectors.relation_fusion_all(spark, data)
+    assert got.count() > 0 and got.where("fused < 1").count() == 0

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidegraph.config import DEFAULT
+from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions.vectors import norm, truncated_unit
 from tidegraph.operators import graph, model, pooling, validate
 from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, event_units, tweets
@@ -147,6 +147,27 @@ def robust_scaled(spark, d):
     return done.select("snapshot_id", "node_index", *[F.round(c, 6).alias(c) for c in _SCALED])
 
 
+_XS_ALL = f"WITH {EDGES}{TWEETS}{_DEGREES}{_X}, lg AS (" + " UNION ALL ".join(f"SELECT snapshot_id, node_index, '{c}' AS feature, {c} AS x FROM xs" for c in FEATURES) + "), sc AS (SELECT feature, quantile_cont(x, 0.5) AS median, CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) < 1e-12 THEN 1.0 ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM lg GROUP BY 1)"
+
+
+def all_features(spark, d):
+    x = graph.structural_features(edges_of(spark, d), tweets(spark, d))
+    return x.withColumns({f: F.round(f, 6) for f in FEATURES})
+
+
+@query(_XS_ALL + " SELECT feature, round(median, 6) AS median, round(scale, 6) AS scale FROM sc")
+def robust_scaler_fit_all(spark, d):
+    """The scaler of all structural features; ``robust_scaler_fit`` has the three of its SQL."""
+    return model.robust_scaler(all_features(spark, d), list(FEATURES)).select("feature", F.round("median", 6).alias("median"), F.round("scale", 6).alias("scale"))
+
+
+@query(_XS_ALL + " SELECT lg.snapshot_id, lg.node_index, " + ", ".join(f"round(max(CASE WHEN lg.feature = '{c}' THEN (x - median) / scale END), 6) AS {c}" for c in FEATURES) + " FROM lg JOIN sc ON sc.feature = lg.feature GROUP BY ALL")
+def robust_scaled_all(spark, d):
+    x = all_features(spark, d)
+    done = model.robust_scaled(x, list(FEATURES), model.robust_scaler(x, list(FEATURES)), "struct_active")
+    return done.select("snapshot_id", "node_index", *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
 @query(f"WITH {Q} SELECT vec_id, cluster, round(q, 6) AS q FROM q")
 def student_t_q(spark, d):
     return soft(spark, d).withColumn("q", F.round("q", 6))
@@ -227,6 +248,22 @@ def relation_fusion(spark, d):
     return v.select("snapshot_id", "node_index", F.round(fused, 6).alias("fused"))
 
 
+_FUSED = tuple(enumerate((0.5, 0.0, -0.5, -1.0)))  # one score per relation
+
+
+@query(
+    f"WITH {EDGES}{_DEGREES}, v AS (SELECT snapshot_id, node_index, " + ", ".join(f"max(CASE WHEN relation_id = {i} THEN out_degree END) AS v{i}" for i, _ in _FUSED) + " FROM dg WHERE out_degree > 0 GROUP BY ALL) "
+    "SELECT snapshot_id, node_index, round(CASE WHEN coalesce(v0, v1, v2, v3) IS NULL THEN -1 ELSE (" + " + ".join(f"coalesce(exp({s}) * v{i}, 0)" for i, s in _FUSED) + ") / (" + " + ".join(f"CASE WHEN v{i} IS NULL THEN 0 ELSE exp({s}) END" for i, s in _FUSED) + ") END, 6) AS fused FROM v"
+)
+def relation_fusion_all(spark, d):
+    """Out-degrees of all relations fused; ``relation_fusion`` leaves quotes out, as its SQL does."""
+    pick = lambda i: F.max(F.when(F.col("relation_id") == i, F.col("out_degree"))).cast("double")
+    v = graph.degrees(edges_of(spark, d)).where("out_degree > 0").groupBy("snapshot_id", "node_index").agg(*[pick(i).alias(f"v{i}") for i in range(len(RELATIONS))])
+    cols = [F.col(f"v{i}") for i in range(len(RELATIONS))]
+    fused = model.masked_fusion([F.lit(s) for _, s in _FUSED], [c.isNotNull() for c in cols], [F.coalesce(c, F.lit(0.0)) for c in cols], F.lit(-1.0))
+    return v.select("snapshot_id", "node_index", F.round(fused, 6).alias("fused"))
+
+
 @query(f"WITH {EDGES} SELECT CASE WHEN snapshot_id < 24 THEN 'train' WHEN snapshot_id < 29 THEN 'validation' ELSE 'test' END AS split, CAST(snapshot_id // 3 AS INTEGER) AS \"window\", count(*) AS edges FROM e GROUP BY ALL")
 def time_split(spark, d):
     e = edges_of(spark, d)
