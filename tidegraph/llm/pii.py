@@ -99,8 +99,12 @@ _EMAIL_SPELT = re.compile(
     re.A | re.I,
 )
 
-_NUMBERLIKE = re.compile(r"\d(?:[ .()\-/]{0,2}\d){6}")
-_THREE_PAIRS = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b")
+#: What a spelt e-mail holds one of, in lower case.
+_AT = (" at ", *(f"at{gap}{end}" for gap in ("", " ") for end in ")]}"))
+#: The fewest digits any pattern below takes are the six of letter8.
+_NUMBERLIKE = re.compile(r"\d(?:[ .()\-/]{0,2}\d){5}")
+#: Those that may have no such run of digits, nino and iban.
+_THREE_PAIRS = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}")
 _IDENTITY = (
     # name, pattern, score by shape, checksum
     ("ssn", re.compile(r"(?<![\w.-])\d{3}([- ])\d{2}\1\d{4}(?![\w-]|\.\d)"), 0.5, None),
@@ -168,12 +172,12 @@ _ADDRESS = tuple(
         ("box", rf"\bP\.? ?O\.? ?Box \d+(?:, {_W}(?: {_W})? \d+)?"),
         # number first, kind last, with flat before or after
         (
-            "street| st|road| rd|lane| ln|ave|crescent| close|court| ct|drive| dr|boulevard|blvd|terrace| way|place|square|garden|grove| row|mews",
+            "street| st|,st|road| rd|,rd|lane| ln|,ln|ave|crescent| close|,close|court| ct|,ct|drive| dr|,dr|boulevard|blvd|terrace| way|,way|place|square|garden|grove| row|,row|mews",
             rf"(?:(?:flat|apt\.?|apartment|unit|suite) ?\d+[a-z]?,? )?(?<![\w.\-])\d{{1,5}} ?[a-h]?,? (?:[NSEW]\.? )?{_W}(?: {_W})?[ ,](?:street|st|road|rd|lane|ln|avenue|ave|crescent|close|court|ct|drive|dr|boulevard|blvd|terrace|way|place|square|gardens|grove|row|mews)\b\.?(?:,? (?:flat|apt\.?|apartment|unit|suite) ?\d+ ?[a-z]?)?",
         ),
         # kind first, number last
         (
-            "calle|c/|avda|avenida|av.|plaza|paseo|camino|carretera|ronda|trave|rua|r. |alameda|pra|largo|estrada|rodovia",
+            "calle|c/|avda|avenida|av|plaza|paseo|camino|carretera|ronda|trave|rua|r.|alameda|pra|largo|estrada|rodovia",
             rf"\b(?:calle|c/|avda\.?|avenida|av\.?|plaza|paseo|camino|carretera|ronda|traves[íi]a|rua|r\.|travessa|alameda|pra[çc]a|largo|estrada|rodovia)\s?(?:de |del |de la |da |do |das |dos )?{_W}(?: {_W})?,? ?{_NO}\d+(?:,? ?\d+ ?[º°ª]? ?[a-z]?\b|,? (?:apto|ap|piso|bloco|casa|puerta)\.? ?\w+)?",
         ),
         # the number before the kind, as in French
@@ -290,7 +294,7 @@ def find(text: str, given: frozenset, common: frozenset) -> list[tuple[int, int,
     if "@" in s:
         for m in _EMAIL.finditer(s):
             add(m.start(), m.end(), "email")
-    if " at " in low or "at)" in low or "at]" in low or "at }" in low or "at ]" in low or "at )" in low:
+    if any(g in low for g in _AT):
         for m in _EMAIL_SPELT.finditer(s):
             add(m.start(), m.end(), "email")
 
