@@ -58,3 +58,15 @@ def test_model_queries_use_every_relation_and_feature(spark, data, monkeypatch):
     monkeypatch.setattr(vectors, "edges_of", lambda s, d: every(s, d).where("relation_id = 3"))
     got = vectors.relation_fusion_all(spark, data)
     assert got.count() > 0 and got.where("fused < 1").count() == 0
+
+
+def test_negatives_are_filled_where_few_targets_are_free(spark):
+    from tidegraph.operators import selection
+
+    e = spark.createDataFrame([(0, 0, 0, t) for t in range(1, 996)] + [(0, 0, 1, t) for t in range(2, 999)], "snapshot_id int, relation_id int, src_index int, dst_index int")
+    got = selection.negatives(e, 1000).collect()
+    per_edge = {}
+    for r in got:
+        per_edge.setdefault((r.src_index, r.dst_index), []).append(r.negative)
+    assert all(len(set(per_edge[0, t])) == len(per_edge[0, t]) == 3 and set(per_edge[0, t]) <= {996, 997, 998, 999} for t in range(1, 996))
+    assert all(sorted(per_edge[1, t]) == [0, 999] for t in range(2, 999))

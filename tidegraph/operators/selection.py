@@ -178,9 +178,10 @@ def split_edges(edge: DataFrame, rate: float, seed: int = 7) -> DataFrame:
 
 
 def negatives(edge: DataFrame, nodes: int, per_edge: int = 3, seed: int = 7, tries: int = 16) -> DataFrame:
-    """Up to ``per_edge`` unobserved targets per edge, without self-loops, each at most once; fewer where a source knows nearly all.
+    """``per_edge`` unobserved targets per edge, without self-loops, each at most once; fewer only where a source has no more free ones.
 
     Candidates are hashed numbers below ``nodes``, tried in order; observed ones are left out by an anti join.
+    Edges whose tries do not suffice are filled from all remaining nodes.
     """
     draw = lambda i: F.pmod(F.xxhash64("snapshot_id", "relation_id", "src_index", "dst_index", i, F.lit(seed)), F.lit(nodes)).cast("int")
     c = edge.select("snapshot_id", "relation_id", "src_index", "dst_index", F.explode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(i.alias("try"), draw(i).alias("neg")))).alias("c"))
@@ -189,4 +190,12 @@ def negatives(edge: DataFrame, nodes: int, per_edge: int = 3, seed: int = 7, tri
     free = c.join(seen, ["snapshot_id", "relation_id", "src_index", "neg"], "left_anti").groupBy("snapshot_id", "relation_id", "src_index", "dst_index", "neg").agg(F.min("try").alias("try"))
     keys = ["snapshot_id", "relation_id", "src_index", "dst_index"]
     kept = free.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("try", "neg"))), 1, per_edge).alias("n"))
-    return kept.select(*keys, F.explode("n").alias("n")).select(*keys, F.col("n.neg").alias("negative"))
+    drawn = kept.select(*keys, F.explode("n").alias("n")).select(*keys, F.col("n.neg").alias("negative"))
+    # edges still short take from all free targets of their source, in the order of hashes
+    source = ["snapshot_id", "relation_id", "src_index"]
+    short = edge.select(*keys).distinct().join(kept, keys, "left").select(*keys, F.coalesce(F.transform("n", lambda x: x["neg"]), F.array().cast("array<int>")).alias("had")).where(F.size("had") < per_edge)
+    every = short.select(*source).distinct().select(*source, F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("neg")).where("neg <> src_index")
+    more = short.join(every.join(seen, [*source, "neg"], "left_anti"), source).where(~F.array_contains("had", F.col("neg")))
+    order = W.partitionBy(*keys).orderBy(F.xxhash64(*keys, "neg", F.lit(seed)), "neg")
+    filled = more.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_edge).where(F.col("_r") <= per_edge - F.size("had"))
+    return drawn.unionByName(filled.select(*keys, F.col("neg").alias("negative")))
