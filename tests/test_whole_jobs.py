@@ -70,3 +70,12 @@ def test_negatives_are_filled_where_few_targets_are_free(spark):
         per_edge.setdefault((r.src_index, r.dst_index), []).append(r.negative)
     assert all(len(set(per_edge[0, t])) == len(per_edge[0, t]) == 3 and set(per_edge[0, t]) <= {996, 997, 998, 999} for t in range(1, 996))
     assert all(sorted(per_edge[1, t]) == [0, 999] for t in range(2, 999))
+
+
+def test_semantic_loss_takes_odd_ids_too(spark, tmp_path):
+    from tidegraph.plans import vectors
+
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 0, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    even, every = (q(spark, str(tmp_path)).first().loss for q in (vectors.semantic_loss, vectors.semantic_loss_all))
+    assert every > even > 0

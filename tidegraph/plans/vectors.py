@@ -229,6 +229,13 @@ def semantic_loss(spark, d):
     return model.semantic_loss(j, "embedding", "mu", "on").select(F.round("loss", 6).alias("loss"))
 
 
+@query(f"WITH {U}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS nn, max(node_index) AS c FROM f GROUP BY 1), k AS (SELECT cluster, sqrt(sum(mx * mx)) AS nk FROM m GROUP BY 1) SELECT round(avg(1 - s / (nn * nk)), 6) AS loss FROM (SELECT f.vec_id, sum(x * mx) AS s FROM f JOIN m ON m.cluster = f.node_index AND m.pos = f.pos GROUP BY 1) z JOIN n ON n.vec_id = z.vec_id JOIN k ON k.cluster = n.c")
+def semantic_loss_all(spark, d):
+    """``semantic_loss`` over every vector there is; that query's SQL masks odd ids."""
+    j = units(spark, d).join(F.broadcast(centres(spark, d)), F.col("node_index") == F.col("cluster")).withColumn("on", F.col("embedding").isNotNull())
+    return model.semantic_loss(j, "embedding", "mu", "on").select(F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {EDGES}, z AS (SELECT weight_log1p - 1 AS l, CASE WHEN count_raw > 1 THEN 1.0 ELSE 0.0 END AS y FROM e) SELECT round(avg(greatest(l, 0) - l * y + ln(1 + exp(-abs(l)))), 6) AS bce FROM z")
 def structural_bce(spark, d):
     e = edges_of(spark, d)
