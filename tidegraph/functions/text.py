@@ -1,10 +1,16 @@
-"""Text functions that stay inside the JVM."""
+"""Text functions; all but ``normalized_text`` stay inside the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.session import ship
+
 #: Class of white space as Unicode has it, plus the four separators that \s leaves out.
 SPACE = r"[\s\x1c-\x1f]"
 #: Decimal digits of the scripts met in social posts, in the order 0-9 (fixed values).
@@ -42,3 +48,23 @@ def words(c: Column) -> Column:
     """
     spaced = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " ")))
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
+def plain_line_ends(c: Column) -> Column:
+    """Without byte order marks, all line ends as line feeds."""
+    return F.regexp_replace(F.regexp_replace(c, "﻿", ""), "\r\n?", "\n")
+
+
+def normalized_text(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the text without byte order marks, with line feeds and composed letters (NFC).
+
+    Spark has no Unicode normalisation; texts are composed in Arrow batches.
+    """
+    ship(df.sparkSession)
+
+    @F.arrow_udf("string")
+    def composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in batch.to_pylist()], pa.string())
+
+    return df.withColumn(out, composed(plain_line_ends(F.col(column))))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, Config
 from tidegraph.functions.hashing import content_hash, event_signature
 from tidegraph.functions.ids import mention_ids, nested_user_id, user_object
-from tidegraph.functions.times import created_at, snapshot, strict_iso
+from tidegraph.functions.text import is_blank, normalized_text
+from tidegraph.functions.times import created_at, snapshot
 from tidegraph.operators.skew import account_key
+from tidegraph.operators.timestamps import normalise_timestamps
 
 EDGE = ["snapshot_id", "relation_id", "src_index", "dst_index"]
 
@@ -53,15 +55,20 @@ def sheet_interactions(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
-def event_interactions(events: DataFrame) -> DataFrame:
-    """Rows of the event table in the form of ``sheet_interactions``; times must be in the strict form."""
-    return events.select(
+def event_interactions(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows of the event table in the form of ``sheet_interactions``.
+
+    Times may be written in any way ``normalise_timestamps`` reads, local ones in the zone
+    that ``sources`` assumes for the file; texts get plain line ends and composed letters.
+    """
+    timed = normalise_timestamps(events.select("source_file", "source_row_number", "author_account_id", "target_account_id", "relation_id", "created_at_utc_iso", "cleaned_text", "signature"), sources)
+    return normalized_text(timed, "cleaned_text", "cleaned_text").select(
         "source_file",
         "source_row_number",
         account_key(F.col("author_account_id")).alias("author_account_id"),
         account_key(F.col("target_account_id")).alias("target_account_id"),
         "relation_id",
-        strict_iso(F.col("created_at_utc_iso")).alias("created"),
+        F.col("instant_utc").alias("created"),
         "cleaned_text",
         F.col("created_at_utc_iso").alias("created_text"),
         "signature",
@@ -100,18 +107,28 @@ def ladder_counts(interactions: DataFrame, nodes: DataFrame, config: Config = DE
 def relation_events(interactions: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Events in the canonical schema; of rows with the same signature the first by file and row stays."""
     kept = indexed(interactions, nodes, config).where(ladder() == "event")
-    text = F.coalesce(F.col("cleaned_text"), F.lit(""))
-    short = content_hash(text, 16)
-    if "signature" in interactions.columns:
-        signed = kept
-    else:
-        iso = F.concat(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-        signed = kept.withColumn("signature", event_signature(F.col("author_account_id"), iso, short, F.col("relation_id"), F.col("target_account_id")))
-    quality = F.when(text == "", "empty").when(F.trim(text) == "", "whitespace_only").otherwise("ok")
-    columns = ["signature", "snapshot_id", "relation_id", "source_idx", "target_idx", "cleaned_text", short.alias("text_hash"), quality.alias("text_quality"), "source_file", "source_row_number"]
+    signed = kept if "signature" in interactions.columns else kept.withColumn("signature", signature())
+    columns = ["signature", "snapshot_id", "relation_id", "source_idx", "target_idx", "cleaned_text", short_hash().alias("text_hash"), event_quality().alias("text_quality"), "source_file", "source_row_number"]
     return first_wins(signed.select(*columns), ["signature"], ["source_file", "source_row_number"])
 
 
+def event_quality(text: str = "cleaned_text") -> Column:
+    """empty (also for NULL), whitespace_only or ok."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return F.when(c == "", "empty").when(is_blank(c), "whitespace_only").otherwise("ok")
+
+
+def short_hash(text: str = "cleaned_text") -> Column:
+    """The first 16 digits of the hash of an event's text; one without text has the hash of the empty text."""
+    return content_hash(F.when(event_quality(text) == "ok", F.col(text)).otherwise(F.lit("")), 16)
+
+
+def signature() -> Column:
+    """The signature of an interaction with ``created``, in whole seconds."""
+    iso = F.concat(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return event_signature(F.col("author_account_id"), iso, short_hash(), F.col("relation_id"), F.col("target_account_id"))
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in ``order``. Aggregated before the shuffle, so repeated keys make no hot task."""
     rest = [c for c in df.columns if c not in keys]

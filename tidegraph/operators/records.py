@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.config import DEFAULT, Config
 from tidegraph.functions.hashing import fields_hash
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error, user_object
-from tidegraph.functions.text import is_blank
+from tidegraph.functions.text import is_blank, normalized_text
 from tidegraph.functions.times import created_at, snapshot
 from tidegraph.operators.skew import account_key
-from tidegraph.session import ship
 
 METRICS = ("likes", "retweets", "reply_count", "quoted_count", "bookmarks", "views")
 
@@ -31,26 +26,6 @@ def text_quality(c: Column) -> Column:
     return F.when(c.isNull(), "null").when(c == "", "empty").when(is_blank(c), "whitespace_only").otherwise("ok")
 
 
-def plain_line_ends(c: Column) -> Column:
-    """Without byte order marks, all line ends as line feeds."""
-    return F.regexp_replace(F.regexp_replace(c, "﻿", ""), "\r\n?", "\n")
-
-
-def normalized_text(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the text without byte order marks, with line feeds and composed letters (NFC).
-
-    Spark has no Unicode normalisation; texts are composed in Arrow batches.
-    """
-    ship(df.sparkSession)
-
-    @F.arrow_udf("string")
-    def composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in batch.to_pylist()], pa.string())
-
-    return df.withColumn(out, composed(plain_line_ends(F.col(column))))
-
-
 def normalise(rows: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Raw text rows (ten columns plus file, sheet and row) to the 24 normalised columns.
 

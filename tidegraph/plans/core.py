@@ -9,6 +9,7 @@ from tidegraph.functions import hashing, times
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error
 from tidegraph.operators import diagnostics, drift, graph, profile, records, selection, validate
 from tidegraph.operators.skew import account_key
+from tidegraph.plans.dealt import INSTANTS
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -31,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def interactions(spark, d):
-    return graph.event_interactions(table(spark, d, "graph_events"))
+    return graph.event_interactions(table(spark, d, "graph_events"), table(spark, d, "calendar_sources"))
 
 
 def nodes(spark, d):
@@ -60,14 +61,15 @@ _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 _T = lambda c: f"nullif(regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g'), '')"
 _BLANK = lambda c: f"({c} IS NULL OR regexp_full_match({c}, '{_WS}*'))"
 _SNAP = lambda c: f"CASE WHEN year({c}) * 4 + quarter({c}) - 1 - {FIRST} BETWEEN 0 AND {LAST} THEN year({c}) * 4 + quarter({c}) - 1 - {FIRST} END"
-INTERACTIONS = rf"""i AS (SELECT source_file, source_row_number, {_T('author_account_id')} AS a, {_T('target_account_id')} AS t, relation_id, signature, cleaned_text,
-  CASE WHEN regexp_full_match(created_at_utc_iso, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\+00:00') THEN TRY_CAST(substr(created_at_utc_iso, 1, 10) || ' ' || substr(created_at_utc_iso, 12, 8) AS TIMESTAMP) END AS created FROM graph_events),
+INTERACTIONS = rf"""{INSTANTS},
+i AS (SELECT e.source_file, source_row_number, {_T('author_account_id')} AS a, {_T('target_account_id')} AS t, relation_id, signature, nfc_normalize(regexp_replace(replace(cleaned_text, chr(65279), ''), '\r\n?', chr(10), 'g')) AS cleaned_text,
+  instant AS created FROM graph_events e JOIN ts_o USING (event_id)),
 x AS (SELECT i.*, s.node_index AS source_idx, g.node_index AS target_idx, {_SNAP('created')} AS snapshot_id FROM i LEFT JOIN node_universe s ON s.account_id = i.a LEFT JOIN node_universe g ON g.account_id = i.t),
 l AS (SELECT *, CASE WHEN a IS NULL THEN 'missing_author' WHEN source_idx IS NULL THEN 'author_outside_universe' WHEN created IS NULL THEN 'invalid_timestamp' WHEN snapshot_id IS NULL THEN 'outside_calendar'
   WHEN t IS NULL THEN 'no_relation_target' WHEN relation_id IS NULL OR relation_id NOT BETWEEN 0 AND 3 THEN 'invalid_relation' WHEN t = a THEN 'self_loop' WHEN target_idx IS NULL THEN 'external_target' ELSE 'event' END AS reason FROM x)"""
-EVENTS = INTERACTIONS + """,
-ev AS (SELECT signature, CAST(snapshot_id AS INTEGER) AS snapshot_id, relation_id, source_idx, target_idx, cleaned_text, substr(sha256(coalesce(cleaned_text, '')), 1, 16) AS text_hash,
-  CASE WHEN coalesce(cleaned_text, '') = '' THEN 'empty' WHEN trim(cleaned_text) = '' THEN 'whitespace_only' ELSE 'ok' END AS text_quality, source_file, source_row_number
+EVENTS = INTERACTIONS + f""",
+ev AS (SELECT signature, CAST(snapshot_id AS INTEGER) AS snapshot_id, relation_id, source_idx, target_idx, cleaned_text, substr(sha256(CASE WHEN {_BLANK('cleaned_text')} THEN '' ELSE cleaned_text END), 1, 16) AS text_hash,
+  CASE WHEN coalesce(cleaned_text, '') = '' THEN 'empty' WHEN {_BLANK('cleaned_text')} THEN 'whitespace_only' ELSE 'ok' END AS text_quality, source_file, source_row_number
   FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY source_file, source_row_number) AS rn FROM l WHERE reason = 'event') WHERE rn = 1)"""
 EDGES = EVENTS + """,
 e AS (SELECT snapshot_id, relation_id, source_idx AS src_index, target_idx AS dst_index, count(DISTINCT signature) AS count_raw, ln(1 + count(DISTINCT signature)) AS weight_log1p FROM ev WHERE source_idx <> target_idx GROUP BY ALL)"""
@@ -112,7 +114,7 @@ def ts_reason_counts(spark, d):
 
 _REPORT = f""", cal AS ({_CAL}),
 rp AS (SELECT cal.snapshot_id, label, coalesce(n, 0) AS rows, coalesce(nodes, 0) AS nodes, first_epoch, last_epoch FROM cal LEFT JOIN (
-  SELECT snapshot_id, count(*) AS n, count(DISTINCT source_idx) AS nodes, CAST(min(epoch(created)) AS BIGINT) AS first_epoch, CAST(max(epoch(created)) AS BIGINT) AS last_epoch FROM x WHERE snapshot_id IS NOT NULL GROUP BY 1) g ON g.snapshot_id = cal.snapshot_id)"""
+  SELECT snapshot_id, count(*) AS n, count(DISTINCT source_idx) AS nodes, CAST(floor(min(epoch(created))) AS BIGINT) AS first_epoch, CAST(floor(max(epoch(created))) AS BIGINT) AS last_epoch FROM x WHERE snapshot_id IS NOT NULL GROUP BY 1) g ON g.snapshot_id = cal.snapshot_id)"""
 
 
 @query(f"WITH {INTERACTIONS}{_REPORT} SELECT * FROM rp")
@@ -207,13 +209,11 @@ def relation_events(spark, d):
 
 
 @query(
-    f"WITH {INTERACTIONS} SELECT source_file, source_row_number, sha256(a || chr(31) || strftime(created, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(31) || substr(sha256(coalesce(cleaned_text, '')), 1, 16) || chr(31) || relation_id || chr(31) || t || chr(31)) AS signature FROM l WHERE reason = 'event'"
+    f"WITH {INTERACTIONS} SELECT source_file, source_row_number, sha256(a || chr(31) || strftime(created, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(31) || substr(sha256(CASE WHEN {_BLANK('cleaned_text')} THEN '' ELSE cleaned_text END), 1, 16) || chr(31) || relation_id || chr(31) || t || chr(31)) AS signature FROM l WHERE reason = 'event'"
 )
 def event_signatures(spark, d):
     x = graph.indexed(interactions(spark, d), nodes(spark, d)).where(graph.ladder() == "event")
-    iso = F.concat(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    short = hashing.content_hash(F.coalesce("cleaned_text", F.lit("")), 16)
-    return x.select("source_file", "source_row_number", hashing.event_signature(F.col("author_account_id"), iso, short, F.col("relation_id"), F.col("target_account_id")).alias("signature"))
+    return x.select("source_file", "source_row_number", graph.signature().alias("signature"))
 
 
 @query(f"WITH {EDGES} SELECT snapshot_id, relation_id, src_index, dst_index, count_raw, round(weight_log1p, 6) AS weight_log1p FROM e")

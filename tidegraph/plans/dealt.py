@@ -88,23 +88,26 @@ FROM (SELECT account_id, count(*) AS nl, sum(chars) AS cl FROM w WHERE account_i
 JOIN (SELECT account_id, count(*) AS nr, sum(chars_in) AS cr FROM g WHERE account_id IS NOT NULL GROUP BY 1) USING (account_id) GROUP BY account_id
 """
 
-_INSTANTS = r"""
-WITH z AS (SELECT source_file, min(timezone_assumption) AS a FROM calendar_sources GROUP BY 1),
-f AS (SELECT source_file, CASE WHEN a IS NULL OR upper(trim(a)) IN ('', 'UTC', 'GMT', 'Z') THEN '+00:00' WHEN regexp_matches(a, '^[A-Za-z]+/') THEN a
-  ELSE regexp_extract(a, '([+-])', 1) || lpad(regexp_extract(a, '[+-](\d{1,2})', 1), 2, '0') || ':' || CASE WHEN a LIKE '%:%' THEN right(a, 2) ELSE '00' END END AS zone FROM z),
-t AS (SELECT event_id, e.source_file, created_at_utc_iso AS raw, coalesce(zone, '+00:00') AS zone, regexp_replace(trim(translate(created_at_utc_iso, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '^[A-Z][a-z]{2} ([A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2}) ([+-]\d{4}) (\d{4})$', '\1 \3\2') AS s FROM graph_events e LEFT JOIN f USING (source_file)),
-u AS (SELECT *, CASE WHEN regexp_matches(s, '[AP]M$') OR NOT regexp_matches(s, '\d:?\d{2}') THEN '' ELSE regexp_extract(s, '( ?[A-Z]{1,4}|(?:\d{2}:\d{2}(?:\.\d+)?|\d{2}:\d{2} ?| \d{4})[ ]?[+-]\d{2}:?\d{2})$', 1) END AS tail FROM t),
-v AS (SELECT *, CASE WHEN regexp_matches(tail, '[+-]') THEN regexp_extract(tail, '([+-]\d{2}:?\d{2})$', 1) ELSE trim(tail) END AS w FROM u),
-x AS (SELECT *, CASE w WHEN '' THEN NULL WHEN 'Z' THEN '+00:00' WHEN 'UTC' THEN '+00:00' WHEN 'GMT' THEN '+00:00' WHEN 'CET' THEN '+01:00' WHEN 'CEST' THEN '+02:00' WHEN 'KST' THEN '+09:00' WHEN 'EST' THEN '-05:00' WHEN 'EDT' THEN '-04:00' WHEN 'PST' THEN '-08:00'
-  ELSE CASE WHEN regexp_matches(w, '^[+-]') THEN left(w, 3) || ':' || right(w, 2) END END AS written, rtrim(left(s, length(s) - length(w))) AS base FROM v),
-y AS (SELECT *, CASE WHEN w <> '' AND written IS NULL THEN NULL ELSE try_strptime(base, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d', '%Y/%m/%d %H:%M:%S', '%d.%m.%Y %H:%M', '%m/%d/%Y %I:%M %p', '%b %d %H:%M:%S %Y', '%a, %d %b %Y %H:%M:%S', '%d %B %Y, %H:%M', '%Y%m%dT%H%M%S']) END AS local, coalesce(written, zone) AS zz FROM x),
-g AS (SELECT *, CASE WHEN regexp_full_match(s, '-?\d+(\.\d+)?') THEN make_timestamp(CAST(floor(CAST(s AS DECIMAL(28, 6)) * CASE WHEN abs(CAST(s AS DOUBLE)) < 1e11 THEN 1000000 WHEN abs(CAST(s AS DOUBLE)) < 1e14 THEN 1000 ELSE 1 END) AS BIGINT))
+#: The instants as named steps, so that other queries can begin with them too.
+INSTANTS = r"""ts_z AS (SELECT source_file, min(timezone_assumption) AS a FROM calendar_sources GROUP BY 1),
+ts_f AS (SELECT source_file, CASE WHEN a IS NULL OR upper(trim(a)) IN ('', 'UTC', 'GMT', 'Z') THEN '+00:00' WHEN regexp_matches(a, '^[A-Za-z]+/') THEN a
+  ELSE regexp_extract(a, '([+-])', 1) || lpad(regexp_extract(a, '[+-](\d{1,2})', 1), 2, '0') || ':' || CASE WHEN a LIKE '%:%' THEN right(a, 2) ELSE '00' END END AS zone FROM ts_z),
+ts_t AS (SELECT event_id, e.source_file, created_at_utc_iso AS raw, coalesce(zone, '+00:00') AS zone, regexp_replace(trim(translate(created_at_utc_iso, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '^[A-Z][a-z]{2} ([A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2}) ([+-]\d{4}) (\d{4})$', '\1 \3\2') AS s FROM graph_events e LEFT JOIN ts_f USING (source_file)),
+ts_u AS (SELECT *, CASE WHEN regexp_matches(s, '[AP]M$') OR NOT regexp_matches(s, '\d:?\d{2}') THEN '' ELSE regexp_extract(s, '( ?[A-Z]{1,4}|(?:\d{2}:\d{2}(?:\.\d+)?|\d{2}:\d{2} ?| \d{4})[ ]?[+-]\d{2}:?\d{2})$', 1) END AS tail FROM ts_t),
+ts_v AS (SELECT *, CASE WHEN regexp_matches(tail, '[+-]') THEN regexp_extract(tail, '([+-]\d{2}:?\d{2})$', 1) ELSE trim(tail) END AS w FROM ts_u),
+ts_x AS (SELECT *, CASE w WHEN '' THEN NULL WHEN 'Z' THEN '+00:00' WHEN 'UTC' THEN '+00:00' WHEN 'GMT' THEN '+00:00' WHEN 'CET' THEN '+01:00' WHEN 'CEST' THEN '+02:00' WHEN 'KST' THEN '+09:00' WHEN 'EST' THEN '-05:00' WHEN 'EDT' THEN '-04:00' WHEN 'PST' THEN '-08:00'
+  ELSE CASE WHEN regexp_matches(w, '^[+-]') THEN left(w, 3) || ':' || right(w, 2) END END AS written, rtrim(left(s, length(s) - length(w))) AS base FROM ts_v),
+ts_y AS (SELECT *, CASE WHEN w <> '' AND written IS NULL THEN NULL ELSE try_strptime(base, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d', '%Y/%m/%d %H:%M:%S', '%d.%m.%Y %H:%M', '%m/%d/%Y %I:%M %p', '%b %d %H:%M:%S %Y', '%a, %d %b %Y %H:%M:%S', '%d %B %Y, %H:%M', '%Y%m%dT%H%M%S']) END AS local, coalesce(written, zone) AS zz FROM ts_x),
+ts_g AS (SELECT *, CASE WHEN regexp_full_match(s, '-?\d+(\.\d+)?') THEN make_timestamp(CAST(floor(CAST(s AS DECIMAL(28, 6)) * CASE WHEN abs(CAST(s AS DOUBLE)) < 1e11 THEN 1000000 WHEN abs(CAST(s AS DOUBLE)) < 1e14 THEN 1000 ELSE 1 END) AS BIGINT))
   WHEN local IS NULL THEN NULL WHEN regexp_matches(zz, '^[+-]') THEN local - to_minutes(CAST((CASE WHEN zz LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(zz, 2, 2) AS INTEGER) * 60 + CAST(substr(zz, 5, 2) AS INTEGER)) AS INTEGER))
-  ELSE CAST(timezone('UTC', CASE WHEN timezone(zz, timezone(zz, local) - INTERVAL 1 HOUR) = local THEN timezone(zz, local) - INTERVAL 1 HOUR ELSE timezone(zz, local) END) AS TIMESTAMP) END AS i FROM y),
-o AS (SELECT event_id, source_file, CASE WHEN i >= TIMESTAMP '2006-03-21' AND i < TIMESTAMP '2026-07-01' THEN strftime(i, '%Y-%m-%dT%H:%M:%S.%fZ') ELSE 'invalid_timestamp' END AS outcome, coalesce(regexp_full_match(raw, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00'), false) AS form FROM g)
+  ELSE CAST(timezone('UTC', CASE WHEN timezone(zz, timezone(zz, local) - INTERVAL 1 HOUR) = local THEN timezone(zz, local) - INTERVAL 1 HOUR ELSE timezone(zz, local) END) AS TIMESTAMP) END AS i FROM ts_y),
+ts_o AS (SELECT event_id, source_file, CASE WHEN i >= TIMESTAMP '2006-03-21' AND i < TIMESTAMP '2026-07-01' THEN i END AS instant, coalesce(regexp_full_match(raw, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00'), false) AS form FROM ts_g)"""
+_OUTCOMES = f"""
+WITH {INSTANTS},
+o AS (SELECT event_id, source_file, coalesce(strftime(instant, '%Y-%m-%dT%H:%M:%S.%fZ'), 'invalid_timestamp') AS outcome, form FROM ts_o)
 """
-SQL["p6_found"] = _INSTANTS + "SELECT event_id, outcome FROM o WHERE NOT (form AND outcome <> 'invalid_timestamp')"
-SQL["p6_invalid_by_file"] = _INSTANTS + (
+SQL["p6_found"] = _OUTCOMES + "SELECT event_id, outcome FROM o WHERE NOT (form AND outcome <> 'invalid_timestamp')"
+SQL["p6_invalid_by_file"] = _OUTCOMES + (
     "SELECT source_file, count(*) AS rows_inspected, count(*) FILTER (outcome = 'invalid_timestamp') AS invalid_timestamp, count(*) FILTER (form AND outcome <> 'invalid_timestamp') AS already_normal FROM o GROUP BY 1"
 )
 

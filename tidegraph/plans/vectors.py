@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions.vectors import norm, truncated_unit
 from tidegraph.operators import graph, model, pooling, validate
-from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, event_units, tweets
+from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, event_units, events, tweets
 from tidegraph.session import shared_dir
 from tidegraph.sources.tables import table
 from tidegraph.streaming import ingest
@@ -106,7 +106,7 @@ def edge_text_aligned(spark, d):
 @query(f"WITH {EDGES} SELECT snapshot_id, relation_id, src_index, dst_index, max(c) AS events_with_text FROM (SELECT e.*, (SELECT count(*) FROM ev WHERE ev.snapshot_id = e.snapshot_id AND ev.relation_id = e.relation_id AND ev.source_idx = e.src_index AND ev.target_idx = e.dst_index AND ev.text_quality = 'ok') AS c FROM e) GROUP BY ALL")
 def edge_text_counts(spark, d):
     """Events with text per canonical edge, zero where there is none."""
-    e = graph.relation_events(graph.event_interactions(table(spark, d, "graph_events")), table(spark, d, "node_universe").select("account_id", "node_index"))
+    e = events(spark, d)
     n = e.where("text_quality = 'ok'").groupBy("snapshot_id", "relation_id", F.col("source_idx").alias("src_index"), F.col("target_idx").alias("dst_index")).agg(F.count(F.lit(1)).alias("n"))
     return graph.edges(e).join(n, graph.EDGE, "left").select(*graph.EDGE, F.coalesce("n", F.lit(0)).alias("events_with_text"))
 
