@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.config import Config
+from tidegraph.functions.text import normalized_text
 from tidegraph.operators import diagnostics, graph, model, records, validate
 
 EDGES = "snapshot_id int, relation_id tinyint, src_index int, dst_index int, count_raw bigint, weight_log1p double"
@@ -33,6 +34,18 @@ def test_sheet_to_events(spark):
     assert graph.edges(ev.unionByName(ev)).agg(F.sum("count_raw")).first()[0] == 2
 
 
+def test_events_take_times_in_any_form(spark):
+    rows = [(1, "f", 1, "100", "200", 0, "2018-03-01 09:00:00", "e\u0301", "s1"), (2, "f", 2, "100", "200", 0, "1519862400", " \u00a0", "s2"), (3, "g", 1, "100", "200", 0, "01.03.2018 00:00", None, "s3"), (4, "g", 2, "100", "200", 0, "soon", "x", "s4")]
+    e = spark.createDataFrame(rows, "event_id bigint, source_file string, source_row_number bigint, author_account_id string, target_account_id string, relation_id tinyint, created_at_utc_iso string, cleaned_text string, signature string")
+    sources = spark.createDataFrame([("f", "+09:00")], "source_file string, timezone_assumption string")
+    nodes = spark.createDataFrame([("100", 0), ("200", 1)], "account_id string, node_index int")
+    i = graph.event_interactions(e, sources)
+    assert {r.signature: str(r.created) for r in i.collect()} == {"s1": "2018-03-01 00:00:00", "s2": "2018-03-01 00:00:00", "s3": "2018-03-01 00:00:00", "s4": "None"}
+    assert {(r.reason, r.rows) for r in graph.ladder_counts(i, nodes).collect()} == {("event", 3), ("invalid_timestamp", 1)}
+    got = {r.signature: (r.cleaned_text, r.text_quality, r.text_hash) for r in graph.relation_events(i, nodes).collect()}
+    assert got["s1"][:2] == ("\u00e9", "ok") and got["s2"][1] == "whitespace_only" and got["s3"][1] == "empty" and got["s2"][2] == got["s3"][2] == "e3b0c44298fc1c14"
+
+
 def test_edge_checks(spark):
     good = [(0, 0, 0, 1, 3), (0, 0, 1, 0, 1), (0, 1, 0, 2, 2), (2, 0, 0, 3, 1)]
     assert validate.edge_violations(edge(spark, good)).count() == 0
@@ -82,7 +95,7 @@ def test_dedup_summary(spark):
 
 def test_text_normalisation(spark):
     df = spark.createDataFrame([("\ufeffa\r\nb\rc",), ("e\u0301",), (None,), (" ",)], "t string")
-    assert [r.n for r in records.normalized_text(df, "t", "n").collect()] == ["a\nb\nc", "é", None, " "]
+    assert [r.n for r in normalized_text(df, "t", "n").collect()] == ["a\nb\nc", "é", None, " "]
 
 
 def test_carry_and_scatter(spark):

