@@ -62,13 +62,21 @@ def eager_join_aggregate(
     )
 
 
+def _side(pairs: DataFrame, me: str, other: str, prefix: str) -> DataFrame:
+    """The compact state of each account on one side of the pairs: events, counterparts and events per relation."""
+    sums = [F.sum("n").alias("events"), F.count(other).alias("counterparts"), *[F.sum(r).alias(r) for r in RELATIONS]]
+    one = pairs.where(F.col(me).isNotNull()).groupBy(F.col(me).alias("account_id")).agg(*sums)
+    return one.select("account_id", *[F.col(c).alias(f"{prefix}_{c}") for c in one.columns if c != "account_id"])
+
+
 def account_states(events: DataFrame) -> DataFrame:
     """One row per role and account: events, distinct counterparts, events per relation.
 
-    First rows are reduced to one state per (author, target), then each state is
-    given to both of its roles and reduced again, so distinct counterparts are a
-    plain count and even an account in a third of all rows is spread over all
-    tasks by its counterparts. Rows without an account in a role give nothing in
+    The rows an account wrote and those it received are two inputs with the account as their
+    key. Both are reduced before they meet: first to one state per (author, target), so that distinct
+    counterparts become a plain count and an account in a third of all rows is spread over all
+    tasks by its counterparts, then to one state per account. The states are joined, one row for
+    each account, and rolled up to roles. Rows without an account in a role give nothing in
     that role; a missing counterpart counts as an event but not as a counterpart.
     """
     relation = F.col("relation_id")
@@ -77,19 +85,10 @@ def account_states(events: DataFrame) -> DataFrame:
         .groupBy("a", "t")
         .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(relation == i).alias(r) for i, r in enumerate(RELATIONS)])
     )
-    role = F.explode(
-        F.array(
-            F.struct(F.lit("author").alias("role"), F.col("a").alias("account_id"), F.col("t").alias("other")),
-            F.struct(F.lit("target").alias("role"), F.col("t").alias("account_id"), F.col("a").alias("other")),
-        )
-    ).alias("s")
-    return (
-        pairs.select(role, "n", *RELATIONS)
-        .select("s.*", "n", *RELATIONS)
-        .where(F.col("account_id").isNotNull())
-        .groupBy("role", "account_id")
-        .agg(F.sum("n").alias("events"), F.count("other").alias("counterparts"), *[F.sum(r).alias(r) for r in RELATIONS])
-    )
+    joined = _side(pairs, "a", "t", "author").join(_side(pairs, "t", "a", "target"), "account_id", "full")
+    fields = ("events", "counterparts", *RELATIONS)
+    roles = F.array(*[F.struct(F.lit(role).alias("role"), *[F.col(f"{role}_{f}").alias(f) for f in fields]) for role in ("author", "target")])
+    return joined.select("account_id", F.explode(roles).alias("s")).where(F.col("s.events").isNotNull()).select("s.role", "account_id", *[f"s.{f}" for f in fields])
 
 
 def account_profile(events: DataFrame, universe: DataFrame) -> DataFrame:
