@@ -45,6 +45,25 @@ def test_budget_and_ranges_do_not_change_the_mix(spark):
     assert a == b and sum(t[4] for t in a) <= 3000 and sum(t[4] for t in a) > 2900
 
 
+def test_budget_beyond_what_a_source_has(spark):
+    """A source that ends early leaves its part to the others, and what is left out is what finishes last."""
+    docs, targets = frames(spark, corpus())
+    every = mixing.mix(docs, targets, budget=10**9, range_rows=100).collect()
+    most = {"big": 1, "small": 3, "tiny_one": 6}
+    pool = mixing.candidates(docs, targets).collect()
+    assert Counter((r.source, r.doc_id) for r in every) == {(r.source, r.key): most[r.source] for r in pool}
+    part = mixing.mix(docs, targets, budget=9000, range_rows=100).collect()
+    assert {tuple(r) for r in part} == {tuple(r) for r in every if r.position + r.tokens <= 9000}
+
+
+def test_small_weight_and_many_texts(spark):
+    """Copies that finish after the mix are not made."""
+    docs = spark.createDataFrame([(i, f"t{i}", "big" if i < 2000 else "small", 10) for i in range(2020)], "doc_id bigint, text string, source string, tokens bigint")
+    targets = spark.createDataFrame([("big", 0.01, 50), ("small", 0.99, 1)], "source string, target_share double, max_repeats int")
+    got = Counter(r.source for r in mixing.mix(docs, targets, range_rows=10).collect())
+    assert got["small"] == 20 and got["big"] <= 1
+
+
 def test_one_source_and_empty(spark):
     docs, targets = frames(spark, [(f"t{i}", "small", 10) for i in range(10)])
     per = defaultdict(int)

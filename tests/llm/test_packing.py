@@ -67,6 +67,21 @@ def test_groups_exchange(spark):
     assert more.containers <= one.containers and more.least_containers == 300 and more.containers <= 315
 
 
+def test_order_of_rows_does_not_matter(spark):
+    sizes = [(i * 37) % 90 + 1 for i in range(900)] + [50] * 60
+    item = packing.items(docs(spark, sizes), kinds(spark, ("k", 100)))
+    rows = lambda df: sorted((r.doc_id, r.piece, r.container_id) for r in packing.pack(df, group_items=100).collect())
+    want = rows(item)
+    assert rows(item.orderBy(F.desc("doc_id")).repartition(5)) == want and rows(item.orderBy(F.rand(3)).coalesce(1)) == want
+
+
+def test_rounds_go_on_until_groups_have_met(spark):
+    """With sixteen groups three rounds are not enough for all of them to meet."""
+    sizes = [60] * 400 + [40] * 400
+    got = packing.pack(packing.items(docs(spark, sizes), kinds(spark, ("k", 100))), group_items=50)
+    assert packing.certificate(got).first().containers <= 404
+
+
 def test_empty(spark):
     assert packing.pack(packing.items(docs(spark, []), kinds(spark, ("a", 10)))).count() == 0
     assert packing.pack(packing.items(docs(spark, [1]), kinds(spark))).count() == 0

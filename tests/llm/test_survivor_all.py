@@ -12,6 +12,6 @@ def test_every_column_is_voted_on(spark):
 
 def test_query_has_all_columns(spark, data):
     r = spark.read.parquet(f"{data}/normalized_records.parquet")
-    got = queries.QUERIES["p5_consolidated_all"](spark, data)
+    got = queries.QUERIES["p5_consolidated"](spark, data)
     assert set(got.columns) == {*r.columns, "occurrences"} and len(got.columns) == 27
     assert {c: t for c, t in got.dtypes if c in r.columns} == dict(r.dtypes)

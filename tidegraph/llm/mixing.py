@@ -14,6 +14,8 @@ the texts is many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +69,25 @@ def candidates(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: s
     return one.join(F.broadcast(wanted), "source")
 
 
+def horizon(sources: list[tuple[float, float, int]], budget: int) -> float:
+    """A finish time no text of the mix exceeds, from (weight, tokens with all repeats, longest text) of each source.
+
+    By the finish time f a source has given at least weight * f less one text, or all it has. The
+    horizon is the time at which that comes to more than the budget; if all
+    sources together hold no more, it is the finish time of the very last copy.
+    """
+    end = max((held / weight for weight, held, _ in sources), default=1.0)
+    given = lambda f: sum(held if weight * f >= held else max(0.0, weight * f - longest) for weight, held, longest in sources)
+    slack = 1 + 1e-9  # for rounding; what it lets through is cut by the budget
+    if given(end) <= budget:
+        return end * slack
+    low, high = 0.0, end
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if given(middle) > budget else (middle, high)
+    return high * slack
+
+
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix in order: position (tokens before), key, source, copy (from 1), tokens.
 
@@ -76,25 +97,27 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     tokens and sources without a target take no part; an empty table gives an empty mix.
     """
     pool = written(candidates(docs, targets), "pool")
-    size = pool.groupBy("source", "share", "repeats").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"))
-    own = size.agg(F.sum("share").alias("shares"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("repeats")).alias("copies")).first()
+    size = pool.groupBy("source", "share", "repeats").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("longest"))
+    own = size.agg(F.sum("share").alias("shares"), F.sum("n").alias("n"), F.sum("total").alias("tokens"), F.sum(F.col("total") * F.col("repeats")).alias("all_copies")).first()
     pool = pool.withColumn("weight", F.col("share") / F.lit(own.shares or 1.0))
     if budget is None:
         reach = size.agg(F.min(F.floor(F.col("total") * F.col("repeats") / (F.col("share") / F.lit(own.shares or 1.0))))).first()[0]
         budget = int(reach or 0)
+    end = horizon([(r.share / (own.shares or 1.0), float(r.total) * r.repeats, r.longest) for r in size.collect()], budget)
     rank = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(_STEPS))
     ranges = max(1, -(-(own.n or 0) // range_rows))
     placed = pool.withColumn("_rank", rank).withColumn("_range", F.floor(F.col("_rank") * F.lit(ranges) / F.lit(_STEPS)).cast("bigint"))
     placed = running_total(placed, ["source"], "_range", ["_rank", "key"], "tokens", "_end")
-    totals = size.select("source", "total")
-    copies = placed.join(F.broadcast(totals), "source").select(
-        "key", "source", "tokens", "weight", "_end", "total", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
+    # copies that finish after the end of the mix are never made
+    last = F.least(F.col("repeats").cast("double"), F.floor((F.lit(end) * F.col("weight") - F.col("_end")) / F.col("total")) + 1).cast("int")
+    copies = placed.join(F.broadcast(size.select("source", "total")), "source").withColumn("_last", last).where("_last >= 1").select(
+        "key", "source", "tokens", "weight", "_end", "total", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("copy")
     )
     finish = (F.col("_end") + (F.col("copy") - 1) * F.col("total")) / F.col("weight")
-    queued = copies.withColumn("finish", finish)
-    longest = queued.agg(F.max("finish")).scalar()
-    slots = max(1, -(-(own.copies or 0) // range_rows))
-    queued = queued.withColumn("_slot", F.least(F.floor(F.col("finish") / longest * F.lit(slots)).cast("bigint"), F.lit(slots - 1)))
+    # up to the end all sources advance together, so slots of equal length hold about equally many tokens
+    mean = (own.tokens or 1) / (own.n or 1)
+    slots = max(1, math.ceil(min(end, own.all_copies or 1) / mean / range_rows))
+    queued = copies.withColumn("finish", finish).withColumn("_slot", F.least(F.floor(F.col("finish") / F.lit(end) * F.lit(slots)).cast("bigint"), F.lit(slots - 1)))
     ordered = running_total(queued, [], "_slot", ["finish", "source", "key", "copy"], "tokens", "_total")
     return ordered.where(F.col("_total") <= budget).select((F.col("_total") - F.col("tokens")).alias("position"), F.col("key").alias("doc_id"), "source", "copy", "tokens")
 

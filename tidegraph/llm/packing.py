@@ -6,7 +6,8 @@ functions say how many containers a group, and all items of a kind, need at
 least. A kind that meets its bound is certified and done; of the others,
 groups with a gap give up their containers that are not full, and all groups
 those with much room, exchange these items pairwise and pack them again,
-keeping the better of the old and the new packing.
+keeping the better of the old and the new packing, until the bound is met or a round gains nothing.
+The result depends on the items only, not on the order of their rows.
 
 A text is cut only if it exceeds the capacity: into full containers and one rest
 that is packed like any other item.
@@ -23,7 +24,6 @@ from tidegraph.session import ship, written
 
 #: Items a group holds on average; a task packs one group.
 GROUP_ITEMS = 20_000
-ROUNDS = 3
 #: Containers filled to less than this share are given up for an exchange even in groups that meet their bound.
 LOOSE = 0.98
 MAX_KINDS = 1_000
@@ -98,7 +98,11 @@ def items(docs: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
 
 
 def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Packs one group; containers that were already there (old) stay if the new packing needs as many."""
+    """Packs one group; containers that were already there (old) stay if the new packing needs as many.
+
+    Rows come in any order, so they are sorted by size, hash of the key and piece first; rows that agree in all of these are alike.
+    """
+    pdf = pdf.sort_values(["size", "mark", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
     capacity = int(pdf["capacity"].iat[0])
     sizes = pdf["size"].to_numpy(dtype=np.int64)
     bins = best_fit_decreasing(sizes, capacity)
@@ -117,25 +121,37 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def pack(item: DataFrame, key: str = "doc_id", group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(item: DataFrame, key: str = "doc_id", group_items: int = GROUP_ITEMS, rounds: int | None = None) -> DataFrame:
     """``item`` rows with ``container_id`` and ``fill`` (of their container).
 
     Groups are drawn by hash, so each has about ``group_items`` items whatever the
     number of items; a kind's containers are never shared between groups. Rows with
-    equal keys are packed one by one, size 0 goes where there is room.
+    equal keys are packed one by one, size 0 goes where there is room. In round r the groups
+    that differ in bit r - 1 of their number meet, so after as many rounds as the number of groups has bits
+    all of them have met, each time with little more than one loose container a group. ``rounds`` stops
+    earlier, to see what the exchange is worth.
     """
     ship(item.sparkSession)
-    parts = max(1, -(-item.count() // group_items))
-    grp = F.pmod(F.xxhash64(F.col(key), "piece", F.lit(8)), F.lit(parts)).cast("bigint")
-    schema = item.schema.simpleString()[len("struct<") : -1] + ",grp:bigint,round:int,container_id:string,fill:bigint,gap:bigint"
-    rows = item.withColumns({"grp": grp, "round": F.lit(0), "container_id": F.lit(None).cast("string"), "fill": F.lit(0).cast("bigint"), "gap": F.lit(0).cast("bigint")})
+    # sizes come from a tokenizer, so they are written once and read for the count and for the packing
+    sized = written(item, "sizes")
+    parts = max(1, -(-sized.count() // group_items))
+    mark = F.xxhash64(F.col(key), "piece", F.lit(8))
+    made = "mark bigint, grp bigint, round int, container_id string, fill bigint, gap bigint"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema), made])
+    rows = sized.withColumn("mark", mark).withColumns({"grp": F.pmod(F.col("mark"), F.lit(parts)).cast("bigint"), "round": F.lit(0), "container_id": F.lit(None).cast("string"), "fill": F.lit(0).cast("bigint"), "gap": F.lit(0).cast("bigint")})
     names = rows.columns
     packed = written(rows.groupBy("container_kind", "grp").applyInPandas(_pack_group, schema), "packed")
     done = packed.limit(0).select(names)
-    for r in range(1, rounds + 1):
-        open_kinds = [c.container_kind for c in certificate(done.unionByName(packed.select(names))).where("containers > least_containers").select("container_kind").collect()]
+    before: dict[str, int] = {}
+    r = 0
+    while 2**r < parts and (rounds is None or r < rounds):
+        now = {c.container_kind: c for c in certificate(done.unionByName(packed.select(names))).collect()}
+        # a kind is open while it misses its bound and its last round gained something
+        open_kinds = [k for k, c in now.items() if c.containers > c.least_containers and c.containers < before.get(k, c.containers + 1)]
         if not open_kinds:
             break
+        before = {k: c.containers for k, c in now.items()}
+        r += 1
         slack = (F.col("fill") < F.col("capacity")) & ((F.col("gap") > 0) | (F.col("fill") < F.col("capacity") * LOOSE))
         free = F.coalesce(F.col("container_kind").isin(open_kinds), F.lit(False)) & slack
         done = done.unionByName(packed.where(~free).select(names))

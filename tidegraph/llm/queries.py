@@ -66,16 +66,10 @@ def p5_found(spark, d):
 
 @query
 def p5_consolidated(spark, d):
+    """One record per post with every column of the records."""
     return survivor.consolidate(table(spark, d, "normalized_records"))
 
 
-@query
-def p5_consolidated_all(spark, d):
-    """One record per post with every column of the records; ``p5_consolidated`` has the three fields of its SQL."""
-    r = table(spark, d, "normalized_records")
-    return survivor.consolidate(r, survivor.data_columns(r))
-
-
 @query
 def p8_containers(spark, d):
     docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
@@ -135,16 +129,6 @@ k AS (SELECT *, count(*) OVER (PARTITION BY post, field_name) AS n, row_number()
   ORDER BY value IS NULL, status, collected_at DESC NULLS LAST, source_file, source_row_number) AS i FROM l WHERE post IS NOT NULL)
 SELECT post AS tweet_id, field_name, source_file AS canonical_source_file, source_row_number AS canonical_source_row_number FROM k WHERE n >= 2 AND i = 1 AND value IS NOT NULL
 """
-SQL["p5_consolidated"] = _RECORDS + f"""
-v AS (SELECT post, field_name, regexp_replace(value, '^{_WS}+|{_WS}+$', '', 'g') AS value, CASE WHEN value IS NOT NULL THEN [1.0, 0.5, 0.25, 0.125][status + 1]
-  * pow(0.5, coalesce((epoch(TIMESTAMP '2026-07-01') - epoch(collected_at)) / 86400.0, 3650.0) / 365.0) END AS vote FROM l WHERE post IS NOT NULL),
-t AS (SELECT post, field_name, value, round(sum(vote), 9) AS votes, count(*) AS n FROM v GROUP BY ALL),
-w AS (SELECT post, field_name, value, sum(n) OVER (PARTITION BY post, field_name) AS n,
-  row_number() OVER (PARTITION BY post, field_name ORDER BY value IS NULL, votes DESC, value) AS i FROM t)
-SELECT post AS tweet_id, CAST(max(n) AS BIGINT) AS occurrences, CAST(max(CASE WHEN field_name = 'likes' THEN value END) AS BIGINT) AS likes,
-  max(CASE WHEN field_name = 'text_raw' THEN value END) AS text_raw, CAST(max(CASE WHEN field_name = 'views' THEN value END) AS BIGINT) AS views
-FROM w WHERE i = 1 GROUP BY post
-"""
 _TEXTS = ("author_account_id", "created_at_original", "text_raw", "text_normalized", "text_quality", "source_file", "source_sheet", "record_status", "exclusion_reason")
 _TYPED = {
     "record_id": "BIGINT", "node_index": "INTEGER", "created_at_utc": "TIMESTAMPTZ", "snapshot_id": "INTEGER", "text_raw_len": "BIGINT", "text_normalized_len": "BIGINT", "likes": "BIGINT", "retweets": "BIGINT", "reply_count": "BIGINT",
@@ -154,7 +138,7 @@ _ALL_LONG = " UNION ALL ".join(
     [f"SELECT post, '{c}' AS field_name, CASE WHEN regexp_full_match({c}, '{_WS}*') THEN NULL ELSE {c} END AS value, status, collected_at FROM r" for c in _TEXTS]
     + [f"SELECT post, '{c}', CAST({c} AS VARCHAR), status, collected_at FROM r" for c in _TYPED]
 )
-SQL["p5_consolidated_all"] = _RECORDS.split("l AS (")[0] + f"""l AS ({_ALL_LONG}),
+SQL["p5_consolidated"] = _RECORDS.split("l AS (")[0] + f"""l AS ({_ALL_LONG}),
 v AS (SELECT post, field_name, regexp_replace(value, '^{_WS}+|{_WS}+$', '', 'g') AS value, CASE WHEN value IS NOT NULL THEN [1.0, 0.5, 0.25, 0.125][status + 1]
   * pow(0.5, coalesce((epoch(TIMESTAMP '2026-07-01') - epoch(collected_at)) / 86400.0, 3650.0) / 365.0) END AS vote FROM l WHERE post IS NOT NULL),
 t AS (SELECT post, field_name, value, round(sum(vote), 9) AS votes, count(*) AS n FROM v GROUP BY ALL),

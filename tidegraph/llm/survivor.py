@@ -1,28 +1,25 @@
 """Best representative of each group of duplicate records (problem 5).
 
 Records are unpivoted to one long row per field, every long row votes for its
-value, the best value of each field is chosen by aggregation and the fields are
-pivoted back to one record per post. All aggregations combine on the map side,
-so a post on a third of all rows is no hot task.
-
-Two ways to weigh votes:
-
-``votes``   the votes for a normalised value are summed: trust in the record's
-            status times a decay by the time of collection. The value with the
-            most votes wins.
-``ranked``  a value counts as its best occurrence does: by status, then latest
-            collection, then smallest source location. Sums cannot express that
-            order (many poor rows would outvote one good row), so here each
-            field takes the occurrence with the highest key instead.
+normalised value, votes are summed per value, the value with the most is chosen by
+``max_by`` and the fields are pivoted back to one record per post. All aggregations combine
+on the map side, so a post on a third of all rows is no hot task.
+
+A vote is trust in the record's status times a decay by the time of collection.
+``best_locations`` wants a strict order instead (status, then latest collection, then
+smallest source location). Sums alone cannot express it, as many poor rows would outvote one
+good row, so there the votes of a value are led by the key of its best occurrence and
+the sum only follows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.frames import carry, restore
 from tidegraph.functions.text import ascii_digits, is_blank, strip
 
 #: Trust by status, best first; records of no known status get the last value.
@@ -30,6 +27,9 @@ STATUS_ORDER = ("retained", "excluded", "rejected")
 TRUST = (1.0, 0.5, 0.25, 0.125)
 FIELDS = ("likes", "text_raw", "views")
 AS_OF = "2026-07-01 00:00:00"
+HALF_LIFE = 365.0
+#: The place in time of records without a collection time: after all others.
+NEVER = 2**63 - 1
 
 
 def post_key(tweet_id: Column) -> Column:
@@ -47,16 +47,26 @@ def status_rank(status: Column) -> Column:
 
 
 def _present(df: DataFrame, field: str) -> Column:
-    return ~is_blank(F.col(field)) if dict(df.dtypes)[field] == "string" else F.col(field).isNotNull()
+    c = F.col(f"`{field}`")
+    return ~is_blank(c) if dict(df.dtypes)[field] == "string" else c.isNotNull()
 
 
-def long_rows(records: DataFrame, fields: Sequence[str], values: bool) -> DataFrame:
-    """One row per record and field: post, field_name, present, rank key, with ``values`` the value as text."""
-    per_field = [
-        F.struct(F.lit(f).alias("field_name"), _present(records, f).alias("present"), *([F.col(f).cast("string").alias("value")] if values else []))
-        for f in fields
-    ]
-    late = F.coalesce(-F.unix_micros(F.col("collected_at").cast("timestamp")), F.lit(2**63 - 1))
+def normalised(c: Column) -> Column:
+    """What values are compared by: their text without white space around."""
+    return strip(c.cast("string"))
+
+
+def vote(half_life_days: float, as_of: str) -> Column:
+    """Trust by status times 0.5 ** (age at ``as_of`` / ``half_life_days``); no collection time is an age of ten half-lives."""
+    late = F.col("late")
+    age = F.when(late == NEVER, F.lit(10.0 * half_life_days)).otherwise((F.lit(as_of).cast("timestamp").cast("double") + late.cast("double") / 1e6) / 86400.0)
+    return F.element_at(F.array(*[F.lit(t) for t in TRUST]), F.col("status") + 1) * F.pow(F.lit(0.5), age / half_life_days)
+
+
+def long_rows(records: DataFrame, fields: Sequence[str], value: Callable[[str], Column]) -> DataFrame:
+    """One row per record and field: post, field_name, value (NULL if missing), status and late (negated time of collection), source location."""
+    per_field = [F.struct(F.lit(f).alias("field_name"), F.when(_present(records, f), value(f)).alias("value")) for f in fields]
+    late = F.coalesce(-F.unix_micros(F.col("collected_at").cast("timestamp")), F.lit(NEVER))
     return (
         records.select(
             post_key(F.col("tweet_id")).alias("post"),
@@ -71,24 +81,30 @@ def long_rows(records: DataFrame, fields: Sequence[str], values: bool) -> DataFr
     )
 
 
-def best_locations(records: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """For each post on two or more rows and each field, the row that supplies its value (``ranked``).
+def best_locations(records: DataFrame, fields: Sequence[str] = FIELDS, half_life_days: float = HALF_LIFE, as_of: str = AS_OF) -> DataFrame:
+    """For each post on two or more rows and each field, the row that supplies its value.
 
     No row comes out for a field without any value. Ties end at the smallest
-    (source_file, source_row_number). Records that name no post are left out.
+    (source_file, source_row_number). Records that name no post are left out. Values
+    are told apart by the hash of their normalised text, which saves moving texts.
     """
+    # the least key is the best row, so a value's lead is the least of its rows
     key = F.struct("status", "late", "source_file", "source_row_number")
-    return (
-        long_rows(records, fields, values=False)
-        .groupBy("post", "field_name")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("present"), key)).alias("best"))
-        .where((F.col("n") >= 2) & F.col("best").isNotNull())
-        .select(
-            F.col("post").alias("tweet_id"),
-            "field_name",
-            F.col("best.source_file").alias("canonical_source_file"),
-            F.col("best.source_row_number").alias("canonical_source_row_number"),
-        )
+    tally = (
+        long_rows(records, fields, lambda f: F.xxhash64(normalised(F.col(f))))
+        .groupBy("post", "field_name", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lead"), F.sum(vote(half_life_days, as_of)).alias("votes"))
+    )
+    # the strongest vote is the one with the least key, as texts (of locations) have no negative: min_by is max_by in that order
+    strength = F.when(F.col("value").isNotNull(), F.struct("lead", (-F.col("votes")).alias("votes")))
+    won = tally.groupBy("post", "field_name").agg(F.sum("n").alias("n"), F.min_by("lead", strength).alias("best"))
+    record = won.where("n >= 2 and best is not null").groupBy("post").agg(*[F.max(F.when(F.col("field_name") == f, F.col("best"))).alias(f) for f in fields])
+    rows = F.filter(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("at")) for f in fields]), lambda x: x["at"].isNotNull())
+    return record.select(F.col("post").alias("tweet_id"), F.explode(rows).alias("r")).select(
+        "tweet_id",
+        "r.field_name",
+        F.col("r.at.source_file").alias("canonical_source_file"),
+        F.col("r.at.source_row_number").alias("canonical_source_row_number"),
     )
 
 
@@ -97,29 +113,30 @@ def data_columns(records: DataFrame) -> list[str]:
     return [c for c in records.columns if c != "tweet_id"]
 
 
-def consolidate(records: DataFrame, fields: Sequence[str] = FIELDS, half_life_days: float = 365.0, as_of: str = AS_OF) -> DataFrame:
-    """One record per post with the value of most votes in every field (``votes``).
+def consolidate(records: DataFrame, fields: Sequence[str] | None = None, half_life_days: float = HALF_LIFE, as_of: str = AS_OF) -> DataFrame:
+    """One record per post with the value of most votes in every field (all columns by default).
 
-    A vote is trust by status times 0.5 ** (age in days / ``half_life_days``), age
-    being taken at ``as_of``; no collection time means the age of ten half-lives.
     Values are compared as text without white space around, the winner is the
     smallest such text among those with equal votes (to nine digits). Posts on one row
-    come out too. ``occurrences`` is the number of rows of the post.
+    come out too; that row is its own best and casts no votes. ``occurrences`` is the number of rows of the post.
     """
-    age = (F.lit(as_of).cast("timestamp").cast("double") - F.col("late").cast("double") / -1e6) / 86400.0
-    age = F.when(F.col("late") == 2**63 - 1, F.lit(10.0 * half_life_days)).otherwise(age)
-    trust = F.element_at(F.array(*[F.lit(t) for t in TRUST]), F.col("status") + 1)
-    vote = F.when(F.col("present"), trust * F.pow(F.lit(0.5), age / half_life_days))
+    fields = [f for f in (data_columns(records) if fields is None else fields) if f != "occurrences"]
+    kinds = dict(records.dtypes)
+    keyed = carry(records, _post=post_key(F.col("tweet_id"))).where("_post is not null")
+    counts = keyed.groupBy("_post").agg(F.count(F.lit(1)).alias("_rows"))
+    alone = keyed.join(counts.where("_rows = 1").select("_post"), "_post", "left_semi")
+    several = restore(keyed.join(counts.where("_rows > 1").select("_post"), "_post", "left_semi"), records)
+    own = restore(alone.select("_row"), records)
+    single = own.select(
+        post_key(F.col("tweet_id")).alias("_post"), F.lit(1).cast("bigint").alias("_n"), *[F.when(_present(records, f), normalised(F.col(f"`{f}`"))).alias(f"_{i}") for i, f in enumerate(fields)]
+    )
     tally = (
-        long_rows(records, fields, values=True)
-        .select("post", "field_name", F.when(F.col("present"), strip(F.col("value"))).alias("value"), vote.alias("vote"))
+        long_rows(several, fields, lambda f: normalised(F.col(f"`{f}`")))
         .groupBy("post", "field_name", "value")
-        .agg(F.sum("vote").alias("votes"), F.count(F.lit(1)).alias("n"))
-    )
-    rank = F.when(F.col("value").isNotNull(), F.struct((-F.round("votes", 9)).alias("v"), F.col("value").alias("x")))
-    won = tally.groupBy("post", "field_name").agg(F.min(rank).alias("best"), F.sum("n").alias("n"))
-    return (
-        won.groupBy("post")
-        .agg(F.max("n").alias("occurrences"), *[F.max(F.when(F.col("field_name") == f, F.col("best.x"))).alias(f) for f in fields])
-        .select(F.col("post").alias("tweet_id"), "occurrences", *[F.col(f).cast(dict(records.dtypes)[f]).alias(f) for f in fields])
+        .agg(F.sum(F.when(F.col("value").isNotNull(), vote(half_life_days, as_of))).alias("votes"), F.count(F.lit(1)).alias("n"))
     )
+    # of equal votes the smallest text wins: min_by over the negated sum is max_by over the sum
+    strength = F.when(F.col("value").isNotNull(), F.struct((-F.round("votes", 9)).alias("v"), F.col("value").alias("x")))
+    won = tally.groupBy("post", "field_name").agg(F.min_by("value", strength).alias("best"), F.sum("n").alias("n"))
+    voted = won.groupBy(F.col("post").alias("_post")).agg(F.max("n").alias("_n"), *[F.max(F.when(F.col("field_name") == f, F.col("best"))).alias(f"_{i}") for i, f in enumerate(fields)])
+    return single.unionByName(voted).select(F.col("_post").alias("tweet_id"), F.col("_n").alias("occurrences"), *[F.col(f"_{i}").cast(kinds[f]).alias(f) for i, f in enumerate(fields)])
