@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("tidegraph")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(PARTITIONS, str((os.cpu_count() or 1) if cores == "*" else cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -90,11 +91,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Session setting: into how many partitions ``spread`` puts rows before costly work row by row.
+PARTITIONS = "spark.tidegraph.partitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in at least as many partitions as the cluster has cores, by a hash of ``keys``, for costly work row by row.
+    """``df`` in as many partitions as ``spark.tidegraph.partitions`` names, by a hash of ``keys``; as it is read where that is not set.
 
-    Only an input of fewer partitions than cores is moved (small files of one row group each);
-    larger ones are left as they are read. The rows are the same either way.
+    For tables of a few files with one row group each, which leave most cores idle. It is set for sessions of
+    one machine; a cluster that reads many files needs no such step. The rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
