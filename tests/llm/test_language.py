@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -49,6 +50,29 @@ def test_defined_results(samples):
     assert lang == "en" and 0 < confidence <= 1 and words == 5500
 
 
+def exact(model, words):
+    """Cosines with all centroids by the definition, from one bag of n-grams."""
+    bag = Counter(g for w in words for g in language.grams(w))
+    weight = {g: k * (model.idf[model.column[g]] if g in model.column else model.unseen) for g, k in bag.items()}
+    length = sum(x * x for x in weight.values()) ** 0.5
+    return max(sum(c[model.column[g]] * x for g, x in weight.items() if g in model.column) for c in model.centroids) / length
+
+
+def test_cosines_are_exact_at_any_length(samples):
+    model = language.Model(samples)
+    for text in ("zqx " * 5, "zqx " * 200, "los fans esperaron la cancion zqx " * 7, "qwrtz plmk", "before the show " + "xyzzyq " * 30):
+        words = language.content_words(text)
+        lang, cosine, _ = model.classify(words)
+        assert cosine == pytest.approx(exact(model, words)) and (lang < 0) == (cosine < language.REJECT)
+    assert model.classify(["zqx"] * 5)[0] == model.classify(["zqx"] * 2000)[0] == -1
+
+
+def test_long_words_are_scored_whole(samples):
+    model = language.Model(samples)
+    a, b = model.word("w" * 40 + "straße"), model.word("w" * 40 + "canción")
+    assert (a[0] != b[0]).any()
+
+
 def test_order_of_samples_does_not_matter(samples):
     a, b = language.Model(samples), language.Model(list(reversed(samples)) + samples)
     assert (a.centroids == b.centroids).all()

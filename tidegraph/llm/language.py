@@ -7,8 +7,9 @@ blur each other), and a text goes to the language of the centroid with the
 largest cosine, or to none if even that is below ``REJECT``.
 
 A vector's product with the centroids is the sum over its words, so each
-distinct word is scored once per worker; texts are then sums of cached rows. A
-text is cut into stretches by the cheapest path through languages, word by
+distinct word is scored once per worker; texts are then sums of cached rows. The
+length of a vector is no such sum, as words share n-grams: it is taken from the n-grams of all
+words counted together. A text is cut into stretches by the cheapest path through languages, word by
 word, in which every change of language has a price.
 
 The model is fitted on the trusted samples only, at most ``MAX_SAMPLES`` of them.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,7 +55,9 @@ NAMES = {
 }
 _CODES = {n: code for code, names in NAMES.items() for n in names.split()}
 
-_DROPPED = re.compile(r"https?://\S+|www\.\S+|<[^<>\s]+>|(?<![\w.+%-])[\w.+%-]++ ?[@＠] ?[\w-]+(?:\.[\w-]+)+|(?<!\w)[@#][\w‌]+|\"[^\"\n]{1,120}\"|«[^»\n]{1,120}»|“[^”\n]{1,120}”|\d[\d.,:/-]*")
+#: Longest quotation that is taken for a title (characters); longer ones are text of their own.
+MAX_TITLE = 120
+_DROPPED = re.compile(rf"https?://\S+|www\.\S+|<[^<>\s]+>|(?<![\w.+%-])[\w.+%-]++ ?[@＠] ?[\w-]+(?:\.[\w-]+)+|(?<!\w)[@#][\w‌]+|\"[^\"\n]{{1,{MAX_TITLE}}}\"|«[^»\n]{{1,{MAX_TITLE}}}»|“[^”\n]{{1,{MAX_TITLE}}}”|\d[\d.,:/-]*")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ًͯ-ٕ'])*")
 _ANY_WORD = re.compile(r"[^\W_]+")
 
@@ -98,17 +102,15 @@ class Model:
         n = len(bags)
         self.idf = np.array([np.log((1 + n) / (1 + seen[g])) + 1 for g in self.column])
         self.unseen = float(np.log(1 + n) + 1)
-        matrix = np.zeros((n, len(self.column)))
-        for row, bag in enumerate(bags):
-            for g, k in bag.items():
-                matrix[row, self.column[g]] = k
-        matrix *= self.idf
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix /= np.where(norms == 0, 1, norms)
+        sparse = []  # (columns, values) of each sample at unit length
+        for bag in bags:
+            at = np.fromiter((self.column[g] for g in bag), dtype=np.int64, count=len(bag))
+            values = np.fromiter(bag.values(), dtype=np.float64, count=len(bag)) * self.idf[at]
+            sparse.append((at, values / (np.linalg.norm(values) or 1.0)))
         rows, self.owner = [], []
         for i, lang in enumerate(LANGUAGES):
-            own = matrix[[k for k, (code, _) in enumerate(samples) if code == lang]]
-            for c in _clusters(own, centroids) if len(own) else []:
+            own = [sparse[k] for k, (code, _) in enumerate(samples) if code == lang]
+            for c in _clusters(own, centroids, len(self.column)) if own else []:
                 rows.append(c)
                 self.owner.append(i)
         self.centroids = np.array(rows)
@@ -117,33 +119,40 @@ class Model:
         self.known = np.unique(self.owner)
         self.cache: dict[str, tuple] = {}
 
-    def word(self, w: str) -> tuple[np.ndarray, float, np.ndarray, float]:
-        """Of a word: its row (scores by language, then products with all centroids), squared length, columns, and the square of its unseen part."""
+    def word(self, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a word: its row (scores by language, then products with all centroids), its n-grams and their weights."""
         hit = self.cache.get(w)
         if hit is None:
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            gs = grams(w[:40])
-            at = np.array([self.column[g] for g in gs if g in self.column], dtype=np.int64)
-            missing = (len(gs) - len(at)) * self.unseen**2
-            weights = self.idf[at]
-            products = self.centroids[:, at] @ weights
-            square = float((weights**2).sum() + missing)
+            gs = Counter(grams(w))
+            # n-grams without a column get a number beyond all columns, so that they can be counted over words too
+            ids = np.array([self.column.get(g, -1) for g in gs], dtype=np.int64)
+            new = ids < 0
+            ids[new] = [len(self.column) + zlib.crc32(g.encode()) for g, x in zip(gs, new) if x]
+            counts = np.array(list(gs.values()), dtype=np.float64)
+            weights = counts * np.where(new, self.unseen, self.idf[np.where(new, 0, ids)])
+            products = self.centroids[:, ids[~new]] @ weights[~new]
+            square = float((weights**2).sum())
             by_language = np.full(len(LANGUAGES), -1.0)
             by_language[self.known] = np.maximum.reduceat(products, self.start[self.known]) / (np.sqrt(square) or 1.0)
-            hit = self.cache[w] = (np.concatenate([by_language * 10.0, products]), square, at, missing)
+            hit = self.cache[w] = (np.concatenate([by_language * 10.0, products]), ids, weights)
         return hit
 
     def _length(self, hits: list[tuple]) -> float:
-        columns, counts = np.unique(np.concatenate([h[2] for h in hits]), return_counts=True)
-        return float(np.sqrt(((counts * self.idf[columns]) ** 2).sum() + sum(h[3] for h in hits))) or 1.0
+        """Length of the vector of all words: weights are added per n-gram before they are squared."""
+        ids = np.concatenate([h[1] for h in hits])
+        weights = np.concatenate([h[2] for h in hits])
+        order = ids.argsort()
+        ids = ids[order]
+        starts = np.concatenate(([0], (ids[1:] != ids[:-1]).nonzero()[0] + 1))
+        sums = np.add.reduceat(weights[order], starts)
+        return float(np.sqrt(sums @ sums)) or 1.0
 
     def classify(self, words: list[str]) -> tuple[int, float, float]:
         """Language index, cosine and confidence of the words taken as one text; -1 if rejected.
 
         Confidence is the lead over the second language, as a share of the cosine.
-        The cosine is exact where it is near ``REJECT`` and otherwise counts
-        n-grams shared by different words as different ones, which only raises it.
         """
         hits = [self.word(w) for w in words]
         if not hits:
@@ -157,9 +166,7 @@ class Model:
         top = float(best[first])
         best[first] = -1.0
         rival = max(float(best.max()), 0.0)
-        cosine = top / (sum(h[1] for h in hits) ** 0.5 or 1.0)
-        if cosine < 3 * REJECT:
-            cosine = top / self._length(hits)
+        cosine = top / self._length(hits)
         if cosine < REJECT:
             return -1, cosine, 0.0
         return first, cosine, min(1.0, max(0.0, (top - rival) / top))
@@ -210,18 +217,30 @@ def _runs(path: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from far-apart first centres; unit centroids, fewer than ``k`` for few rows."""
-    centres = [rows.mean(axis=0)]
-    first = int((rows @ centres[0]).argmin())
-    chosen = [first]
+def _clusters(rows: list[tuple[np.ndarray, np.ndarray]], k: int, width: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of sparse rows from far-apart first centres; unit centroids, fewer than ``k`` for few rows.
+
+    Only the centroids are dense, so the memory needed does not grow with the number of rows.
+    """
+
+    def mean(members: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros(width)
+        for at, values in members:
+            out[at] += values
+        return out / len(members)
+
+    def products(centre: np.ndarray) -> np.ndarray:
+        return np.array([centre[at] @ values for at, values in rows])
+
+    chosen = [int(products(mean(rows)).argmin())]
+    near = np.full(len(rows), -np.inf)
     while len(chosen) < min(k, len(rows)):
-        near = (rows @ rows[chosen].T).max(axis=1)
+        near = np.maximum(near, products(mean([rows[chosen[-1]]])))
         chosen.append(int(near.argmin()))
-    c = rows[chosen]
+    c = np.array([mean([rows[i]]) for i in chosen])
     for _ in range(rounds):
-        own = (rows @ c.T).argmax(axis=1)
-        c = np.array([rows[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+        own = np.array([products(centre) for centre in c]).argmax(axis=0)
+        c = np.array([mean([rows[i] for i in (own == j).nonzero()[0]]) if (own == j).any() else c[j] for j in range(len(c))])
         norms = np.linalg.norm(c, axis=1, keepdims=True)
         c = c / np.where(norms == 0, 1, norms)
     return c

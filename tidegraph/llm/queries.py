@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm import language, mixing, neardup, packing, pii, residue, survivor
 from tidegraph.llm.tokens import with_tokens
+from tidegraph.session import spread
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -26,7 +27,7 @@ def p1_found(spark, d):
 @query
 def p1_redacted(spark, d):
     t = lambda name: table(spark, d, name)
-    rows = pii.both_sources(t("graph_events"), t("normalized_records"))
+    rows = spread(pii.both_sources(t("graph_events"), t("normalized_records")), "source_table", "row_id")
     return pii.scan(rows, t("given_names"), t("lang_samples"), "text", redacted=True).where("spans > 0").drop("text")
 
 
@@ -41,7 +42,7 @@ def p3_found(spark, d):
 def p3_language_report(spark, d):
     """Texts by the language their label names and the one found, with the mean confidence."""
     t = lambda name: table(spark, d, name)
-    rows = language.detect(language.both_sources(t("graph_events"), t("normalized_records")), "text", t("lang_samples"))
+    rows = language.detect(spread(language.both_sources(t("graph_events"), t("normalized_records")), "source_table", "row_id"), "text", t("lang_samples"))
     first = F.get("segments", F.lit(0))
     return rows.groupBy(
         "source_table", "label", F.when(F.size("segments") == 1, first["lang"]).when(F.size("segments") > 1, F.lit("mixed")).alias("found")
@@ -72,26 +73,26 @@ def p5_consolidated(spark, d):
 
 @query
 def p8_containers(spark, d):
-    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    docs = with_tokens(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
     packed = packing.pack(packing.items(docs, table(spark, d, "container_sizes")))
     return packed.select("container_kind", "container_id", "doc_id", "piece", "first_token", F.col("size").alias("tokens"))
 
 
 @query
 def p8_certificate(spark, d):
-    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    docs = with_tokens(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").drop("text")
     return packing.certificate(packing.pack(packing.items(docs, table(spark, d, "container_sizes"))))
 
 
 @query
 def p9_mix(spark, d):
-    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text", "source"), "text")
+    docs = with_tokens(spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id"), "text")
     return mixing.mix(docs, table(spark, d, "mix_targets"))
 
 
 @query
 def p9_shares(spark, d):
-    docs = with_tokens(table(spark, d, "documents").select("doc_id", "text", "source"), "text")
+    docs = with_tokens(spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id"), "text")
     targets = table(spark, d, "mix_targets")
     return mixing.shares(mixing.mix(docs, targets), targets)
 
