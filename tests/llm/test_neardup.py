@@ -85,3 +85,23 @@ def test_groups_count_links(spark):
     texts = {"a": base, "b": [*base[:18], "p", "q"], "c": [*base, "z"], "d": [f"v{i}" for i in range(20)]}
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "h string, t string")
     assert {tuple(r) for r in neardup.duplicate_groups(df, "h", "t").collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "a", 2)}
+
+
+def test_copies_are_counted_not_paired(spark):
+    """Texts of one set of words are one class; their links are counted."""
+    base = [f"w{i}" for i in range(20)]
+    texts = {f"c{i:02d}": " ".join(base[i:] + base[:i]) for i in range(20)} | {f"d{i}": " ".join(["x", "y", *base[:-1]]) + "!" * i for i in range(3)} | {"e": " ".join(f"v{i}" for i in range(9))}
+    df = spark.createDataFrame(list(texts.items()), "h string, t string")
+    got = {r.key: (r.group, r.links) for r in neardup.duplicate_groups(df, "h", "t").collect()}
+    assert got == {k: ("c00", 22) for k in texts if k != "e"}
+    assert neardup.class_pairs(neardup.distinct_texts(df, "h", "t")).count() == 1
+    assert {tuple(r) for r in neardup.similar_pairs(df, "h", "t").collect()} == brute(texts)
+
+
+def test_parts_of_long_lists_lose_nothing(spark):
+    texts = made(4)
+    df = spark.createDataFrame(list(texts.items()), "h string, t string")
+    t = neardup.distinct_texts(df, "h", "t")
+    few = {tuple(sorted(r)) for r in neardup.candidate_pairs(neardup.postings(t)).collect()}
+    many = [tuple(sorted(r)) for r in neardup.candidate_pairs(neardup.postings(t, part_postings=2)).collect()]
+    assert set(many) == few and len(many) == len(few)

@@ -1,10 +1,11 @@
-"""Near-duplicate texts by an exact signature-coordinate inverted join (problem 4).
+"""Near-duplicate texts by an exact inverted join with prefix and skip (problem 4).
 
-A text's signature is the set of its words, written in one global order: rare
-words first. Each word's place in that order is a coordinate, and texts are
-posted under the words of their first coordinates only. Two sets with
-10 * common >= 7 * union share a word within short prefixes, whose lengths depend
-on which of the two is the larger set:
+Texts with the same set of words are folded into one class first, so a text posted
+again and again in other order or punctuation is one row from then on.
+
+A class's words are written in one global order, rare words first, and the class is posted
+under the first ones only. Two sets with 10 * common >= 7 * union share a word within
+short prefixes, whose lengths depend on which of the two is the larger set:
 
 * the larger, x, shares at least ``ceil(0.7 |x|)`` words, so it looks up its first
   ``|x| - ceil(0.7 |x|) + 1`` words;
@@ -15,8 +16,7 @@ What lies beyond the prefixes is skipped while merging: those are the long
 posting lists of frequent words. Collisions are counted per pair, the count
 plus what can still follow the last collision bounds the overlap, and pairs
 above the bound are checked against the whole word sets. No pair is lost and
-none is doubtful, unlike with sampled (min-hash) coordinates, which miss pairs
-at the threshold and put every text with a frequent word into a few buckets.
+none is doubtful. Lists that may still be long are cut into parts that different tasks hold.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ MIN_WORDS = 8
 NUMERATOR, DENOMINATOR = 7, 10
 #: Most words whose frequency is broadcast; rarer ones count as equally rare.
 FREQUENT_WORDS = 1_000_000
+#: Postings of a word in one part of its list; a word in more texts is spread over several parts.
+PART_POSTINGS = 10_000
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -50,8 +52,8 @@ def one_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def hashed(one: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key and ``words``, the 64-bit hashes of its distinct words; texts with fewer than ``min_words`` are left out: they have no links."""
-    sets = one.select("key", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("words"))
+    """key and ``words``, the sorted 64-bit hashes of its distinct words; texts with fewer than ``min_words`` are left out: they have no links."""
+    sets = one.select("key", F.array_sort(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("words"))
     return sets.where(F.size("words") >= min_words)
 
 
@@ -59,8 +61,19 @@ def distinct_texts(df: DataFrame, key: str, text: str, min_words: int = MIN_WORD
     return hashed(one_text(df, key, text), min_words)
 
 
-def postings(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
-    """The prefix words of each text: key, size, word, place (from 1), posted (also in the short prefix).
+def memberships(texts: DataFrame) -> DataFrame:
+    """key and ``class`` of each text: the hash of its set of words, equal for texts with equal sets."""
+    return texts.select("key", F.xxhash64("words").alias("class"))
+
+
+def representatives(texts: DataFrame) -> DataFrame:
+    """One text of each class, the one with the smallest key: key (the class), words."""
+    first = memberships(texts).groupBy("class").agg(F.min("key").alias("key"))
+    return texts.join(first, "key").select(F.col("class").alias("key"), "words")
+
+
+def postings(texts: DataFrame, frequent_words: int = FREQUENT_WORDS, part_postings: int = PART_POSTINGS) -> DataFrame:
+    """The prefix words of each text: key, size, word, place (from 1), posted (also in the short prefix) and parts of the word's list.
 
     Word frequencies are counted over all texts. The table that is broadcast
     holds words of frequency f >= total / ``frequent_words``, of which there can be at most
@@ -78,20 +91,23 @@ def postings(texts: DataFrame, frequent_words: int = FREQUENT_WORDS) -> DataFram
         .join(F.broadcast(frequent), "word", "left")
         .withColumn("place", place)
         .where(F.col("place") <= long_prefix)
-        .select("key", "size", "word", "place", (F.col("place") <= short_prefix).alias("posted"))
+        # a list is no longer than its word is frequent; words without a frequency are in fewer texts than a part holds,
+        # as long as all occurrences are fewer than frequent_words * part_postings; beyond that parts are only longer
+        .select("key", "size", "word", "place", (F.col("place") <= short_prefix).alias("posted"), F.coalesce(F.ceil(F.col("frequency") / part_postings), F.lit(1)).cast("int").alias("parts"))
     )
 
 
 def candidate_pairs(posted: DataFrame) -> DataFrame:
     """Pairs (a larger or equal, b) whose prefix collisions leave the threshold within reach."""
-    look = posted.select("word", F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"))
-    hold = posted.where("posted").select("word", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"))
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    look = posted.select("word", F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), every_part)
+    hold = posted.where("posted").select("word", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     ordered = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
     in_reach = (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR) & ordered
     need = needed(F.col("na"), F.col("nb"))
     first = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least(F.col("pa"), F.col("pb")) >= need
     return (
-        look.join(hold, "word")
+        look.join(hold, ["word", "part"])
         .where(in_reach & first)
         .groupBy("a", "b", "na", "nb")
         .agg(F.count(F.lit(1)).alias("collisions"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
@@ -100,26 +116,38 @@ def candidate_pairs(posted: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs of different keys (a < b) whose texts share at least 0.7 of their distinct words.
-
-    Repeated rows of a key count once. Empty tables give no pairs.
-    """
-    one = one_text(df, key, text)
-    pairs = candidate_pairs(postings(hashed(one, min_words)))
-    # only texts of some pair are cut into words once more
+def class_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of different classes (a < b) whose sets share at least 0.7 of their words."""
+    one = representatives(texts)
+    pairs = candidate_pairs(postings(one))
+    # only sets of some pair are read once more
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = hashed(one.join(named, "key", "left_semi"), min_words)
+    sets = one.join(named, "key", "left_semi")
     common = F.size(F.array_intersect("wa", "wb"))
     union = F.size("wa") + F.size("wb") - common
     return (
-        pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
-        .join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
         .where(common * DENOMINATOR >= union * NUMERATOR)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 
 
+def similar_pairs(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """Pairs of different keys (a < b) whose texts share at least 0.7 of their distinct words.
+
+    Repeated rows of a key count once. Empty tables give no pairs. Every pair is written out, also those within
+    a class; ``duplicate_groups`` has one row per key instead.
+    """
+    texts = distinct_texts(df, key, text, min_words)
+    member = memberships(texts)
+    a = member.select(F.col("class").alias("a"), F.col("key").alias("ka"))
+    b = member.select(F.col("class").alias("b"), F.col("key").alias("kb"))
+    across = class_pairs(texts).join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    within = a.join(b, F.col("a") == F.col("b")).where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return across.unionByName(within)
+
+
 def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """``node`` and ``root`` (the smallest node it is linked with, over any path) of the pairs a, b.
 
@@ -149,7 +177,18 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per key that has a link: ``key``, ``group`` (smallest key it is linked with) and ``links``."""
-    pairs = written(similar_pairs(df, key, text, min_words), "pairs")
-    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    return components(pairs).join(links, "node").select(F.col("node").alias("key"), F.col("root").alias("group"), "links")
+    """One row per key that has a link: ``key``, ``group`` (smallest key it is linked with) and ``links``, the number of keys it is linked to.
+
+    Only classes are paired. A key's links are the other keys of its class and all
+    keys of the classes its own is linked to, so copies are counted and never listed as pairs.
+    """
+    member = written(memberships(distinct_texts(df, key, text, min_words)), "members")
+    pairs = written(class_pairs(distinct_texts(df, key, text, min_words)), "pairs")
+    classes = member.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("first"))
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = both.join(classes.select(F.col("class").alias("b"), "members"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("across"))
+    roots = components(pairs).select(F.col("node").alias("class"), "root")
+    linked = classes.join(across, "class", "left").join(roots, "class", "left").withColumn("links", F.col("members") - 1 + F.coalesce("across", F.lit(0))).where("links > 0")
+    rooted = linked.withColumn("root", F.coalesce("root", "class"))
+    group = rooted.groupBy("root").agg(F.min("first").alias("group"))
+    return member.join(rooted.join(group, "root").select("class", "group", "links"), "class").select("key", "group", "links")

@@ -1,17 +1,19 @@
 """Template residue, filler, error pages and script notices among documents (problem 10).
 
-Evidence per document, all as column expressions inside the scan:
+What decides, in this order:
 
 * slots: places that a template meant to fill, found outside quotations and code;
-* terms: how many of the text's words belong to page furniture, to messages
-  (errors, script notices) or to filler, and how many are content;
-* title, body and, where there is one, the address: a title or address slug of
-  which no term occurs in the body speaks against content.
-
-Texts of little information that occur again and again over several hosts are
-then flagged on weaker evidence: those are counted by a signature of their
-words, aggregated before the shuffle, so a message on a third of all documents
-is one row per task.
+* filler: one short phrase over and over;
+* duplicated low-information text: words that ordinary texts of the languages do not have, but
+  several different short texts on several hosts do, mark messages; a text that
+  consists of them is one ('repeated'). A title or an address slug of which no term occurs in
+  the body needs fewer of them;
+* support: the texts found so far, and a small table of known phrases, say how often each term stands in
+  messages, and the texts of ordinary words how often it stands in content. A text whose terms nearly
+  all stand in messages, and rather there than in content, is one too ('message').
+
+All counts are over different texts, so a post copied many times weighs no more than once. Texts that talk
+about messages have many words that no message has, which keeps them.
 """
 
 from __future__ import annotations
@@ -26,29 +28,33 @@ from pyspark.sql import functions as F
 from tidegraph.functions.frames import restore
 from tidegraph.session import written
 
-# Phrases of page furniture, messages, script notices and filler.
-FURNITURE = """accept all|menu|share|download the app|skip to main part|skip to content|dark mode|report|language auto|cookies help us run the board|help centre|help center|more options|
-loading|log in|sign in|trending now|fan board|sign up|back to top|terms|about|contact us|settings|privacy|privacy policy|who to follow|explore|home|search|reject|all rights reserved|cookie settings|next|previous"""
-MESSAGES = """error|http|status|code|fatal|sorry|oops|whoops|ray at node|reference|message|errors|notice|exception|request id|page not found|not found|this page does not exist|we looked everywhere but|internal server error|
-bad gateway|service unavailable|forbidden|access denied by policy|you may not view this thread|the gateway gave no answer|gateway timeout|no healthy upstream answered|the connection timed out|that link leads nowhere|
-cannot read property of undefined at line|at render board js|your session has expired|something broke on our side|something went wrong|an unexpected condition stopped the request|unexpected error|
-this status cannot be shown any more|the account behind this page is suspended or gone|the board is down for maintenance|rate limit reached for this window|you have asked too often|too many requests|too many redirects|the file you wanted was moved or deleted|
-try again in minutes|try again later|please log in and reload|go back to the start page|if this keeps happening tell the admins|contact the administrator|unauthorized|null pointer|stack trace|
-خطا خطای این صفحه پیدا نشد|دسترسی شما مجاز نیست|سرور پاسخ نمی دهد کد|مشکلی پیش آمد دوباره تلاش کنید|خطأ الصفحة غير موجودة|حدث خلل أعد المحاولة|الوصول مرفوض|الخادم لا يستجيب|ليس لديك إذن|غير مصرح|
-algo salió mal vuelva a intentarlo|acceso denegado|no encontramos esta página|página no encontrada|error del servidor|algo deu errado tente outra vez|erro esta página sumiu|acesso negado|página não encontrada|
-erreur page introuvable|accès refusé|un souci est survenu rechargez|fehler diese seite gibt es nicht|zugriff verweigert|da ging etwas schief bitte neu laden|seite nicht gefunden|
-bu sayfa bulunamadı|erişim engellendi|bir şeyler ters gitti yeniden deneyin|hata|galat halaman tidak ada|ada yang rusak coba lagi|akses ditolak|halaman tidak ditemukan"""
-SCRIPTS = """javascript|js|noscript|scripts are switched off in this browser|your browser blocks scripts|scripting is unavailable here|this timeline needs javascript|the viewer cannot start without js|
-we could not run the page code|javascript seems to be disabled|is required to run this app|you need to enable javascript|please enable js and cookies|turn on javascript to read the thread|allow scripts and reload the page|
-use a browser that supports it|switch to a supported client or activate scripts|enable it in the settings to go on|
-برای دیدن این صفحه جاوااسکریپت را روشن کنید|مرورگر شما اسکریپت را بسته است|فعّل جافا سكريبت لعرض هذه الصفحة|متصفحك يحجب البرامج النصية|المتصفح يمنع|active javascript para ver este hilo|su navegador bloquea los scripts|
-ative o javascript para ver este fio|seu navegador bloqueia scripts|activez javascript pour lire ce fil|votre navigateur bloque les scripts|bitte javascript einschalten um den faden zu lesen|ihr browser sperrt skripte|
-bu akışı görmek için javascript i açın|tarayıcınız betikleri engelliyor|nyalakan javascript untuk membuka utas ini|peramban anda memblokir skrip|browser anda memblokir skrip"""
-FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo
-consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum|
-text goes here|dummy paragraph for layout|sample post body|todo write the caption|replace this caption before publishing|content coming soon|asdf qwer|xxx|test test|placeholder text|dummy text|sample text|
-متن نمونه|متن را اینجا بنویسید|این نوشته آزمایشی است|نص تجريبي|اكتب النص هنا|escriba aquí su texto|texto de ejemplo|texto de exemplo|escreva aqui o seu texto|saisissez votre texte ici|texte d exemple|
-hier steht später der text|blindtext|örnek metin|metni buraya yazın|teks contoh|contoh teks|tulis teks di sini|tulis teks anda di sini"""
+#: Phrases that messages, notices and filler commonly have (a parameter of ``flagged``): they support what the
+#: counts find, and stand in for them where texts are few.
+PHRASES = """page not found|internal server error|bad gateway|service unavailable|gateway timeout|access denied|forbidden|unauthorized|too many requests|rate limit reached|rate limit exceeded|request timed out|the connection timed out|
+something went wrong please try again|an unexpected error occurred|unexpected error|your session has expired please log in again|this page does not exist|this content is not available|down for maintenance|error http status code|error message code|
+errors message code reference|oops sorry|please enable javascript to continue|javascript is disabled in your browser|this app needs javascript|your browser does not support scripts|scripts are blocked turn on javascript|noscript|
+lorem ipsum dolor sit amet consectetur adipiscing elit|placeholder text|dummy text|sample text|text goes here|test test|xxx xxx|
+página no encontrada|acceso denegado|error del servidor|algo salió mal inténtelo de nuevo|active javascript|su navegador bloquea los scripts|texto de ejemplo|escriba aquí su texto|
+página não encontrada|esta página sumiu|acesso negado|erro do servidor|algo deu errado tente novamente|ative o javascript|seu navegador bloqueia scripts|texto de exemplo|escreva aqui o seu texto|
+page introuvable|accès refusé|erreur du serveur|une erreur est survenue rechargez la page|activez javascript|votre navigateur bloque les scripts|texte d exemple|saisissez votre texte ici|
+seite nicht gefunden|diese seite gibt es nicht|zugriff verweigert|serverfehler|da ging etwas schief bitte neu laden|bitte javascript einschalten|ihr browser sperrt skripte|blindtext|hier steht später der text|
+sayfa bulunamadı|erişim engellendi|sunucu hatası|bir şeyler ters gitti yeniden deneyin|javascript i açın|tarayıcınız betikleri engelliyor|örnek metin|metni buraya yazın|
+halaman tidak ditemukan|halaman tidak ada|akses ditolak|galat server|ada yang salah coba lagi|nyalakan javascript|peramban anda memblokir skrip|contoh teks|tulis teks di sini|
+صفحه پیدا نشد|دسترسی مجاز نیست|سرور پاسخ نمی دهد|مشکلی پیش آمد دوباره تلاش کنید|جاوااسکریپت را روشن کنید|مرورگر شما اسکریپت را بسته است|متن نمونه|متن را اینجا بنویسید|
+الصفحة غير موجودة|الوصول مرفوض|الخادم لا يستجيب|حدث خلل أعد المحاولة|فعّل جافا سكريبت|متصفحك يحجب البرامج النصية|نص تجريبي|اكتب النص هنا"""
+
+#: Ordinary terms a text may have and still be one of little information.
+LOW_INFORMATION = 6
+#: Least share of message terms, among those and ordinary ones, of a repeated text; the second where title or address do not fit the body.
+SHARE, SHARE_MISMATCH = 0.6, 0.5
+#: Least share of a text's terms that messages must have: with a balance towards messages, and with half of its terms repeated.
+COVERED, COVERED_HALF = 0.75, 0.9
+#: Content texts, whose terms count against messages: at most this share of message terms, and at least so many ordinary terms.
+CONTENT_SHARE, CONTENT_TERMS = 0.3, 4
+#: Filler: at most so many different terms, each standing so often on average.
+FILLER_TERMS, FILLER_TIMES = 8, 3
+#: Most words of ordinary texts, and most sample texts they are taken from.
+MAX_ORDINARY, MAX_SAMPLES = 200_000, 50_000
 
 #: Letters that fold to another one without being composed of it and a mark (fixed values).
 _ALIKE = {"ı": "i", "ø": "o", "đ": "d", "ł": "l", "ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه"}
@@ -77,40 +83,24 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "".join(_FOLDS), "".join(_FOLDS.values())), r"\p{Mn}", "")
 
 
-def _terms(phrases: str) -> tuple[str, ...]:
-    return tuple(sorted(set(re.findall(r"[^\W_]+", _fold_text(phrases)))))
-
-
-def _phrases(phrases: str) -> list[str]:
-    return [p for p in (" ".join(re.findall(r"[^\W_]+", _fold_text(x))) for x in phrases.split("|")) if p]
-
-
 _NUMBERS = r" (?:[0-9]+[a-z]?|[0-9a-f]{8,})(?= )"
-#: Words of messages that also make up ordinary sentences and therefore prove nothing alone.
-_WEAK = set("error http status code sorry oops whoops reference message errors notice fatal hata not found forbidden js xxx test".split()) | {_fold_text(x) for x in "خطا خطای این صفحه پیدا نشد".split()}
-#: A text is a message only if it contains one of these phrases whole (folded, spaces between words).
-PROOF = tuple(
-    sorted(
-        {p for p in _phrases(MESSAGES) + _phrases(SCRIPTS) + _phrases(FILLER) if len(p.split()) >= 2 and not p.startswith("lorem ipsum dolor sit")}
-        | {"javascript", "noscript", "blindtext", "lorem ipsum", "ipsum", "dolor", "incididunt", "consectetur", "adipiscing", "eiusmod", "nostrud", "forbidden", "xxx xxx", "asdf", "page not found", "does not exist", "cannot be shown", "gave no answer", "timed out", "has expired"}
-        | {_fold_text(x) for x in ("این صفحه پیدا نشد", "سرور پاسخ نمی دهد", "الصفحة غير موجودة", "bu sayfa bulunamadı", "halaman tidak ada", "page introuvable", "esta página sumiu", "diese seite gibt es nicht", "texte d exemple")}
-    )
-)
-
-#: Spans in which a slot is only talked about: code and quotations.
-_TALK = r"`[^`\n]{1,120}`|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”"
+#: Longest quotation or piece of code in which a slot is only talked about (characters).
+MAX_QUOTE = 120
+_TALK = rf"`[^`\n]{{1,{MAX_QUOTE}}}`|\"[^\"\n]{{1,{MAX_QUOTE}}}\"|“[^”\n]{{1,{MAX_QUOTE}}}”"
 _STAGE = "laughs?|laughing|whispers?|whispering|sighs?|claps?|clapping|applause|verse|chorus|bridge|intro|outro|hook|refrain|instrumental|cries|crying|screams?|music|silence|pause|cheers"
 _ASKS = (
     "your|insert|tbd|tbc|todo|name|username|user|date|here|venue|city|link|title|hashtag|handle|enter|nombre|fecha|ingrese|inserte|nome|data|insira|nom|pr[ée]nom|votre|ins[ée]rez|ihr|vorname|datum|einf[üu]gen|"
     "ad[ıi]n[ıi]z|isim|tarih|kullan[ıi]c[ıi]|nama|anda|tanggal|isi|seu|sua|نام|تاریخ|کاربر|وارد|اسم|المستخدم|التاريخ|أدخل|ادخل"
 )
+#: Characters that may stand before and after an asking word in single brackets; a longer bracket is a remark.
+ASK_ROOM = 24
 SLOT = "|".join(
     (
-        r"\{\{[^{}\n]{1,60}\}\}",
-        r"\{%[^%\n]{1,60}%\}",
-        r"<%[^%\n]{1,60}%>",
-        r"[$#]\{[\p{L}_][^}\n]{0,40}\}",
-        r"\[\[[\p{L}_][^\]\n]{0,40}\]\]",
+        r"\{\{[^{}\n]++\}\}",
+        r"\{%[^%\n]++%\}",
+        r"<%[^%\n]++%>",
+        r"[$#]\{[\p{L}_][^{}\n]*+\}",
+        r"\[\[[\p{L}_][^\]\[\n]*+\]\]",
         r"<<[\p{L}_]+>>",
         r"@@[\p{L}_]+@@",
         r"\*\|[\p{L}_:]+\|\*",
@@ -121,103 +111,141 @@ SLOT = "|".join(
         r"\$[\p{L}]+(?:_[\p{L}_]+)?\$",
         r"\{[0-9]{1,2}\}",
         rf"\{{(?!(?i:{_STAGE})\}})[\p{{L}}][\p{{L}}_.]*\}}",
-        rf"\[(?iu:[^\]\[\n]{{0,24}}(?<![\p{{L}}])(?:{_ASKS})(?![\p{{L}}])[^\]\[\n]{{0,24}})\]",
+        rf"\[(?iu:[^\]\[\n]{{0,{ASK_ROOM}}}(?<![\p{{L}}])(?:{_ASKS})(?![\p{{L}}])[^\]\[\n]{{0,{ASK_ROOM}}})\]",
         r"<[a-z]+_[a-z_]+>|<(?i:name|handle|user|username|first ?name|date|city|title|email|link|venue|artist|seat|nombre|nome|nom)>",
-        r"&lt;[\p{L}_ ]{2,30}&gt;",
-        rf"«(?iu:[^»\n]{{0,24}}(?:وارد کنید|را بنویسید|أدخل|ادخل|insert |enter |ingrese |insira |saisissez |einfügen|giriniz|masukkan )[^»\n]{{0,24}})»",
+        r"&lt;[\p{L}_ ]{2,}+&gt;",
+        rf"«(?iu:[^»\n]{{0,{ASK_ROOM}}}(?:وارد کنید|را بنویسید|أدخل|ادخل|insert |enter |ingrese |insira |saisissez |einfügen|giriniz|masukkan )[^»\n]{{0,{ASK_ROOM}}})»",
     )
 )
-
-
 #: What every slot begins with; the full patterns are tried only on texts that have it. No slot lies outside it.
 _SLOT_MARK = r"[{}\[<«]|@@|__|\*\||XX_|%[A-Z_(]|\$[\p{L}{]|&lt;"
 
 
-def ordinary_words(samples: DataFrame, most: int = 50_000) -> frozenset:
+def ordinary_words(samples: DataFrame, most: int = MAX_SAMPLES) -> frozenset:
     """The folded words of a small table of sample texts, whose size is checked first."""
     texts = samples.select("text").where("text is not null").limit(most + 1).collect()
     if len(texts) > most:
         raise ValueError(f"more than {most} sample texts")
-    return frozenset(w for r in texts for w in re.findall(r"[^\W_]+", _fold_text(r.text)))
+    found = frozenset(w for r in texts for w in re.findall(r"[^\W_]+", _fold_text(r.text)))
+    if len(found) > MAX_ORDINARY:
+        raise ValueError(f"more than {MAX_ORDINARY} ordinary words")
+    return found
+
+
+def _words(c: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
 def evidence(df: DataFrame, text: str, address: str | None = None, ordinary: Iterable[str] = ()) -> DataFrame:
-    """``df`` with ``slots``, ``total``, ``furniture``, ``known``, ``unknown``, ``strong``, ``proof``, ``mismatch`` and ``signature``.
-
-    Terms are a text's distinct words other than numbers and hexadecimal ids. ``total`` counts
-    them, ``furniture`` those of page furniture, ``known`` the other ones of messages, notices
-    and filler, ``unknown`` the rest. The last four are looked at only where they can matter, in texts of
-    which at least a third of the terms besides furniture are known: ``strong``, known terms that are not
-    among ``ordinary`` words; ``proof``, a whole phrase of those occurs;
-    ``mismatch``, no term of the title (first line) or of the address slug occurs in the body;
-    ``signature`` of the terms besides furniture. NULL texts count as empty.
+    """``df`` with ``slots``, ``words``, ``terms``, ``foreign``, ``mismatch`` and ``signature``.
+
+    ``terms`` are a text's distinct words other than numbers and hexadecimal ids, ``words`` how many words
+    they are, ``foreign`` the terms that are not among ``ordinary`` words. ``mismatch``: no term of the title (first
+    line) or of the address slug occurs in the body. ``signature``: hash of the words in order, equal for
+    texts that differ in numbers, ids and punctuation only. NULL texts count as empty.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    message_terms = set(_terms(MESSAGES)) | set(_terms(SCRIPTS)) | set(_terms(FILLER)) | {"html", "body", "h1", "h2", "p", "div", "span", "br", "errors", "notice", "message", "code", "head", "title"}
-    furniture_terms = set(_terms(FURNITURE)) - message_terms
-    phrases = "|".join(re.escape(p) for p in PROOF)
-    terms = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
-    words_of = lambda c: F.array_remove(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), "")
+    known = sorted(ordinary)
     bare, spaced = F.col("_bare"), F.col("_spaced")
     start = F.ltrim(bare)
-    title, cut = words_of(F.substring_index(start, "\n", 1)), F.locate("\n", start)
-    apart = (cut > 0) & (F.size(title) > 0) & F.coalesce(~F.arrays_overlap(title, words_of(F.substr(start, cut + 1))), F.lit(False))
+    title, cut = _words(F.substring_index(start, "\n", 1)), F.locate("\n", start)
+    apart = (cut > 0) & (F.size(title) > 0) & F.coalesce(~F.arrays_overlap(title, _words(F.substr(start, cut + 1))), F.lit(False))
     if address:
-        slug = words_of(fold(F.regexp_extract(F.coalesce(F.col(address), F.lit("")), r"([^/?#]*)/?(?:[?#].*)?$", 1)))
+        slug = _words(fold(F.regexp_extract(F.coalesce(F.col(address), F.lit("")), r"([^/?#]*)/?(?:[?#].*)?$", 1)))
         apart = apart | ((F.size(slug) > 0) & F.coalesce(~F.arrays_overlap(slug, F.split(F.trim(spaced), " ")), F.lit(False)))
-    likely = (F.col("known") > 0) & (F.col("known") * 3 >= F.col("known") + F.col("unknown"))
     return (
-        df.withColumn("_bare", F.regexp_replace(fold(whole), r"</?[a-z0-9]+>", " "))
+        df.withColumn("_bare", F.regexp_replace(fold(whole), r"</?[a-z][a-z0-9]*>", " "))
         .withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
-        .withColumn("_terms", F.array_distinct(F.array_remove(F.split(F.trim(F.regexp_replace(spaced, _NUMBERS, "")), " +"), "")))
-        .withColumn("_rest", F.array_except("_terms", terms(furniture_terms)))
-        .withColumns({"total": F.size("_terms"), "furniture": F.size("_terms") - F.size("_rest"), "unknown": F.size(F.array_except("_rest", terms(message_terms)))})
-        .withColumn("known", F.size("_rest") - F.col("unknown"))
+        .withColumn("_masked", F.trim(F.regexp_replace(spaced, _NUMBERS, "")))
+        .withColumn("_split", F.array_remove(F.split("_masked", " +"), ""))
+        .withColumn("terms", F.array_distinct("_split"))
         .withColumns(
             {
-                "strong": F.when(likely, F.size(F.array_intersect("_rest", terms(message_terms - set(ordinary))))).otherwise(0),
+                "words": F.size("_split"),
+                "foreign": F.filter("terms", lambda t: ~t.isin(known)) if known else F.col("terms"),
                 "slots": F.when(whole.rlike(_SLOT_MARK), F.regexp_count(F.regexp_replace(whole, _TALK, " "), F.lit(SLOT))).otherwise(0),
-                "proof": F.when(likely, spaced.rlike(rf" (?:{phrases}) ")).otherwise(False),
-                "mismatch": F.when(likely, apart).otherwise(False),
-                "signature": F.when(likely, F.xxhash64(F.array_sort("_rest"))),
+                "mismatch": apart,
+                "signature": F.xxhash64("_masked"),
             }
         )
-        .drop("_bare", "_spaced", "_terms", "_rest")
+        .drop("_bare", "_spaced", "_masked", "_split")
+    )
+
+
+def _vocabulary(phrases: str, df: DataFrame) -> DataFrame:
+    """The terms of a table of phrases: term and, in how many phrases it stands, ``known``."""
+    lists = [sorted(set(re.findall(r"[^\W_]+", _fold_text(p)))) for p in phrases.split("|")]
+    rows = [(t, 1) for terms in lists for t in terms]
+    return df.sparkSession.createDataFrame(rows, "term string, one int").groupBy("term").agg(F.sum("one").alias("known"))
+
+
+def message_texts(texts: DataFrame, repeats: int = 3, phrases: str = PHRASES) -> DataFrame:
+    """The signatures of texts that are messages: signature and reason ('repeated' or 'message').
+
+    ``texts``: one row per signature and host, with terms, foreign and mismatch. A term marks messages if it is
+    foreign and stands in ``repeats`` different texts of little information or more, over two hosts or more.
+    All steps aggregate counts; no task holds the texts of a term or of a host.
+    """
+    one = texts.groupBy("signature").agg(F.any_value("terms").alias("terms"), F.any_value("foreign").alias("foreign"), F.max("mismatch").alias("mismatch"), F.min("host").alias("first_host"), F.max("host").alias("last_host"))
+    one = written(one.where(F.size("terms") > 0).withColumn("ordinary", F.size("terms") - F.size("foreign")), "texts")
+    low = F.col("ordinary") <= LOW_INFORMATION
+    marks = (
+        one.where(low)
+        .select(F.explode("foreign").alias("term"), "first_host", "last_host")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("texts"), F.min("first_host").alias("a"), F.max("last_host").alias("b"))
+        .where((F.col("texts") >= repeats) & (F.col("a") < F.col("b")))
+        .select("term")
     )
+    marked = one.select("signature", F.explode("foreign").alias("term")).join(marks, "term").groupBy("signature").agg(F.count(F.lit(1)).alias("marked"))
+    share = F.col("marked") / (F.col("marked") + F.col("ordinary"))
+    seed = (F.col("marked") > 0) & low & (share >= F.when(F.col("mismatch"), SHARE_MISMATCH).otherwise(SHARE))
+    content = (F.col("ordinary") >= CONTENT_TERMS) & (F.col("ordinary") > 0) & (share <= CONTENT_SHARE) & ~seed
+    judged = written(one.join(marked, "signature", "left").fillna(0, ["marked"]).select("signature", "terms", share.alias("share"), seed.alias("seed"), F.coalesce(content, F.lit(False)).alias("content")), "judged")
+
+    n = judged.agg(F.count_if("seed").alias("seeds"), F.count_if("content").alias("contents")).first()
+    table = _vocabulary(phrases, texts) if phrases else None
+    seeds = (n.seeds or 0) + (len(phrases.split("|")) if phrases else 0)
+    held = judged.where("seed").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("known"))
+    support = held.unionByName(table).groupBy("term").agg(F.sum("known").alias("known")) if table is not None else held
+    long = judged.where("not seed").select("signature", F.explode("terms").alias("term"))
+    covered = long.join(support.select("term"), "term").groupBy("signature").agg(F.count(F.lit(1)).alias("covered"))
+    near = written(judged.where("not seed").join(covered, "signature").where(F.col("covered") >= COVERED * F.size("terms")), "near")
+    # how often the terms of what is left stand in content
+    asked = near.select(F.explode("terms").alias("term")).distinct()
+    against = judged.where("content").select(F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("plain"))
+    k, p = F.coalesce("known", F.lit(0)), F.coalesce("plain", F.lit(0))
+    odds = F.when((k > 0) | (p > 0), F.ln((k + 0.5) / (seeds + 1.0)) - F.ln((p + 0.5) / ((n.contents or 0) + 1.0))).otherwise(0.0)
+    balance = (
+        near.select("signature", F.explode("terms").alias("term")).join(support, "term", "left").join(against, "term", "left").groupBy("signature").agg(F.avg(odds).alias("balance"))
+    )
+    enough = (F.col("balance") >= 0) | ((F.col("covered") >= COVERED_HALF * F.size("terms")) & (F.col("share") >= 0.5))
+    messages = near.join(balance, "signature").where(enough).select("signature", F.lit("message").alias("reason"))
+    return judged.where("seed").select("signature", F.lit("repeated").alias("reason")).unionByName(messages)
 
 
-def flagged(df: DataFrame, text: str, host: str, address: str | None = None, repeats: int = 3, ordinary: Iterable[str] = (), columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``df`` (all of them by default) with ``reason``: 'slot', 'message', 'repeated' or NULL (content).
+def flagged(
+    df: DataFrame, text: str, host: str, address: str | None = None, repeats: int = 3, ordinary: Iterable[str] = (), columns: list[str] | None = None, phrases: str = PHRASES
+) -> DataFrame:
+    """``columns`` of ``df`` (all of them by default) with ``reason``: 'slot', 'filler', 'repeated', 'message' or NULL (content).
 
-    message: a whole phrase of a message, notice or filler occurs and almost
-    nothing else does: at most two unknown terms, or a tenth, beside more known ones.
-    repeated: a text of at most 12 terms besides furniture, at least two of them and a
-    third strong (half of them without a title or address that does not fit its body), that occurs
-    ``repeats`` times or more and on two hosts or more. Blank texts and NULL are content of length
-    zero: they have no reason. Missing hosts count as one host. A column named reason is replaced.
+    Blank texts and NULL are content of length zero: they have no reason. Missing hosts count as one host,
+    hosts are compared without case and with any of blank, '-' and '_' alike. ``ordinary``: words of ordinary texts;
+    without them every word is foreign. ``phrases``: known phrases, separated by bars; '' for none. A column
+    named reason is replaced.
     """
-    needed = {"_text": F.col(text).cast("string"), "_from": F.coalesce(F.lower(F.trim(F.col(host).cast("string"))), F.lit(""))}
+    needed = {"_text": F.col(text).cast("string"), "_from": F.coalesce(F.regexp_replace(F.lower(F.trim(F.col(host).cast("string"))), r"[\s_-]+", "_"), F.lit(""))}
     if address:
         needed["_address"] = F.col(address).cast("string")
     kept = df.select(*[F.col(f"`{c}`") for c in (columns or df.columns)])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")
     e = evidence(df.select(row, *[c.alias(name) for name, c in needed.items()]), "_text", "_address" if address else None, ordinary)
-    rest = F.col("known") + F.col("unknown")
-    message = F.col("proof") & (F.col("known") > F.col("unknown")) & ((F.col("unknown") <= 2) | (F.col("unknown") * 10 <= rest))
-    strong = F.col("strong")
-    low = (rest <= 12) & (strong >= 2) & ((strong * 2 >= rest) | (F.col("mismatch") & (strong * 3 >= rest)))
-    first = F.when(F.col("slots") > 0, "slot").when(message, "message")
+    different = F.size("terms")
+    filler = (different > 0) & (different <= FILLER_TERMS) & (F.col("words") >= FILLER_TIMES * different) & (different > 1)
+    first = F.when(F.col("slots") > 0, "slot").when(filler, "filler")
     # the evidence is used twice, so it is written once
-    decided = written(e.select("_row", "_from", "signature", first.alias("_first"), low.alias("_low")), "residue")
-    doubtful = F.col("_first").isNull() & F.col("_low")
-    unsure = decided.where(doubtful)
-    again = (
-        unsure.groupBy("signature", "_from")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("signature")
-        .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_hosts"))
-        .where((F.col("_n") >= repeats) & (F.col("_hosts") >= 2))
-        .select("signature", F.lit("repeated").alias("reason"))
-    )
-    clear = decided.where(~doubtful).select("_row", F.col("_first").alias("reason"))
-    return restore(clear.unionByName(unsure.join(again, "signature", "left").select("_row", "reason")), kept, "reason")
+    decided = written(e.select("_row", "_from", "signature", "terms", "foreign", "mismatch", first.alias("_first")), "residue")
+    # texts with slots are none to learn messages from
+    texts = decided.where("_first is null or _first = 'filler'").groupBy("signature", F.col("_from").alias("host")).agg(F.any_value("terms").alias("terms"), F.any_value("foreign").alias("foreign"), F.max("mismatch").alias("mismatch"))
+    found = message_texts(texts, repeats, phrases)
+    return restore(decided.select("_row", "signature", "_first").join(found, "signature", "left").select("_row", F.coalesce("_first", "reason").alias("reason")), kept, "reason")
