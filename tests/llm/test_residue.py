@@ -2,11 +2,15 @@ import pytest
 
 from tidegraph.llm import residue
 
-FLAGGED = [
-    ("Hi <first_name>, thanks for joining. We saved the song.", "slot"), ("سلام [نام کاربر]، به جمع ما", "slot"), ("Oi {nome}, obrigada", "slot"), ("See you on {0} by the gate", "slot"), ("وعده ما «تاریخ را وارد کنید» کنار در", "slot"), ("&lt;handle&gt; günü görüşürüz", "slot"), ("on XX_DATE_XX we meet", "slot"),
-    ("lorem ipsum dolor sit amet consectetur adipiscing elit", "message"), ("Error 404: no encontramos esta página / 90dc10d8bf34", "message"), ("<html><body><h1>دسترسی شما مجاز نیست - ef668cc17b7b</h1><p>noyab</p></body></html>", "message"),
-    ('{"errors": [{"message": "Accès refusé", "code": 245}]}', "message"), ("Menu | Home | Erro 404: esta página sumiu | Loading | Search", "message"), ("SCRIPTING IS UNAVAILABLE HERE: TURN ON JAVASCRIPT TO READ THE THREAD", "message"), ("metni buraya yazın, örnek metin", "message"), ("xxx xxx xxx\ntext goes here", "message"),
+LONG = "x" * 200
+SLOTS = [
+    "Hi <first_name>, thanks for joining. We saved the song.", "سلام [نام کاربر]، به جمع ما", "Oi {nome}, obrigada", "See you on {0} by the gate", "وعده ما «تاریخ را وارد کنید» کنار در", "&lt;handle&gt; günü görüşürüz", "on XX_DATE_XX we meet",
+    f"Dear {{{{{LONG}}}}}, welcome", f"We meet at ${{{LONG}}}", f"In [[{LONG}]] again", f"At {{% {LONG} %}}", f"Hi &lt;{LONG}&gt;",
 ]
+FILLER = ["text goes here\ntext goes here\ntext goes here", "contoh teks contoh teks contoh teks", "metni buraya yazın. metni buraya yazın. metni buraya yazın"]
+MESSAGES = ["lorem ipsum dolor sit amet consectetur adipiscing elit", "Error 404: no page found / 90dc10d8bf34", '{"errors": [{"message": "Accès refusé", "code": 245}]}', "دسترسی مجاز نیست - ef668cc17b7b", "Something went wrong, please try again", "Bitte JavaScript einschalten"]
+FLAGGED = [*((t, "slot") for t in SLOTS), *((t, "filler") for t in FILLER), *((t, "message") for t in MESSAGES)]
+ORDINARY = "i in the my but was of we to our at on it and so would then that until with".split()
 CONTENT = [
     "Use `${title}` in your caption tool if you want the song name filled in.", 'The form letter read "Dear {{first_name}}" and the whole chat laughed for an hour.', "The lyric card had {laughs} and [whispers] written in the margin.", "[Verse 2] we hum along [Chorus] we shout it",
     "My little script is if (votes > 10) { print(votes) } and it runs.", 'The counts were {"likes": 12, "views": 340} in the export.', "The hall was <3 and the lights > everything, 100% sure.", "I got an internal server error in the middle of the queue but my seat was kept.",
@@ -17,8 +21,8 @@ CONTENT = [
 @pytest.fixture(scope="module")
 def flags(spark):
     rows = [(i, t, f"host{i % 2}", "mine", 5) for i, t in enumerate([t for t, _ in FLAGGED] + CONTENT * 4)]
-    df = spark.createDataFrame(rows, "id int, text string, host string, signature string, known int")
-    return {r.id: r for r in residue.flagged(df, "text", "host", ordinary=["access", "was", "the", "at"]).collect()}
+    df = spark.createDataFrame(rows, "id int, text string, host string, signature string, words int")
+    return {r.id: r for r in residue.flagged(df, "text", "host", ordinary=ORDINARY).collect()}
 
 
 def test_flagged(flags):
@@ -29,19 +33,34 @@ def test_flagged(flags):
 def test_content_stays_even_repeated(flags):
     for i in range(len(FLAGGED), len(FLAGGED) + 4 * len(CONTENT)):
         assert flags[i].reason is None, flags[i].text
-    assert {r.signature for r in flags.values()} == {"mine"} and {r.known for r in flags.values()} == {5}
+    assert {r.signature for r in flags.values()} == {"mine"} and {r.words for r in flags.values()} == {5}
 
 
 def test_repeated_over_hosts(spark):
-    odd = "Upstream session blocked, gateway offline"
-    rows = [(i, odd if i < 4 else f"{odd} but friends kept our seats in heavy rain", f"h{i % 2}") for i in range(8)]
-    df = spark.createDataFrame(rows, "id int, text string, host string")
-    common = ["but", "our", "in", "kept"]
-    assert {r.id for r in residue.flagged(df, "text", "host", ordinary=common).where("reason = 'repeated'").collect()} == {0, 1, 2, 3}
-    assert residue.flagged(df.withColumn("host", residue.F.lit("one")), "text", "host").where("reason is not null").count() == 0
+    """Without any known phrase: what different short texts on several hosts share, and ordinary ones lack, is a message."""
+    frames = ["Upstream session blocked, gateway offline", "<h1>Upstream session blocked, gateway offline</h1> node 7a", "Home Menu Upstream session blocked, gateway offline", "Upstream session blocked", "Gateway offline Menu Home"]
+    posts = [f"we kept our seats at the gate {w} and it was in the rain" for w in ("zavo", "mirel", "tosk", "pelu", "ranno", "vidd")]
+    talk = "then that gateway offline note was the talk of our walk and so we laughed until dawn"
+    texts = frames + posts + [talk]
+    df = spark.createDataFrame([(i, t, f"h{i % 2}") for i, t in enumerate(texts)], "id int, text string, host string")
+    ordinary = [*ORDINARY, "kept", "seats", "gate", "rain"]
+    got = {r.id: r.reason for r in residue.flagged(df, "text", "host", ordinary=ordinary, phrases="").collect()}
+    assert {i for i, r in got.items() if r} == set(range(len(frames))) and "repeated" in got.values()
+    one_host = df.withColumn("host", residue.F.lit("one"))
+    assert residue.flagged(one_host, "text", "host", ordinary=ordinary, phrases="").where("reason is not null").count() == 0
+    copies = spark.createDataFrame([(i, frames[0], f"h{i % 2}") for i in range(9)], "id int, text string, host string")
+    assert residue.flagged(copies, "text", "host", ordinary=ordinary, phrases="").where("reason is not null").count() == 0
     assert residue.flagged(df.limit(0), "text", "host").count() == 0
 
 
+def test_title_that_does_not_fit(spark):
+    """A title without a term of the body needs a smaller share of message terms."""
+    rows = ["blocked upstream a", "upstream blocked b", "blocked now upstream", "upstream blocked\nour the", "upstream blocked at of"]
+    df = spark.createDataFrame([(i, t, f"h{i % 2}") for i, t in enumerate(rows)], "id int, text string, host string")
+    got = {r.id: r.reason for r in residue.flagged(df, "text", "host", ordinary=ORDINARY, phrases="").collect()}
+    assert got[3] == "repeated" and got[4] != "repeated"
+
+
 def test_address_slug(spark):
     df = spark.createDataFrame([("https://x.example/threads/summer-tour/", "gateway upstream\nsomething else")], "url string, text string")
     assert residue.evidence(df, "text", "url").first().mismatch
@@ -49,7 +68,7 @@ def test_address_slug(spark):
     assert not residue.evidence(fits, "text", "url").first().mismatch
 
 
-@pytest.mark.parametrize("text", ["lorem ipsum " * 30_000, "z" * 300_000, "{" * 100_000, "[your " * 20_000, "x" + " " * 200_000 + "y", "<" * 100_000, "9" * 200_000])
+@pytest.mark.parametrize("text", ["lorem ipsum " * 30_000, "[[a " * 50_000, "{{a" * 60_000, "&lt;a" * 40_000, "z" * 300_000, "{" * 100_000, "[your " * 20_000, "x" + " " * 200_000 + "y", "<" * 100_000, "9" * 200_000])
 def test_long_runs(spark, text):
     import time
 

@@ -51,6 +51,8 @@ SHARE, SHARE_MISMATCH = 0.6, 0.5
 COVERED, COVERED_HALF = 0.75, 0.9
 #: Content texts, whose terms count against messages: at most this share of message terms, and at least so many ordinary terms.
 CONTENT_SHARE, CONTENT_TERMS = 0.3, 4
+#: What is known of content before any text is read: so many texts, and the share of them an ordinary term stands in.
+PRIOR_TEXTS, PRIOR_RATE = 1_000, 0.02
 #: Filler: at most so many different terms, each standing so often on average.
 FILLER_TERMS, FILLER_TIMES = 8, 3
 #: Most words of ordinary texts, and most sample texts they are taken from.
@@ -198,10 +200,10 @@ def message_texts(texts: DataFrame, repeats: int = 3, phrases: str = PHRASES) ->
         .select("term")
     )
     marked = one.select("signature", F.explode("foreign").alias("term")).join(marks, "term").groupBy("signature").agg(F.count(F.lit(1)).alias("marked"))
-    share = F.col("marked") / (F.col("marked") + F.col("ordinary"))
+    share = F.coalesce(F.try_divide(F.col("marked"), F.col("marked") + F.col("ordinary")), F.lit(0.0))
     seed = (F.col("marked") > 0) & low & (share >= F.when(F.col("mismatch"), SHARE_MISMATCH).otherwise(SHARE))
     content = (F.col("ordinary") >= CONTENT_TERMS) & (F.col("ordinary") > 0) & (share <= CONTENT_SHARE) & ~seed
-    judged = written(one.join(marked, "signature", "left").fillna(0, ["marked"]).select("signature", "terms", share.alias("share"), seed.alias("seed"), F.coalesce(content, F.lit(False)).alias("content")), "judged")
+    judged = written(one.join(marked, "signature", "left").fillna(0, ["marked"]).select("signature", "terms", "foreign", share.alias("share"), seed.alias("seed"), F.coalesce(content, F.lit(False)).alias("content")), "judged")
 
     n = judged.agg(F.count_if("seed").alias("seeds"), F.count_if("content").alias("contents")).first()
     table = _vocabulary(phrases, texts) if phrases else None
@@ -214,10 +216,11 @@ def message_texts(texts: DataFrame, repeats: int = 3, phrases: str = PHRASES) ->
     # how often the terms of what is left stand in content
     asked = near.select(F.explode("terms").alias("term")).distinct()
     against = judged.where("content").select(F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("plain"))
-    k, p = F.coalesce("known", F.lit(0)), F.coalesce("plain", F.lit(0))
-    odds = F.when((k > 0) | (p > 0), F.ln((k + 0.5) / (seeds + 1.0)) - F.ln((p + 0.5) / ((n.contents or 0) + 1.0))).otherwise(0.0)
+    k, p = F.coalesce("known", F.lit(0)), F.coalesce("plain", F.lit(0)) + F.when(F.col("strange"), 0.0).otherwise(PRIOR_TEXTS * PRIOR_RATE)
+    odds = F.when((k > 0) | (p > 0), F.ln((k + 0.5) / (seeds + 1.0)) - F.ln((p + 0.5) / ((n.contents or 0) + PRIOR_TEXTS + 1.0))).otherwise(0.0)
+    of_text = F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), F.array_contains("foreign", t).alias("strange")))).alias("t")
     balance = (
-        near.select("signature", F.explode("terms").alias("term")).join(support, "term", "left").join(against, "term", "left").groupBy("signature").agg(F.avg(odds).alias("balance"))
+        near.select("signature", of_text).select("signature", "t.*").join(support, "term", "left").join(against, "term", "left").groupBy("signature").agg(F.avg(odds).alias("balance"))
     )
     enough = (F.col("balance") >= 0) | ((F.col("covered") >= COVERED_HALF * F.size("terms")) & (F.col("share") >= 0.5))
     messages = near.join(balance, "signature").where(enough).select("signature", F.lit("message").alias("reason"))
