@@ -52,13 +52,39 @@ def test_unified_keeps_values_and_names(spark):
     rows = drift.unify(raw(spark, [("f", 1, "a", one), ("f", 2, "b", two + two[:1])]), contract(spark)).collect()
     assert len(rows) == 9
     by = {(r.source_file, r.source_row_number): r for r in rows}
-    assert by["b", 2].id == post(2) and by["b", 2].likes == 2 and by["b", 2].branches == {"id:integer": post(2), "likes:string": "2"} and by["b", 2].extras == {"place": "p"}
-    assert by["b", 5].likes is None and by["b", 5].branches["likes:string"] == "n/a"
+    assert by["b", 2].id == post(2) and by["b", 2].likes == 2 and by["b", 2].branches.integer == {"id": int(post(2))} and by["b", 2].branches.string == {"likes": "2"} and by["b", 2].extras == {"place": ["p"]}
+    assert by["b", 5].likes is None and by["b", 5].branches.string == {"likes": "n/a"} and by["b", 5].branches.fraction == {}
     assert len(by["a", 3].text) == 70_000
     kinds = {(r.canonical, r.type): r.first_seq for r in drift.alternatives(raw(spark, [("f", 1, "a", one), ("f", 2, "b", two)]), contract(spark)).collect()}
     assert kinds["likes", "integer"] == 1 and kinds["likes", "string"] == 2
 
 
+def test_clashing_names_lose_nothing(spark):
+    """Two columns of one file that fold to one name, a key given twice, and values that differ from what they are called."""
+    one = [{"Likes": 1, "likes": 2, "LIKES": 3, "id": post(1)}, '{"id": "%s", "likes": 4, "likes": 5}' % post(2), {"id": post(3), "likes": 1.5, "text": True}]
+    by = {r.source_row_number: r for r in drift.unify(raw(spark, [("f", 1, "a", one)]), contract(spark)).collect()}
+    assert by[2].likes == 2 and by[2].extras == {"Likes": ["1"], "LIKES": ["3"]}
+    assert by[3].likes == 4 and by[3].extras == {"likes": ["5"]}
+    assert by[4].likes == 1 and by[4].branches.fraction == {"likes": 1.5} and by[4].text == "true" and by[4].branches.boolean == {"text": True}
+
+
+def test_alternatives_inside_of_nested_values(spark):
+    one = [{"id": post(1), "user": {"id": 7, "tags": ["a"], "odd name, x": None}}, {"id": post(2), "user": {"id": "7", "tags": [1.5]}}, {"id": post(3), "user": "blob"}]
+    got = {(r.canonical, r.type): r["values"] for r in drift.alternatives(raw(spark, [("f", 1, "a", one)]), contract(spark)).collect()}
+    assert got == {
+        ("id", "string"): 3, ("user", "object"): 2, ("user", "string"): 1, ("user.id", "integer"): 1, ("user.id", "string"): 1, ("user.tags", "array"): 2, ("user.tags[]", "string"): 1, ("user.tags[]", "fraction"): 1, ("user.odd name, x", "null"): 1,
+    }
+
+
+def test_many_files_meet_by_a_shuffle(spark, monkeypatch):
+    one = [{"id": post(i), "likes": i, "old": f"x{i}"} for i in range(6)]
+    two = [{"id": post(i), "likes": i, "young": f"x{i}"} for i in range(3, 9)]
+    files = [("f", 1, "a", one), ("f", 2, "b", two)]
+    few = drift.changes(raw(spark, files)).collect(), sorted(map(str, drift.unify(raw(spark, files), contract(spark)).collect()))
+    monkeypatch.setattr(drift, "BROADCAST_FILES", 0)
+    assert (drift.changes(raw(spark, files)).collect(), sorted(map(str, drift.unify(raw(spark, files), contract(spark)).collect()))) == few and tuple(few[0][0]) == ("b", "renamed", "young")
+
+
 VALUE = st.one_of(st.none(), st.integers(-5, 5), st.booleans(), st.sampled_from(["a", "b", "1"]), st.sampled_from([0.5, 2.0]))
 
 

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -91,6 +92,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` as a side to broadcast if it has at most ``most`` rows, which is counted first; otherwise as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 #: Session setting: into how many partitions ``spread`` puts rows before costly work row by row.
 PARTITIONS = "spark.tidegraph.partitions"
 
