@@ -46,19 +46,16 @@ def needed(size_a: Column, size_b: Column) -> Column:
     return _ceil_div((size_a + size_b) * NUMERATOR, NUMERATOR + DENOMINATOR)
 
 
-def one_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per key with its text; of differing texts under one key the smallest holds, NULL keys and texts are left out."""
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-
-
-def hashed(one: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key and ``words``, the sorted 64-bit hashes of its distinct words; texts with fewer than ``min_words`` are left out: they have no links."""
-    sets = one.select("key", F.array_sort(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("words"))
-    return sets.where(F.size("words") >= min_words)
-
-
 def distinct_texts(df: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    return hashed(one_text(df, key, text), min_words)
+    """One row per key: key and ``words``, the sorted 64-bit hashes of the text's distinct words.
+
+    Texts with fewer than ``min_words`` words are left out, as they have no links, and so are NULL keys and
+    texts. Of differing texts under one key the one with the least hash holds. Words are cut before rows are
+    moved, so a text is read once however often its set is used.
+    """
+    hashes = F.sort_array(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))))
+    sets = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), hashes.alias("words"))
+    return sets.where(F.size("words") >= min_words).groupBy("key").agg(F.min_by("words", "mark").alias("words"))
 
 
 def memberships(texts: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ What decides, in this order:
   messages, and the texts of ordinary words how often it stands in content. A text whose terms nearly
   all stand in messages, and rather there than in content, is one too ('message').
 
-All counts are over different texts, so a post copied many times weighs no more than once. Texts that talk
-about messages have many words that no message has, which keeps them.
+What marks messages is counted over different texts, so a post copied many times weighs no more than once. Texts
+that talk about messages have many words that no message has, which keeps them. Content texts, whose terms speak against
+messages, have more than a few ordinary terms and no fewer than foreign ones.
 """
 
 from __future__ import annotations
@@ -49,8 +50,6 @@ LOW_INFORMATION = 6
 SHARE, SHARE_MISMATCH = 0.6, 0.5
 #: Least share of a text's terms that messages must have: with a balance towards messages, and with half of its terms repeated.
 COVERED, COVERED_HALF = 0.75, 0.9
-#: Content texts, whose terms count against messages: at most this share of message terms, and at least so many ordinary terms.
-CONTENT_SHARE, CONTENT_TERMS = 0.3, 4
 #: What is known of content before any text is read: so many texts, and the share of them an ordinary term stands in.
 PRIOR_TEXTS, PRIOR_RATE = 1_000, 0.02
 #: Filler: at most so many different terms, each standing so often on average.
@@ -184,47 +183,55 @@ def _vocabulary(phrases: str, df: DataFrame) -> DataFrame:
 def message_texts(texts: DataFrame, repeats: int = 3, phrases: str = PHRASES) -> DataFrame:
     """The signatures of texts that are messages: signature and reason ('repeated' or 'message').
 
-    ``texts``: one row per signature and host, with terms, foreign and mismatch. A term marks messages if it is
+    ``texts``: signature, host, terms, foreign and mismatch of each text. A term marks messages if it is
     foreign and stands in ``repeats`` different texts of little information or more, over two hosts or more.
-    All steps aggregate counts; no task holds the texts of a term or of a host.
+    Only texts of little information and the few near to messages are moved; of all others terms are counted
+    where they are read. No task holds the texts of a term or of a host.
     """
-    one = texts.groupBy("signature").agg(F.any_value("terms").alias("terms"), F.any_value("foreign").alias("foreign"), F.max("mismatch").alias("mismatch"), F.min("host").alias("first_host"), F.max("host").alias("last_host"))
-    one = written(one.where(F.size("terms") > 0).withColumn("ordinary", F.size("terms") - F.size("foreign")), "texts")
-    low = F.col("ordinary") <= LOW_INFORMATION
+    ordinary = F.size("terms") - F.size("foreign")
+    one = [F.any_value("terms").alias("terms"), F.any_value("foreign").alias("foreign"), F.max("mismatch").alias("mismatch")]
+    low = texts.where((F.size("terms") > 0) & (ordinary <= LOW_INFORMATION))
+    low = low.groupBy("signature", "host").agg(*one).groupBy("signature").agg(*one, F.min("host").alias("first_host"), F.max("host").alias("last_host"))
+    low = written(low.withColumn("ordinary", ordinary), "low")
     marks = (
-        one.where(low)
-        .select(F.explode("foreign").alias("term"), "first_host", "last_host")
+        low.select(F.explode("foreign").alias("term"), "first_host", "last_host")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("texts"), F.min("first_host").alias("a"), F.max("last_host").alias("b"))
         .where((F.col("texts") >= repeats) & (F.col("a") < F.col("b")))
         .select("term")
     )
-    marked = one.select("signature", F.explode("foreign").alias("term")).join(marks, "term").groupBy("signature").agg(F.count(F.lit(1)).alias("marked"))
-    share = F.coalesce(F.try_divide(F.col("marked"), F.col("marked") + F.col("ordinary")), F.lit(0.0))
-    seed = (F.col("marked") > 0) & low & (share >= F.when(F.col("mismatch"), SHARE_MISMATCH).otherwise(SHARE))
-    content = (F.col("ordinary") >= CONTENT_TERMS) & (F.col("ordinary") > 0) & (share <= CONTENT_SHARE) & ~seed
-    judged = written(one.join(marked, "signature", "left").fillna(0, ["marked"]).select("signature", "terms", "foreign", share.alias("share"), seed.alias("seed"), F.coalesce(content, F.lit(False)).alias("content")), "judged")
-
-    n = judged.agg(F.count_if("seed").alias("seeds"), F.count_if("content").alias("contents")).first()
-    table = _vocabulary(phrases, texts) if phrases else None
-    seeds = (n.seeds or 0) + (len(phrases.split("|")) if phrases else 0)
-    held = judged.where("seed").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("known"))
-    support = held.unionByName(table).groupBy("term").agg(F.sum("known").alias("known")) if table is not None else held
-    long = judged.where("not seed").select("signature", F.explode("terms").alias("term"))
-    covered = long.join(support.select("term"), "term").groupBy("signature").agg(F.count(F.lit(1)).alias("covered"))
-    near = written(judged.where("not seed").join(covered, "signature").where(F.col("covered") >= COVERED * F.size("terms")), "near")
+    marks = written(marks, "marks")
+    share = F.try_divide(F.col("marked"), F.col("marked") + F.col("ordinary"))
+
+    def with_share(df: DataFrame) -> DataFrame:
+        marked = df.select("signature", F.explode("foreign").alias("term")).join(marks, "term").groupBy("signature").agg(F.count(F.lit(1)).alias("marked"))
+        return df.join(marked, "signature", "left").fillna(0, ["marked"]).withColumn("share", F.coalesce(share, F.lit(0.0)))
+
+    seed = (F.col("marked") > 0) & (F.col("share") >= F.when(F.col("mismatch"), SHARE_MISMATCH).otherwise(SHARE))
+    seeds = written(with_share(low).where(seed).select("signature", "terms"), "seeds")
+    held = seeds.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("known"))
+    support = held.unionByName(_vocabulary(phrases, texts)).groupBy("term").agg(F.sum("known").alias("known")) if phrases else held
+    support = written(support, "support")
+
+    # sums over the texts of one signature: the share of terms is that of each
+    met = texts.select("signature", F.explode("terms").alias("term")).join(support.select("term", F.lit(1).alias("held")), "term", "left")
+    covered = met.groupBy("signature").agg(F.count(F.lit(1)).alias("all_terms"), F.count("held").alias("held_terms")).where(F.col("held_terms") >= COVERED * F.col("all_terms"))
+    covered = covered.join(seeds, "signature", "left_anti").select("signature", F.try_divide("held_terms", "all_terms").alias("covered"))
+    near = texts.join(covered, "signature").groupBy("signature").agg(*one, F.any_value("covered").alias("covered"))
+    near = written(with_share(near.withColumn("ordinary", ordinary)), "near")
+
     # how often the terms of what is left stand in content
+    content = texts.where((ordinary > LOW_INFORMATION) & (ordinary >= F.size("foreign")))
     asked = near.select(F.explode("terms").alias("term")).distinct()
-    against = judged.where("content").select(F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("plain"))
+    against = content.select(F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("plain"))
+    n_seeds, n_content = seeds.count() + (len(phrases.split("|")) if phrases else 0), content.count()
     k, p = F.coalesce("known", F.lit(0)), F.coalesce("plain", F.lit(0)) + F.when(F.col("strange"), 0.0).otherwise(PRIOR_TEXTS * PRIOR_RATE)
-    odds = F.when((k > 0) | (p > 0), F.ln((k + 0.5) / (seeds + 1.0)) - F.ln((p + 0.5) / ((n.contents or 0) + PRIOR_TEXTS + 1.0))).otherwise(0.0)
+    odds = F.when((k > 0) | (p > 0), F.ln((k + 0.5) / (n_seeds + 1.0)) - F.ln((p + 0.5) / (n_content + PRIOR_TEXTS + 1.0))).otherwise(0.0)
     of_text = F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), F.array_contains("foreign", t).alias("strange")))).alias("t")
-    balance = (
-        near.select("signature", of_text).select("signature", "t.*").join(support, "term", "left").join(against, "term", "left").groupBy("signature").agg(F.avg(odds).alias("balance"))
-    )
-    enough = (F.col("balance") >= 0) | ((F.col("covered") >= COVERED_HALF * F.size("terms")) & (F.col("share") >= 0.5))
+    balance = near.select("signature", of_text).select("signature", "t.*").join(support, "term", "left").join(against, "term", "left").groupBy("signature").agg(F.avg(odds).alias("balance"))
+    enough = (F.col("balance") >= 0) | ((F.col("covered") >= COVERED_HALF) & (F.col("share") >= 0.5))
     messages = near.join(balance, "signature").where(enough).select("signature", F.lit("message").alias("reason"))
-    return judged.where("seed").select("signature", F.lit("repeated").alias("reason")).unionByName(messages)
+    return seeds.select("signature", F.lit("repeated").alias("reason")).unionByName(messages)
 
 
 def flagged(
@@ -249,6 +256,7 @@ def flagged(
     # the evidence is used twice, so it is written once
     decided = written(e.select("_row", "_from", "signature", "terms", "foreign", "mismatch", first.alias("_first")), "residue")
     # texts with slots are none to learn messages from
-    texts = decided.where("_first is null or _first = 'filler'").groupBy("signature", F.col("_from").alias("host")).agg(F.any_value("terms").alias("terms"), F.any_value("foreign").alias("foreign"), F.max("mismatch").alias("mismatch"))
+    texts = decided.where("_first is null or _first = 'filler'").select("signature", F.col("_from").alias("host"), "terms", "foreign", "mismatch")
     found = message_texts(texts, repeats, phrases)
+    # the found ones are few; the documents stay where they are as long as Spark may broadcast them
     return restore(decided.select("_row", "signature", "_first").join(found, "signature", "left").select("_row", F.coalesce("_first", "reason").alias("reason")), kept, "reason")
