@@ -34,7 +34,7 @@ FOUND = [
 ]
 NOTHING = [
     "meet @ 7.30 by gate 17", "user@ is not a name", "status 1552293370965167893 is pinned", "ticket serial 1619584940 was mine", "it was 3-2 after 486 minutes", "updated 2021-03-13", "order no 8987801313 shipped", "street team 68 waits at dawn", "we hope the tour has Grace and Rose petals",
-    "Jasper told us to leave", "me llamo Andrés K", "el sol salió a dos calles de aquí", "123456 votes", "#Clara #Gajofiri @clara_gajofiri", 'the song "Clara Gajofiri"', "chart 202.5 to 555.6", "", " ", "شماره بلیت 4141731361 بود",
+    "Jasper told us to leave", "me llamo Andrés K", "el sol salió a dos calles de aquí", "123456 votes", "#Clara #Gajofiri @clara_gajofiri", 'the song "Clara Gajofiri"', "chart 202.5 to 555.6", "", " ", "شماره بلیت 4141731361 بود", "passport 4111 1111 1111 1112", "IBAN DE89 3704 0044 0532 0130 01",
 ]
 
 
@@ -56,6 +56,19 @@ def test_checksums():
     assert pii.two_checks("52998224725") and not pii.two_checks("52998224726") and pii.check_letter("12345678Z")
 
 
+def test_more_checks():
+    assert pii.nir_key("255081416802538") and not pii.nir_key("255081416802539") and not pii.nir_key("2550814168025") and pii.nir_key("2550820168025" + f"{97 - int('2550820168025') % 97:02d}")
+    assert pii.tax_eleven("86095742719") and not pii.tax_eleven("86095742718")
+    assert pii.social_area("219099999") and not pii.social_area("900123456") and pii.insurance_prefix("AB123456C") and not pii.insurance_prefix("QQ123456C")
+
+
+def test_the_higher_score_stands():
+    """A name inside of an address gives way to it, a number of several shapes is one span."""
+    found = pii.find("I live at 12 Clara Hopeson street, call +1 617-555-0110", GIVEN, COMMON)
+    assert [k for _, _, k in found] == ["street_address", "phone"]
+    assert [k for _, _, k in pii.find("card 4111 1111 1111 1111 ok", GIVEN, COMMON)] == ["identity_number"]
+
+
 def test_rest_of_the_text_stays(spark):
     rows = [(1, "é mail a@b.example ١٢ 🌙\n@x #y"), (2, None), (3, ""), (4, "no data"), (5, "z" * 200_000 + " a@b.example")]
     df = spark.createDataFrame([(i, t, "mine", 9) for i, t in rows], "id int, t string, clean_text string, _clean int")
