@@ -71,6 +71,6 @@ def ordered_hash(lines: Iterable[str]) -> str:
 
 
 def schema_signature(columns: Iterable[str], ordered: bool = False) -> str:
-    """Twelve digits that stand for a list of column names, in any order or in this one."""
-    names = list(columns)
+    """Twelve digits that stand for a list of column names, in any order or in this one; case and blanks around do not matter."""
+    names = [str(c).strip().lower() for c in columns]
     return hashlib.sha256("|".join(names if ordered else sorted(names)).encode()).hexdigest()[:12]

@@ -122,3 +122,17 @@ def text_coverage(events: DataFrame) -> DataFrame:
         .agg(F.sum("events").alias("events"), F.sum("with_text").alias("with_text"))
         .withColumn("share", F.round(F.col("with_text") / F.col("events"), 6))
     )
+
+
+def label_coverage(eligible: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per snapshot: nodes eligible for evaluation, those with a label and their share, and those eligible and labelled also in the snapshot before.
+
+    ``eligible`` and ``labels``: snapshot_id and node_index, repeated or not; labels of nodes that are not eligible do not count.
+    """
+    e = eligible.select("snapshot_id", "node_index").where("snapshot_id is not null and node_index is not null").distinct()
+    both = e.join(labels.select("snapshot_id", "node_index").distinct().withColumn("l", F.lit(1)), ["snapshot_id", "node_index"], "left")
+    before = both.where("l is not null").select((F.col("snapshot_id") + 1).alias("snapshot_id"), "node_index", F.lit(1).alias("p"))
+    joined = both.join(before, ["snapshot_id", "node_index"], "left")
+    return joined.groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("eligible"), F.count("l").alias("labelled"), F.round(F.count("l") / F.count(F.lit(1)), 6).alias("share"), F.count_if(F.col("l").isNotNull() & F.col("p").isNotNull()).alias("pairs")
+    )

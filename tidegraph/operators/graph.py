@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.config import DEFAULT, FEATURES, Config
+from tidegraph.functions.frames import numbered
 from tidegraph.functions.hashing import content_hash, event_signature
 from tidegraph.functions.ids import mention_ids, nested_user_id, user_object
 from tidegraph.functions.text import is_blank, normalized_text
@@ -23,11 +26,10 @@ def node_map(accounts: DataFrame, column: str = "account_id") -> DataFrame:
     The index is a running count over ranges of the order, so no task sorts all ids.
     """
     ids = accounts.select(account_key(F.col(column)).alias("account_id")).where(F.col("account_id").rlike(r"^\d+$")).distinct()
-    spread = ids.withColumns({"_n": F.col("account_id").cast("decimal(38,0)"), "_len": F.length("account_id"), "_head": F.substring("account_id", 1, 3)})
-    sums = spread.groupBy("_len", "_head").agg(F.count(F.lit(1)).alias("_c"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy().orderBy("_len", "_head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("_len", "_head").orderBy("_n")) - 1
-    return spread.withColumn("_i", place).join(before, ["_len", "_head"]).select("account_id", (F.col("_i") + F.col("_before")).cast("int").alias("node_index"))
+    # the shorter number is the smaller one; leading zeros do not count
+    plain = F.regexp_replace("account_id", "^0+(?=.)", "")
+    ordered = ids.withColumns({"_digits": F.length(plain), "_plain": plain})
+    return numbered(ordered, ["_digits", "_plain", "account_id"], "node_index").select("account_id", F.col("node_index").cast("int").alias("node_index"))
 
 
 def sheet_interactions(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -231,8 +233,15 @@ def edge_ordinals(edge: DataFrame) -> DataFrame:
 
 
 def property_graph(edge: DataFrame, nodes: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, author_account_id) and edges typed by the relation's name."""
+    """Vertices (id, author_account_id) and edges typed by the relation's name; edges of which an end is no vertex are left out."""
     vertices = nodes.select(F.col("node_index").alias("id"), F.col("account_id").alias("author_account_id"))
     names = F.create_map(*[x for i, r in enumerate(config.relations) for x in (F.lit(i), F.lit(r))])
     typed = edge.select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"), names[F.col("relation_id").cast("int")].alias("relation"), "snapshot_id", "count_raw", "weight_log1p")
-    return vertices, typed
+    ends = lambda c: vertices.select(F.col("id").alias(c))
+    return vertices, typed.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select(*typed.columns)
+
+
+def graph_name(name: str, longest: int = 63) -> str:
+    """A name a graph database takes: letters, digits and underscores, a letter in front, at most ``longest`` long."""
+    made = re.sub(r"[^A-Za-z0-9_]", "_", name)
+    return (made if made[:1].isalpha() else f"g_{made}")[:longest]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.functions.vectors import cosine, square_distance, unit
+from tidegraph.session import ship
 
 MAX_PROTOTYPES = 10_000
 
@@ -176,46 +182,102 @@ def contingency(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, F.col("community").alias("u")).join(b.select(*keys, F.col("community").alias("v")), keys).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def partition_agreement(table: DataFrame) -> DataFrame:
-    """One row from a contingency table: n, entropies, mutual information, NVI, AMI (arithmetic mean) and ARI.
+def expected_mutual_information(a: int, b: int, n: int) -> float:
+    """What a part of ``a`` and a part of ``b`` of ``n`` things add to the mutual information of random partitions, per pair of parts.
 
-    The expected mutual information sums over pairs of marginal sizes, of which there are
-    few; factorials come as running sums of logarithms.
+    The number in common is hypergeometric; its probabilities follow from the one at the mode by ratios, and those
+    that cannot change a double are left out, so long ranges cost little.
+    """
+    low, high = max(1, a + b - n), min(a, b)
+    if low > high:
+        return 0.0
+    mode = min(max((a + 1) * (b + 1) // (n + 2), low), high)
+    spread = math.sqrt(max(a * b / n * (1 - a / n) * (1 - b / n), 1.0))
+    low, high = max(low, int(mode - 40 * spread - 50)), min(high, int(mode + 40 * spread + 50))
+    g = math.lgamma
+    top = g(a + 1) + g(b + 1) + g(n - a + 1) + g(n - b + 1) - g(n + 1) - g(mode + 1) - g(a - mode + 1) - g(b - mode + 1) - g(n - a - b + mode + 1)
+    up = np.arange(mode, high, dtype=np.float64)
+    down = np.arange(mode, low, -1, dtype=np.float64)
+    above = top + np.cumsum(np.log((a - up) * (b - up) / ((up + 1) * (n - a - b + up + 1)))) if len(up) else up
+    below = top + np.cumsum(np.log(down * (n - a - b + down) / ((a - down + 1) * (b - down + 1)))) if len(down) else down
+    i = np.concatenate([[mode], up + 1, down - 1])
+    log_p = np.concatenate([[top], above, below])
+    return float((i / n * np.log(n * i / (float(a) * b)) * np.exp(log_p)).sum())
+
+
+def partition_agreement(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """From a contingency table, n, entropies, mutual information, NVI, AMI (arithmetic mean) and ARI: one row, or one per ``keys``.
+
+    The expected mutual information sums over pairs of distinct sizes, of which a partition of N
+    things has fewer than the root of 2 N; each pair is computed on its own.
     """
+    ship(table.sparkSession)
+    k = keys or []
     n = F.col("n").cast("double")
-    rows = table.groupBy("u").agg(F.sum("n").alias("a"))
-    cols = table.groupBy("v").agg(F.sum("n").alias("b"))
-    total = table.agg(F.sum("n").cast("double").alias("N"))
-    big = total.scalar()
-    entropy = lambda df, c: df.agg((-F.sum(F.col(c) / big * F.ln(F.col(c) / big))).alias("h"))
-    mi = table.join(rows, "u").join(cols, "v").agg(F.sum(n / big * F.ln(n * big / (F.col("a") * F.col("b")))).alias("mi"), F.sum(n * (n - 1) / 2).alias("pairs"))
-    pa_ = rows.agg(F.sum(F.col("a") * (F.col("a") - 1) / 2).alias("pa"))
-    pb_ = cols.agg(F.sum(F.col("b") * (F.col("b") - 1) / 2).alias("pb"))
-    sizes_a = rows.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("ka"))
-    sizes_b = cols.groupBy("b").agg(F.count(F.lit(1)).cast("double").alias("kb"))
-    whole = int(total.first()[0] or 0)
-    spark = table.sparkSession
-    lf = spark.range(whole + 1).select(F.col("id").alias("i"), F.sum(F.ln(F.greatest("id", F.lit(1)).cast("double"))).over(W.partitionBy().orderBy("id")).alias("lf"))
-    big_n = F.lit(float(whole))
-    all_b = sizes_b.agg(F.collect_list(F.struct("b", "kb")).alias("all")).scalar()
-    grid = sizes_a.select("a", "ka", F.explode(all_b).alias("s")).select("a", "ka", "s.*")
-    cells = grid.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - whole), F.least("a", "b"))))
-    for name, at in (("fa", F.col("a")), ("fb", F.col("b")), ("fna", whole - F.col("a")), ("fnb", whole - F.col("b")), ("fi", F.col("i")), ("fai", F.col("a") - F.col("i")), ("fbi", F.col("b") - F.col("i")), ("fr", whole - F.col("a") - F.col("b") + F.col("i"))):
-        cells = cells.withColumn("_k", at.cast("bigint")).join(lf.select(F.col("i").alias("_k"), F.col("lf").alias(name)), "_k").drop("_k")
-    lfn = lf.where(F.col("i") == whole).select("lf").scalar()
-    log_p = F.col("fa") + F.col("fb") + F.col("fna") + F.col("fnb") - lfn - F.col("fi") - F.col("fai") - F.col("fbi") - F.col("fr")
-    i = F.col("i").cast("double")
-    emi = cells.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * i / big_n * F.ln(big_n * i / (F.col("a") * F.col("b"))) * F.exp(log_p)), F.lit(0.0)).alias("emi"))
-    hu, hv, e = entropy(rows, "a").scalar(), entropy(cols, "b").scalar(), emi.scalar()
-    pa, pb = pa_.scalar(), pb_.scalar()
-    every = big * (big - 1) / 2
-    expected = pa * pb / every
-    out = mi.select(
-        big.alias("n"), hu.alias("entropy_u"), hv.alias("entropy_v"), "mi", F.when(hu + hv - F.col("mi") > 1e-15, (hu + hv - 2 * F.col("mi")) / (hu + hv - F.col("mi"))).otherwise(0.0).alias("nvi"), e.alias("expected_mi"),
-        F.when(F.abs((hu + hv) / 2 - e) > 1e-15, (F.col("mi") - e) / ((hu + hv) / 2 - e)).otherwise(1.0).alias("ami"),
-        F.when((pa + pb) / 2 - expected != 0, (F.col("pairs") - expected) / ((pa + pb) / 2 - expected)).otherwise(1.0).alias("ari"),
+    rows = table.groupBy(*k, "u").agg(F.sum("n").alias("a"))
+    cols = table.groupBy(*k, "v").agg(F.sum("n").alias("b"))
+    total = table.groupBy(*k).agg(F.sum("n").cast("double").alias("big"))
+
+    def meet(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        return left.join(right, [*k, *more]) if k or more else left.join(right, F.lit(True))
+
+    def entropy(df: DataFrame, c: str, name: str, pairs: str) -> DataFrame:
+        share = F.col(c) / F.col("big")
+        return meet(df, total).groupBy(*k).agg((-F.sum(share * F.ln(share))).alias(name), F.sum(F.col(c) * (F.col(c) - 1) / 2).alias(pairs))
+
+    both = meet(meet(meet(table, rows, "u"), cols, "v"), total)
+    mi = both.groupBy(*k).agg(F.sum(n / F.col("big") * F.ln(n * F.col("big") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(n * (n - 1) / 2).alias("pairs"))
+
+    @F.arrow_udf("double")
+    def each(a: pa.Array, b: pa.Array, big: pa.Array) -> pa.Array:
+        return pa.array([expected_mutual_information(x, y, z) for x, y, z in zip(a.to_pylist(), b.to_pylist(), big.to_pylist())], pa.float64())
+
+    sizes_a = rows.groupBy(*k, "a").agg(F.count(F.lit(1)).cast("double").alias("ka"))
+    sizes_b = cols.groupBy(*k, "b").agg(F.count(F.lit(1)).cast("double").alias("kb"))
+    listed = sizes_b.groupBy(*k).agg(F.collect_list(F.struct("b", "kb")).alias("all"))
+    grid = meet(meet(sizes_a, listed), total).select(*k, "a", "ka", "big", F.explode("all").alias("s")).select(*k, "a", "ka", "big", "s.*")
+    emi = grid.groupBy(*k).agg(F.sum(F.col("ka") * F.col("kb") * each("a", "b", F.col("big").cast("bigint"))).alias("e"))
+    one = meet(meet(meet(meet(mi, total), entropy(rows, "a", "hu", "pa")), entropy(cols, "b", "hv", "pb")), emi)
+    hu, hv, e, x = F.col("hu"), F.col("hv"), F.col("e"), F.col("mi")
+    every = F.col("big") * (F.col("big") - 1) / 2
+    expected = F.coalesce(F.try_divide(F.col("pa") * F.col("pb"), every), F.lit(0.0))
+    return one.select(
+        *k, F.col("big").alias("n"), hu.alias("entropy_u"), hv.alias("entropy_v"), "mi", F.when(hu + hv - x > 1e-15, F.try_divide(hu + hv - 2 * x, hu + hv - x)).otherwise(0.0).alias("nvi"), e.alias("expected_mi"),
+        F.when(F.abs((hu + hv) / 2 - e) > 1e-15, F.try_divide(x - e, (hu + hv) / 2 - e)).otherwise(1.0).alias("ami"),
+        F.coalesce(F.try_divide(F.col("pairs") - expected, (F.col("pa") + F.col("pb")) / 2 - expected), F.lit(1.0)).alias("ari"),
     )
-    return out
+
+
+def consecutive_agreement(partition: DataFrame) -> DataFrame:
+    """Agreement of each snapshot's partition with the next one's, over the nodes that both have."""
+    later = partition.select((F.col("snapshot_id") - 1).alias("snapshot_id"), "node_index", F.col("community").alias("v"))
+    both = partition.select("snapshot_id", "node_index", F.col("community").alias("u")).join(later, ["snapshot_id", "node_index"])
+    return partition_agreement(both.groupBy("snapshot_id", "u", "v").agg(F.count(F.lit(1)).alias("n")), ["snapshot_id"])
+
+
+def stability(runs: DataFrame) -> DataFrame:
+    """Mean agreement of the partitions of several runs with each other: ``runs`` has run, node_index and community.
+
+    One row: how many pairs of runs, their mean AMI and ARI. The runs are few, so their pairs are too; nodes meet by their index.
+    """
+    a = runs.select(F.col("run").alias("ra"), "node_index", F.col("community").alias("u"))
+    b = runs.select(F.col("run").alias("rb"), "node_index", F.col("community").alias("v"))
+    table = a.join(b, "node_index").where("ra < rb").groupBy("ra", "rb", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    return partition_agreement(table, ["ra", "rb"]).agg(F.count(F.lit(1)).alias("pairs"), F.avg("ami").alias("ami"), F.avg("ari").alias("ari"))
+
+
+def macro_means(metric: DataFrame, value: str) -> DataFrame:
+    """Mean of a metric per snapshot over its relations, and over all snapshots (snapshot_id NULL)."""
+    per = metric.groupBy("snapshot_id").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("relations"))
+    whole = per.agg(F.avg(value).alias(value), F.sum("relations").alias("relations"))
+    return per.unionByName(whole.select(F.lit(None).cast(dict(per.dtypes)["snapshot_id"]).alias("snapshot_id"), value, "relations"))
+
+
+def conductance_summary(per_community: DataFrame) -> DataFrame:
+    """Per snapshot: conductance weighted by volume, its median and its 90th percentile over communities."""
+    q = F.percentile("conductance", F.array(F.lit(0.5), F.lit(0.9)))
+    got = per_community.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("communities"), F.try_divide(F.sum(F.col("conductance") * F.col("volume")), F.sum("volume")).alias("weighted"), q.alias("q"))
+    return got.select("snapshot_id", "communities", F.coalesce("weighted", F.lit(0.0)).alias("weighted"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"))
 
 
 def centroid_silhouette(points: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -244,6 +306,47 @@ def centroid_silhouette(points: DataFrame, key: str, vector: str, label: str) ->
     return meet.withColumn("_d", dist).select(key, F.when(a.isNull() | b.isNull() | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
 
 
+MAX_QUERIES = 10_000
+
+
+def neighbour_overlap(queries: DataFrame, points: DataFrame, key: str, vector: str, dimension: int, k: int = 10) -> DataFrame:
+    """Per query the share of its ``k`` nearest by cosine that are also nearest by the first ``dimension`` numbers; the query itself does not count.
+
+    The queries are a stated set whose size is checked; each block of points meets all of them and keeps its
+    own best, so what is moved is ``k`` rows per query and block.
+    """
+    rows = queries.where(F.col(vector).isNotNull()).select(key, vector).limit(MAX_QUERIES + 1).toPandas()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries")
+    ids = rows[key].to_numpy()
+    kind = dict(points.dtypes)[key]
+    if not len(ids):
+        return points.limit(0).select(key, F.lit(0.0).alias("overlap"))
+    ship(points.sparkSession)
+    shipped = points.sparkSession.sparkContext.broadcast((ids, np.array(rows[vector].tolist(), dtype=np.float64)))
+
+    def best(blocks):
+        names, whole = shipped.value
+        for block in blocks:
+            if not len(block):
+                continue
+            other, own = np.array(block[vector].tolist(), dtype=np.float64), block[key].to_numpy()
+            for which, size in (("whole", other.shape[1]), ("part", dimension)):
+                a, b = whole[:, :size], other[:, :size]
+                lengths = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+                near = np.round(np.divide(a @ b.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), 9)
+                near[names[:, None] == own[None, :]] = -2.0
+                for q in range(len(names)):
+                    order = np.lexsort((own, -near[q]))[:k]
+                    order = order[near[q][order] > -2.0]
+                    yield pd.DataFrame({"q": names[q], "which": which, "o": own[order], "s": near[q][order]})
+
+    found = points.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, f"q {kind}, which string, o {kind}, s double")
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("q", "which").orderBy(F.desc("s"), "o"))).where(F.col("r") <= k)
+    both = ranked.groupBy("q", "o").agg(F.count_distinct("which").alias("n"))
+    return both.groupBy(F.col("q").alias(key)).agg((F.count_if(F.col("n") == 2) / F.lit(float(k))).alias("overlap"))
+
+
 def future_links(edge: DataFrame, partition: DataFrame, relations: int = 4) -> DataFrame:
     """Average precision of predicting the next snapshot's new links by block rates, per snapshot and relation.
 
@@ -251,17 +354,30 @@ def future_links(edge: DataFrame, partition: DataFrame, relations: int = 4) -> D
     a block tie, so precision is computed on blocks in order of score, exactly, without listing pairs.
     """
     members = partition.groupBy("snapshot_id", "community").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    a = members.select("snapshot_id", F.col("community").alias("cu"), F.col("m").alias("mu"))
-    b = members.select("snapshot_id", F.col("community").alias("cv"), F.col("m").alias("mv"))
-    blocks = a.join(b, "snapshot_id").select("snapshot_id", "cu", "cv", F.when(F.col("cu") == F.col("cv"), F.col("mu") * (F.col("mv") - 1)).otherwise(F.col("mu") * F.col("mv")).alias("pairs"))
     now = edge.select("snapshot_id", "relation_id", "src_index", "dst_index").distinct()
-    old = _sides(now, partition).groupBy("snapshot_id", "relation_id", "cu", "cv").agg(F.count(F.lit(1)).cast("double").alias("links"))
+    k = ["snapshot_id", "relation_id", "cu", "cv"]
+    old = _sides(now, partition).groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias("links"))
     later = edge.select((F.col("snapshot_id") - 1).alias("snapshot_id"), "relation_id", "src_index", "dst_index").distinct().join(now, ["snapshot_id", "relation_id", "src_index", "dst_index"], "left_anti")
-    new = _sides(later, partition).groupBy("snapshot_id", "relation_id", "cu", "cv").agg(F.count(F.lit(1)).cast("double").alias("hits"))
+    new = _sides(later, partition).groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias("hits"))
     rel = now.select("snapshot_id", F.col("relation_id")).distinct()
-    k = ["snapshot_id", "relation_id", "cu", "cv"]
-    full = blocks.join(rel, "snapshot_id").join(old, k, "left").join(new, k, "left").fillna(0.0, ["links", "hits"])
-    scored = full.withColumns({"free": F.col("pairs") - F.col("links"), "score": F.round((F.col("links") + 1) / (F.col("pairs") + 2), 12)}).where("free > 0")
+    # blocks with links now or later, one by one
+    seen = old.join(new, k, "full").join(rel, ["snapshot_id", "relation_id"], "left_semi").fillna(0.0, ["links", "hits"])
+    size = lambda c, m: members.select("snapshot_id", F.col("community").alias(c), F.col("m").alias(m))
+    same = (F.col("cu") == F.col("cv")).alias("same")
+    pairs = F.when(F.col("same"), F.col("mu") * (F.col("mv") - 1)).otherwise(F.col("mu") * F.col("mv"))
+    sized = seen.join(size("cu", "mu"), ["snapshot_id", "cu"]).join(size("cv", "mv"), ["snapshot_id", "cv"]).select("snapshot_id", "relation_id", "mu", "mv", same, "links", "hits").withColumn("pairs", pairs)
+    # all others of a kind score alike, so they are counted by the sizes of their communities
+    kinds = members.groupBy("snapshot_id", "m").agg(F.count(F.lit(1)).cast("double").alias("h"))
+    left, right = kinds.select("snapshot_id", F.col("m").alias("mu"), F.col("h").alias("hu")), kinds.select("snapshot_id", F.col("m").alias("mv"), F.col("h").alias("hv"))
+    apart = left.join(right, "snapshot_id").select("snapshot_id", "mu", "mv", F.lit(False).alias("same"), (F.col("hu") * F.col("hv") - F.when(F.col("mu") == F.col("mv"), F.col("hu")).otherwise(0.0)).alias("blocks"))
+    every = apart.unionByName(left.select("snapshot_id", "mu", F.col("mu").alias("mv"), F.lit(True).alias("same"), F.col("hu").alias("blocks"))).join(rel, "snapshot_id")
+    kind = ["snapshot_id", "relation_id", "mu", "mv", "same"]
+    used = sized.groupBy(*kind).agg(F.count(F.lit(1)).cast("double").alias("used"))
+    rest = every.join(used, kind, "left").withColumn("pairs", pairs).select("snapshot_id", "relation_id", "pairs", (F.col("blocks") - F.coalesce("used", F.lit(0.0))).alias("blocks")).where("blocks > 0 and pairs > 0")
+    score = lambda links: F.round((links + 1) / (F.col("pairs") + 2), 12).alias("score")
+    scored = sized.select("snapshot_id", "relation_id", (F.col("pairs") - F.col("links")).alias("free"), "hits", score(F.col("links"))).where("free > 0").unionByName(
+        rest.select("snapshot_id", "relation_id", (F.col("blocks") * F.col("pairs")).alias("free"), F.lit(0.0).alias("hits"), score(F.lit(0.0)))
+    )
     tied = scored.groupBy("snapshot_id", "relation_id", "score").agg(F.sum("free").alias("free"), F.sum("hits").alias("hits"))
     w = W.partitionBy("snapshot_id", "relation_id").orderBy(F.desc("score"))
     cum = tied.withColumns({"tp": F.sum("hits").over(w), "seen": F.sum("free").over(w)})
@@ -270,11 +386,11 @@ def future_links(edge: DataFrame, partition: DataFrame, relations: int = 4) -> D
 
 
 def collapse_flags(partition: DataFrame, clusters: int, near_uniform: float = 0.999) -> DataFrame:
-    """Per snapshot: used clusters, the largest share, entropy of sizes, and whether the partition has collapsed."""
+    """Per snapshot: used clusters, the largest share, entropy of sizes, clusters nobody is in, and whether the partition has collapsed."""
     sizes = partition.groupBy("snapshot_id", "community").agg(F.count(F.lit(1)).cast("double").alias("n"))
     t = sizes.groupBy("snapshot_id").agg(F.sum("n").alias("t"), F.max("n").alias("x"), F.count(F.lit(1)).alias("used"), (-F.sum(F.col("n") * F.ln("n"))).alias("nl"))
     h = F.ln("t") + F.col("nl") / F.col("t")
-    return t.select("snapshot_id", "used", (F.col("x") / F.col("t")).alias("largest_share"), h.alias("entropy"), ((F.col("used") == 1) | ((F.lit(clusters) > 1) & (h >= near_uniform * F.ln(F.lit(float(clusters)))))).alias("collapsed"))
+    return t.select("snapshot_id", "used", (F.col("x") / F.col("t")).alias("largest_share"), h.alias("entropy"), (F.lit(clusters) - F.col("used")).alias("empty_communities"), ((F.col("used") == 1) | ((F.lit(clusters) > 1) & (h >= near_uniform * F.ln(F.lit(float(clusters)))))).alias("collapsed"))
 
 
 def activity_features(edge: DataFrame) -> DataFrame:

@@ -91,12 +91,27 @@ def alignment_report(nodes: DataFrame, edges: DataFrame, edge: DataFrame, snapsh
     return nodes.sparkSession.createDataFrame([values])
 
 
+#: Children of one node of the tree that ``order_fingerprint`` hashes.
+FAN = 1024
+
+
 def order_fingerprint(edge: DataFrame) -> DataFrame:
-    """Per snapshot and relation, SHA-256 over its edges in canonical order; blocks of sources are hashed first.
+    """Per snapshot and relation, a SHA-256 over its edges in canonical order, as the root of a tree of hashes.
 
-    A whole partition's lines need not fit into one task: the lines of a source are one
-    block, and the block hashes in order are hashed again.
+    Leaves are lines of edges; ``FAN`` targets in a row are a node, so are ``FAN`` of these, the source, ``FAN`` sources in
+    a row, and so on. No node has more than about two thousand children, so no task holds a partition or a hub.
     """
-    line = F.concat_ws(",", "snapshot_id", "relation_id", "src_index", "dst_index")
-    blocks = edge.groupBy("snapshot_id", "relation_id", "src_index").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("dst_index", line.alias("l")))).getField("l"), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return blocks.groupBy("snapshot_id", "relation_id").agg(F.sum("n").alias("edges"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("src_index", "h"))).getField("h"), "\n"), 256).alias("fingerprint"))
+    base = ["snapshot_id", "relation_id"]
+    line = F.concat_ws(",", *base, "src_index", "dst_index")
+    level = edge.select(*base, "src_index", F.floor(F.col("dst_index") / FAN).alias("d"), F.col("dst_index").cast("bigint").alias("at"), line.alias("h"), F.lit(1).cast("bigint").alias("n"))
+
+    def up(df: DataFrame, keys: list[str]) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
+        return df.groupBy(*base, *keys).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("h"), F.sum("n").alias("n"))
+
+    level = up(level, ["src_index", "d"]).withColumn("at", F.col("d")).withColumn("d", F.floor(F.col("d") / FAN))
+    level = up(level, ["src_index", "d"]).withColumn("at", F.col("d"))
+    level = up(level, ["src_index"]).withColumn("at", F.col("src_index").cast("bigint")).withColumn("s", F.floor(F.col("src_index") / FAN))
+    level = up(level, ["s"]).withColumn("at", F.col("s")).withColumn("s", F.floor(F.col("s") / FAN))
+    level = up(level, ["s"]).withColumn("at", F.col("s"))
+    return up(level, []).select(*base, F.col("n").alias("edges"), F.col("h").alias("fingerprint"))

@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.times import profile_epoch
 
-#: Roles and the patterns by which a column's name shows them.
+# The roles of columns and the patterns by which a name shows them.
 ROLES = {
-    "id": r"^(?:id|.*_id|.*id_str|tweet_?id|status_?id)$",
-    "user": r"user|author|account|screen_?name",
-    "timestamp": r"created|date|time|_at$|^ts$",
-    "text": r"text|content|body|caption",
-    "language": r"lang",
-    "engagement": r"like|retweet|reply_count|quote|bookmark|view|favou?rite|share",
-    "mention": r"mention",
-    "relation": r"retweeted|reply_status|quoted_status|in_reply|relation",
-    "hashtag": r"hashtag",
-    "url": r"url|link|media",
-    "location": r"location|place|geo|country",
+    "tweet_id": (r"^id$", r"tweet.?id", r"status.?id", r"post.?id"),
+    "author_account_id": (r"user.?id", r"author.?id", r"account.?id", r"^uid$"),
+    "author_user_blob": (r"^user$", r"^author$"),
+    "username": (r"user.?name", r"screen.?name", r"handle"),
+    "timestamp": (r"created.?at", r"^timestamp$", r"^time$", r"^date$"),
+    "text": (r"^text$", r"full.?text", r"content", r"body", r"^ocr_text$"),
+    "reply": (r"reply", r"in.?reply.?to"),
+    "retweet": (r"retweet", r"^rt$", r"retweeted.?status"),
+    "quote": (r"quote", r"quoted.?status", r"is.?quote"),
+    "mention": (r"mention", r"user.?mentions"),
+    "language": (r"^lang$", r"language", r"text.?lang"),
 }
 
 
 def column_roles(columns: list[str]) -> dict[str, list[str]]:
-    """The columns by role; one column may have several."""
-    return {role: [c for c in columns if re.search(p, c, re.I)] for role, p in ROLES.items()}
+    """The columns by role, in their order; one column may have several, case and blanks around do not matter."""
+    return {role: [c for c in columns if any(re.search(p, c.strip().lower()) for p in patterns)] for role, patterns in ROLES.items()}
+
+
+def role_table(names: DataFrame, column: str) -> DataFrame:
+    """``column`` and role, one row for each role a name has."""
+    low = F.lower(F.trim(F.col(column)))
+    shown = F.array_compact(F.array(*[F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(role)) for role, patterns in ROLES.items()]))
+    return names.select(column, F.explode(shown).alias("role"))
 
 
 def value_type(c: Column) -> Column:

@@ -83,6 +83,16 @@ def duplicate_groups(df: DataFrame, key: Column, content: Column, where: Column
     return whole.join(files, "key").select("key", "occurrences", "contents", "files", F.col("first.source_file").alias("canonical_source_file"), F.col("first.row").alias("canonical_source_row_number"))
 
 
+def duplicate_effects(records: DataFrame) -> DataFrame:
+    """What leaving repeated posts out would do, per file and snapshot: rows, rows of repeated posts, and rows that would go."""
+    k = tweet_id(F.col("tweet_id"))
+    groups = duplicate_groups(records, k, post_content()).where("occurrences > 1").select("key", "canonical_source_file", "canonical_source_row_number")
+    rows = records.select(k.alias("key"), "source_file", "source_row_number", "snapshot_id").join(groups, "key", "left")
+    repeated = F.col("canonical_source_file").isNotNull()
+    own = (F.col("source_file") == F.col("canonical_source_file")) & (F.col("source_row_number") == F.col("canonical_source_row_number"))
+    return rows.groupBy("source_file", "snapshot_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(repeated).alias("repeated_rows"), F.count_if(repeated & ~own).alias("dropped_rows"))
+
+
 def duplicate_summary(groups: DataFrame) -> DataFrame:
     """One row: groups, duplicate groups, concordant and discordant ones, within one file and across files, rows too many."""
     dup = F.col("occurrences") > 1
@@ -194,3 +204,13 @@ def repeated_texts(records: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("occurrences"), F.count_distinct("author_account_id").alias("authors"), F.count_distinct("snapshot_id").alias("snapshots"))
         .where("occurrences > 1")
     )
+
+
+def repeats_by_scope(records: DataFrame) -> DataFrame:
+    """How many texts stand on several rows, by who and when: same author at one time or several, several authors."""
+    t = F.col("text_normalized")
+    one = records.where(~is_blank(t)).select(F.sha2(t, 256).alias("h"), "author_account_id", "created_at_utc")
+    by_author = one.groupBy("h", "author_account_id").agg(F.count(F.lit(1)).alias("n"), F.min("created_at_utc").alias("a"), F.max("created_at_utc").alias("b"))
+    per = by_author.groupBy("h").agg(F.sum("n").alias("n"), F.count("author_account_id").alias("authors"), F.bool_or(F.col("a") < F.col("b")).alias("times")).where("n > 1")
+    scope = F.when(F.col("authors") > 1, "several_authors").when(F.col("authors") == 0, "no_author").when(F.coalesce("times", F.lit(False)), "same_author_other_time").otherwise("same_author_same_time")
+    return per.groupBy(scope.alias("scope")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"))

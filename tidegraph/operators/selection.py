@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.config import DEFAULT, Config
+from tidegraph.functions.frames import numbered
 from tidegraph.functions.hashing import content_hash, fields_hash
 from tidegraph.functions.text import is_blank
 from tidegraph.operators.graph import first_wins
@@ -136,16 +137,54 @@ def shard_bounds(batches: int, shards: int) -> list[tuple[int, int, int]]:
 
 
 def batch_numbers(df: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
-    """``df`` with the number of its batch of ``size`` rows in ``order``.
+    """``df`` with the number of its batch of ``size`` rows in ``order``, a total order."""
+    return numbered(df, order, "_i").withColumn(out, F.floor(F.col("_i") / size).cast("bigint")).drop("_i")
 
-    Rows are placed by ranges of a hash-free order: the first column's value; counts per value
-    give the offsets, so only rows of one value are sorted together.
+
+def batch_key(batch: Column, offset: Column) -> Column:
+    """The name of a batch: its number and the number of rows before it."""
+    return F.format_string("b%08d-o%012d", batch, offset)
+
+
+def unit_batches(units: DataFrame, size: int) -> DataFrame:
+    """Eligible units in batches of ``size`` by their hash: batch_key, first_row, rows and input_hash of each.
+
+    The input hash covers the units' hashes in order, so a batch that is run again with other content is
+    told from the same one. A batch has ``size`` rows at most.
     """
-    head = order[0]
-    sums = df.groupBy(head).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy().orderBy(head).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    place = F.row_number().over(W.partitionBy(head).orderBy(*order)) - 1
-    return df.withColumn("_p", place).join(offsets, head).withColumn(out, F.floor((F.col("_p") + F.col("_before")) / size).cast("bigint")).drop("_p", "_before")
+    placed = batch_numbers(units.select("unit_hash", "content_hash"), ["unit_hash"], size)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("unit_hash", "content_hash"))), lambda u: F.concat_ws(",", u["unit_hash"], u["content_hash"]))
+    one = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(lines, "\n"), 256).alias("input_hash"))
+    first = (F.col("batch") * size).cast("bigint")
+    return one.select(batch_key(F.col("batch"), first).alias("batch_key"), first.alias("first_row"), "rows", "input_hash")
+
+
+def replay_outcome(batches: DataFrame, committed: DataFrame) -> DataFrame:
+    """What running batches again means: batch_key and outcome: new, committed (nothing to do) or conflict (other content than what was committed)."""
+    old = committed.select("batch_key", F.col("rows").alias("_rows"), F.col("input_hash").alias("_hash"))
+    same = (F.col("rows") == F.col("_rows")) & F.col("input_hash").eqNullSafe(F.col("_hash"))
+    return batches.join(old, "batch_key", "left").select("batch_key", F.when(F.col("_rows").isNull(), "new").when(same, "committed").otherwise("conflict").alias("outcome"))
+
+
+def examples(df: DataFrame, by: list[str], text: str, most: int = 32) -> DataFrame:
+    """The ``most`` smallest content hashes of each group, as examples that can be found again: ``by``, content_hash.
+
+    The best of salted parts come first, so no task ranks a whole group.
+    """
+    h = df.where(F.col(text).isNotNull()).select(*by, content_hash(F.col(text)).alias("content_hash")).distinct().withColumn("_salt", F.substring("content_hash", 64, 1))
+    ranked = lambda d, extra: d.withColumn("_r", F.row_number().over(W.partitionBy(*by, *extra).orderBy("content_hash"))).where(F.col("_r") <= most).drop("_r")
+    return ranked(ranked(h, ["_salt"]), []).drop("_salt")
+
+
+def scale_estimate(units: DataFrame, edges: DataFrame, snapshots: int, nodes: int, dimension: int, units_per_second: float | None = None) -> DataFrame:
+    """One row: how many units and edges there are and what vectors of four bytes a number need for units, dense nodes and edges, and the time at a measured pace."""
+    u = units.agg(F.count(F.lit(1)).alias("units"))
+    e = edges.agg(F.count(F.lit(1)).alias("edges"))
+    size = dimension * 4
+    pace = F.col("units") / F.lit(units_per_second) if units_per_second else F.lit(None).cast("double")
+    return u.join(e, F.lit(True)).select(
+        "units", "edges", (F.col("units") * size).alias("unit_bytes"), F.lit(snapshots * nodes * size).cast("bigint").alias("node_tensor_bytes"), (F.col("edges") * size).alias("edge_tensor_bytes"), pace.alias("seconds")
+    )
 
 
 def edge_mark(seed: int) -> Column:
@@ -183,7 +222,8 @@ def negatives(edge: DataFrame, nodes: int, per_edge: int = 3, seed: int = 7, tri
     Candidates are hashed numbers below ``nodes``, tried in order; observed ones are left out by an anti join.
     Edges whose tries do not suffice are filled from all remaining nodes.
     """
-    draw = lambda i: F.pmod(F.xxhash64("snapshot_id", "relation_id", "src_index", "dst_index", i, F.lit(seed)), F.lit(nodes)).cast("int")
+    mark = lambda *c: F.conv(F.substring(F.sha2(F.concat_ws(",", *c, F.lit(seed)), 256), 1, 15), 16, 10).cast("bigint")
+    draw = lambda i: (mark("snapshot_id", "relation_id", "src_index", "dst_index", i.cast("string")) % nodes).cast("int")
     c = edge.select("snapshot_id", "relation_id", "src_index", "dst_index", F.explode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(i.alias("try"), draw(i).alias("neg")))).alias("c"))
     c = c.select("snapshot_id", "relation_id", "src_index", "dst_index", "c.*").where("neg <> src_index")
     seen = edge.select("snapshot_id", "relation_id", "src_index", F.col("dst_index").alias("neg")).distinct()
@@ -196,6 +236,6 @@ def negatives(edge: DataFrame, nodes: int, per_edge: int = 3, seed: int = 7, tri
     short = edge.select(*keys).distinct().join(kept, keys, "left").select(*keys, F.coalesce(F.transform("n", lambda x: x["neg"]), F.array().cast("array<int>")).alias("had")).where(F.size("had") < per_edge)
     every = short.select(*source).distinct().select(*source, F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("neg")).where("neg <> src_index")
     more = short.join(every.join(seen, [*source, "neg"], "left_anti"), source).where(~F.array_contains("had", F.col("neg")))
-    order = W.partitionBy(*keys).orderBy(F.xxhash64(*keys, "neg", F.lit(seed)), "neg")
+    order = W.partitionBy(*keys).orderBy(mark(*keys, "neg"), "neg")
     filled = more.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_edge).where(F.col("_r") <= per_edge - F.size("had"))
     return drawn.unionByName(filled.select(*keys, F.col("neg").alias("negative")))

@@ -656,11 +656,6 @@ def edge_split(spark, d):
     return selection.split_edges(edges_of(spark, d), 0.15).select(*graph.EDGE, "masked")
 
 
-@query()
-def negative_edges(spark, d):
-    return selection.negatives(edges_of(spark, d), 4000)
-
-
 @query(f"WITH a AS (SELECT DISTINCT {_T('author_account_id')} AS id FROM normalized_records) SELECT count(*) FILTER (regexp_full_match(id, '\\d+')) AS valid, count(*) FILTER (id IS NULL OR NOT regexp_full_match(id, '\\d+')) AS invalid FROM a")
 def account_id_check(spark, d):
     ids = table(spark, d, "normalized_records").select(account_key(F.col("author_account_id")).alias("raw")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions.vectors import norm, truncated_unit
 from tidegraph.operators import graph, model, pooling, validate
-from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, event_units, events, tweets
+from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, events, tweets
 from tidegraph.session import shared_dir
 from tidegraph.sources.tables import table
 from tidegraph.streaming import ingest
@@ -37,7 +37,7 @@ def units(spark, d):
 
 def flat(df, keys, vector="vector", digits=6):
     """A vector as one row per place, which compares across engines."""
-    return df.select(*keys, F.posexplode(vector).alias("pos", "x")).select(*keys, "pos", F.round("x", digits).alias("x"))
+    return df.select(*keys, F.posexplode(vector).alias("pos", "x")).select(*keys, "pos", (F.round(F.col("x").cast("double"), digits) + 0.0).alias("x"))
 
 
 def centres(spark, d):
@@ -88,21 +88,6 @@ def norm_check(spark, d):
     return units(spark, d).groupBy(F.when(F.abs(n - 1) > 1e-3, "off").otherwise("unit").alias("kind")).agg(F.count(F.lit(1)).alias("vectors"))
 
 
-@query()
-def mock_encode(spark, d):
-    u = event_units(spark, d).where("reason is null").select("signature", "content_hash")
-    return flat(pooling.mock_encode(u, 8), ["signature"], "embedding")
-
-
-@query()
-def edge_text_aligned(spark, d):
-    """Canonical edges with the mean of their events' mock vectors."""
-    u = event_units(spark, d).where("reason is null and source_idx <> target_idx and snapshot_id is not null")
-    coded = pooling.mock_encode(u.withColumnsRenamed({"source_idx": "src_index", "target_idx": "dst_index"}), 8)
-    pooled = pooling.mean_pool(coded, graph.EDGE)
-    return flat(pooling.edge_vectors(edges_of(spark, d), pooled, 8), [*graph.EDGE, "valid_count", "available"])
-
-
 @query(f"WITH {EDGES} SELECT snapshot_id, relation_id, src_index, dst_index, max(c) AS events_with_text FROM (SELECT e.*, (SELECT count(*) FROM ev WHERE ev.snapshot_id = e.snapshot_id AND ev.relation_id = e.relation_id AND ev.source_idx = e.src_index AND ev.target_idx = e.dst_index AND ev.text_quality = 'ok') AS c FROM e) GROUP BY ALL")
 def edge_text_counts(spark, d):
     """Events with text per canonical edge, zero where there is none."""
@@ -111,9 +96,14 @@ def edge_text_counts(spark, d):
     return graph.edges(e).join(n, graph.EDGE, "left").select(*graph.EDGE, F.coalesce("n", F.lit(0)).alias("events_with_text"))
 
 
+_UP = lambda name, source, keys: f", {name} AS (SELECT snapshot_id, relation_id{keys}, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY place)) AS h FROM {source} GROUP BY snapshot_id, relation_id{keys})"
+
+
 @query(
-    f"WITH {EDGES}, b AS (SELECT snapshot_id, relation_id, src_index, count(*) AS n, sha256(string_agg(snapshot_id || ',' || relation_id || ',' || src_index || ',' || dst_index, chr(10) ORDER BY dst_index)) AS h FROM e GROUP BY ALL) "
-    "SELECT snapshot_id, relation_id, CAST(sum(n) AS BIGINT) AS edges, sha256(string_agg(h, chr(10) ORDER BY src_index)) AS fingerprint FROM b GROUP BY ALL"
+    f"WITH {EDGES}, f0 AS (SELECT snapshot_id, relation_id, src_index, dst_index // {pooling.FAN} AS d, dst_index AS place, snapshot_id || ',' || relation_id || ',' || src_index || ',' || dst_index AS h, 1 AS n FROM e)"
+    + _UP("f1", "f0", ", src_index, d") + _UP("f2", f"(SELECT * EXCLUDE (d), d AS place, d // {pooling.FAN} AS d FROM f1)", ", src_index, d") + _UP("f3", "(SELECT *, d AS place FROM f2)", ", src_index")
+    + _UP("f4", f"(SELECT *, src_index AS place, src_index // {pooling.FAN} AS s FROM f3)", ", s") + _UP("f5", f"(SELECT * EXCLUDE (s), s AS place, s // {pooling.FAN} AS s FROM f4)", ", s")
+    + _UP("f6", "(SELECT *, s AS place FROM f5)", "") + " SELECT snapshot_id, relation_id, n AS edges, h AS fingerprint FROM f6"
 )
 def edge_order_fingerprint(spark, d):
     return pooling.order_fingerprint(edges_of(spark, d))
@@ -310,7 +300,7 @@ def future_link_ap(spark, d):
 
 @query(
     f"WITH {EDGES}{PART}, s AS (SELECT snapshot_id, community, CAST(count(*) AS DOUBLE) AS n FROM pt GROUP BY ALL), t AS (SELECT snapshot_id, sum(n) AS t, max(n) AS x, count(*) AS used, -sum(n * ln(n)) AS l FROM s GROUP BY 1) "
-    "SELECT snapshot_id, used, round(x / t, 6) AS largest_share, round(ln(t) + l / t, 6) AS entropy, used = 1 OR ln(t) + l / t >= 0.999 * ln(7) AS collapsed FROM t"
+    "SELECT snapshot_id, used, round(x / t, 6) AS largest_share, round(ln(t) + l / t, 6) AS entropy, 7 - used AS empty_communities, used = 1 OR ln(t) + l / t >= 0.999 * ln(7) AS collapsed FROM t"
 )
 def collapse_flags(spark, d):
     return model.collapse_flags(partition(spark, d), 7).withColumns({"largest_share": F.round("largest_share", 6), "entropy": F.round("entropy", 6)})
@@ -347,5 +337,4 @@ def stream_ingest_resume(spark, d):
 @query("SELECT source_file, relation_id, count(*) AS rows FROM graph_events GROUP BY ALL")
 def stream_counts(spark, d):
     schema = table(spark, d, "graph_events").schema
-    name = f"counts_{uuid.uuid4().hex}"
-    return ingest.running_counts(spark, f"{d}/graph_events.parquet*", schema, ["source_file", "relation_id"], f"{_own_folder(spark, 'counts')}/checkpoint", name)
+    return ingest.running_counts(spark, f"{d}/graph_events.parquet*", schema, ["source_file", "relation_id"], _own_folder(spark, "counts"))

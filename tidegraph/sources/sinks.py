@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Mapping
@@ -10,11 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidegraph.functions.hashing import canonical_hash
 from tidegraph.operators.graph import first_wins
 from tidegraph.operators.validate import privacy_findings
+from tidegraph.sources import remote
 from tidegraph.sources.files import checksum
 
 
@@ -38,11 +39,9 @@ def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
 def insert_ignore(new: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """Adds the rows whose key is not there yet; of several new ones with a key the first by ``order``."""
     one = first_wins(new, keys, order)
-    try:
+    if remote.children(path):  # a table that cannot be read or lacks the keys is an error, not an empty one
         there = new.sparkSession.read.parquet(path).select(*keys)
         one = one.join(there, keys, "left_anti")
-    except AnalysisException:
-        pass
     write_table(one, path, mode="append")
 
 
@@ -56,12 +55,16 @@ def upsert(new: DataFrame, path: str, out: str, keys: list[str], version: str) -
 
 
 def write_json(value: Any, path: str | Path) -> str:
-    """A JSON file, complete or not there; its hash."""
+    """A JSON file, complete or not there; its hash. Addresses with a scheme go to Spark's file systems, others to this machine's."""
+    text = json.dumps(value, indent=1, sort_keys=True, ensure_ascii=False, allow_nan=False)
+    if "://" in str(path):
+        remote.write_text(str(path), text)
+        return hashlib.sha256(text.encode()).hexdigest()
     at = Path(path)
     part = at.with_name(at.name + ".part")
     part.parent.mkdir(parents=True, exist_ok=True)
     with open(part, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=1, sort_keys=True, ensure_ascii=False, allow_nan=False)
+        f.write(text)
         f.flush()
         os.fsync(f.fileno())
     os.replace(part, at)
@@ -76,21 +79,28 @@ def seal(reports: Mapping[str, Any], folder: str | Path, fingerprint: str) -> di
     found = privacy_findings(dict(reports))
     if found:
         raise ValueError("; ".join(found))
-    files = {name: write_json(value, Path(folder) / f"{name}.json") for name, value in sorted(reports.items())}
+    files = {name: write_json(value, f"{folder}/{name}.json") for name, value in sorted(reports.items())}
     manifest = {"files": files, "settings": fingerprint, "scientific_hash": canonical_hash({"reports": dict(reports), "settings": fingerprint})}
-    write_json(manifest, Path(folder) / "manifest.json")
+    write_json(manifest, f"{folder}/manifest.json")
     return manifest
 
 
+def _text(path: str) -> str | None:
+    """A file's text, NULL if it is not there."""
+    if "://" in path:
+        return remote.read_text(path) if remote.exists(path) else None
+    return Path(path).read_text(encoding="utf-8") if Path(path).exists() else None
+
+
 def verify(folder: str | Path) -> list[str]:
     """What is wrong with a sealed folder: missing or changed files."""
-    manifest = json.loads((Path(folder) / "manifest.json").read_text())
+    manifest = json.loads(_text(f"{folder}/manifest.json") or '{"files": {"manifest": ""}}')
     out = []
     for name, expected in manifest["files"].items():
-        at = Path(folder) / f"{name}.json"
-        if not at.exists():
+        text = _text(f"{folder}/{name}.json")
+        if text is None:
             out.append(f"{name} is missing")
-        elif checksum(at) != expected:
+        elif hashlib.sha256(text.encode()).hexdigest() != expected:
             out.append(f"{name} has changed")
     return out
 
