@@ -10,7 +10,7 @@ from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error
 from tidegraph.functions.text import normalized_text
 from tidegraph.operators import diagnostics, drift, graph, profile, records, selection, validate
 from tidegraph.operators.skew import account_key
-from tidegraph.plans.dealt import INSTANTS
+from tidegraph.plans.dealt import CELLS, INSTANTS
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -308,37 +308,30 @@ def unified_sheet(spark, d):
     return drift.sheet(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"), columns).select(*columns, "source_file", "source_sheet", "source_row_number")
 
 
-_NORMAL = rf"""WITH j AS (SELECT record_json ->> 'id' AS id, record_json ->> 'created_at' AS ts, record_json ->> 'user' AS u FROM dataset_b_raw),
-k AS (SELECT coalesce({_T('id')}, '') AS s, {_T('ts')} AS t, {_T('u')} AS u FROM j),
-m AS (SELECT *, CASE WHEN regexp_full_match(s, '[+-]?\d+(\.\d*)?([eE][+-]?\d+)?') AND regexp_matches(s, '[.eE]') THEN 'invalid_tweet_id_float' WHEN NOT regexp_full_match(s, '\d{{15,20}}') THEN 'invalid_tweet_id' END AS bad,
+_SHEET = CELLS + """,
+wd AS (SELECT source_file, source_row_number, h, max(CASE WHEN canonical = 'id' AND own THEN x END) AS id, max(CASE WHEN canonical = 'created_at' AND own THEN x END) AS ts, max(CASE WHEN canonical = 'user' AND own THEN x END) AS u, max(CASE WHEN canonical = 'text' AND own THEN x END) AS tx FROM fs GROUP BY ALL),
+sh AS (SELECT b.source_file, b.source_row_number, id, ts, u, tx FROM dataset_b_raw b LEFT JOIN wd ON wd.source_file = b.source_file AND wd.source_row_number = b.source_row_number AND wd.h = md5(b.record_json))"""
+_NORMAL = rf"""{_SHEET},
+n1 AS (SELECT coalesce({_T('id')}, '') AS s, {_T('ts')} AS t, {_T('u')} AS u FROM sh),
+n2 AS (SELECT *, CASE WHEN regexp_full_match(s, '[+-]?\d+(\.\d*)?([eE][+-]?\d+)?') AND regexp_matches(s, '[.eE]') THEN 'invalid_tweet_id_float' WHEN NOT regexp_full_match(s, '\d{{15,20}}') THEN 'invalid_tweet_id' END AS bad,
   CASE WHEN regexp_full_match(t, '[+-]?\d+(\.\d+)?([eE][+-]?\d+)?') THEN CAST(trunc(CASE WHEN abs(CAST(t AS DOUBLE)) > 1e12 THEN CAST(t AS DOUBLE) / 1000 ELSE CAST(t AS DOUBLE) END) AS BIGINT) END AS n,
-  CASE WHEN u IS NULL OR lower(u) IN ('none', 'null', 'nan') THEN 'missing_user' WHEN regexp_extract(u, '[''"]id[''"]\s*:\s*[''"]?(\d+)', 1) = '' THEN 'malformed_user_blob' END AS wrong, regexp_extract(u, '[''"]id[''"]\s*:\s*[''"]?(\d+)', 1) AS a FROM k),
-o AS (SELECT m.*, node_index, CASE WHEN n BETWEEN epoch(TIMESTAMP '2006-03-21') AND epoch(TIMESTAMP '2026-06-30 23:59:59') THEN make_timestamp(n * 1000000) END AS c FROM m LEFT JOIN node_universe g ON g.account_id = m.a),
-p AS (SELECT CASE WHEN bad IS NOT NULL THEN bad WHEN wrong IS NOT NULL THEN wrong WHEN c IS NULL THEN 'invalid_timestamp' WHEN node_index IS NULL THEN 'author_not_in_frozen_universe' WHEN {_SNAP('c')} IS NULL THEN 'outside_canonical_snapshot_range' END AS e FROM o)
-SELECT CASE WHEN e IS NULL THEN 'retained' WHEN e IN ('author_not_in_frozen_universe', 'outside_canonical_snapshot_range') THEN 'excluded' ELSE 'rejected' END AS record_status, e AS exclusion_reason, count(*) AS rows FROM p GROUP BY ALL"""
+  CASE WHEN u IS NULL OR lower(u) IN ('none', 'null', 'nan') THEN 'missing_user' WHEN regexp_extract(u, '[''"]id[''"]\s*:\s*[''"]?(\d+)', 1) = '' THEN 'malformed_user_blob' END AS wrong, regexp_extract(u, '[''"]id[''"]\s*:\s*[''"]?(\d+)', 1) AS a FROM n1),
+n3 AS (SELECT n2.*, node_index, CASE WHEN n BETWEEN epoch(TIMESTAMP '2006-03-21') AND epoch(TIMESTAMP '2026-06-30 23:59:59') THEN make_timestamp(n * 1000000) END AS c FROM n2 LEFT JOIN node_universe g ON g.account_id = n2.a),
+n4 AS (SELECT CASE WHEN bad IS NOT NULL THEN bad WHEN wrong IS NOT NULL THEN wrong WHEN c IS NULL THEN 'invalid_timestamp' WHEN node_index IS NULL THEN 'author_not_in_frozen_universe' WHEN {_SNAP('c')} IS NULL THEN 'outside_canonical_snapshot_range' END AS e FROM n3)
+SELECT CASE WHEN e IS NULL THEN 'retained' WHEN e IN ('author_not_in_frozen_universe', 'outside_canonical_snapshot_range') THEN 'excluded' ELSE 'rejected' END AS record_status, e AS exclusion_reason, count(*) AS rows FROM n4 GROUP BY ALL"""
 
 
 @query(_NORMAL)
 def normalize_status(spark, d):
-    return records.normalise(raw_sheet(spark, d), nodes(spark, d)).groupBy("record_status", "exclusion_reason").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query()
-def normalize_status_unified(spark, d):
-    """``normalize_status`` over all names a column has had; that query reads the fixed names of its SQL."""
+    """What becomes of the raw rows, over all names a column has had."""
     return records.normalise(unified_sheet(spark, d), nodes(spark, d)).groupBy("record_status", "exclusion_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
-    r"SELECT source_file, source_row_number, nfc_normalize(regexp_replace(replace(record_json ->> 'text', chr(65279), ''), '\r\n?', chr(10), 'g')) AS text_normalized, count(*) AS rows FROM dataset_b_raw GROUP BY ALL"
+    _SHEET + r" SELECT source_file, source_row_number, nfc_normalize(regexp_replace(replace(tx, chr(65279), ''), '\r\n?', chr(10), 'g')) AS text_normalized, count(*) AS rows FROM sh GROUP BY ALL"
 )
 def normalized_texts(spark, d):
-    return normalized_text(raw_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query()
-def normalized_texts_unified(spark, d):
-    """``normalized_texts`` over all names the text column has had."""
+    """The normalised texts of the raw rows, over all names the text column has had."""
     return normalized_text(unified_sheet(spark, d), "text", "text_normalized").groupBy("source_file", "source_row_number", "text_normalized").agg(F.count(F.lit(1)).alias("rows"))
 
 

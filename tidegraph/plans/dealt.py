@@ -26,6 +26,14 @@ def p2_unified(spark, d):
     return drift.unify(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"))
 
 
+@query
+def p2_unified_values(spark, d):
+    """The unified table's columns of the contract, and how many branches and extras each row has."""
+    u = p2_unified(spark, d)
+    held = sum((F.size(f"branches.{k}") for k in drift.BRANCHES), F.lit(0))
+    return u.withColumns({"branch_values": held, "extra_columns": F.size("extras")}).drop("branches", "extras")
+
+
 @query
 def p2_alternatives(spark, d):
     return drift.alternatives(table(spark, d, "dataset_b_raw"), table(spark, d, "schema_registry"))
@@ -134,3 +142,27 @@ UNION ALL SELECT source_file, 'added', name FROM f WHERE prev_place IS NULL AND
 UNION ALL SELECT source_file, 'renamed', new FROM t UNION ALL SELECT source_file, 'retyped', name FROM l WHERE type <> prev_type UNION ALL SELECT source_file, 'reordered', '*' FROM o WHERE moved
 """
 SQL["p2_found"] = _COLUMNS
+
+_PLAIN = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_CANONICAL = _COLUMNS.split("\nSELECT source_file, 'removed'")[0].replace("WITH c AS", "WITH RECURSIVE c AS") + f""",
+k1 AS (SELECT f.source_file, f.name, f.prev, f.name AS prev_name FROM f WHERE place IS NOT NULL AND prev_place IS NOT NULL UNION ALL SELECT t.source_file, t.new, s.prev, t.old FROM t JOIN s ON s.source_file = t.source_file),
+z(source_file, name, af, an) AS (SELECT source_file, name, source_file, name FROM p UNION ALL SELECT z.source_file, z.name, k1.prev, k1.prev_name FROM z JOIN k1 ON k1.source_file = z.af AND k1.name = z.an),
+rt AS (SELECT z.* FROM z ANTI JOIN k1 ON k1.source_file = z.af AND k1.name = z.an),
+ct AS (SELECT {_PLAIN('column_name')} AS key, min(column_name) AS kept FROM schema_registry GROUP BY 1),
+c0 AS (SELECT rt.source_file, rt.name, coalesce(kept, an) AS canonical, place FROM rt LEFT JOIN ct ON ct.key = {_PLAIN('an')} JOIN p ON p.source_file = rt.source_file AND p.name = rt.name),
+cn AS (SELECT source_file, name, CASE WHEN row_number() OVER (PARTITION BY source_file, canonical ORDER BY CAST(name <> canonical AS INTEGER), place, name) = 1 THEN canonical ELSE name END AS canonical FROM c0)"""
+SQL["p2_alternatives"] = _CANONICAL + """
+SELECT a.feed_id, canonical, a.type, CAST(sum(a.n) AS BIGINT) AS "values", count(DISTINCT a.source_file) AS files, min(a.file_seq) AS first_seq FROM n a JOIN cn ON cn.source_file = a.source_file AND cn.name = a.name WHERE a.type IS NOT NULL GROUP BY 1, 2, 3
+"""
+# The contract's columns, which SQL has to name.
+_CONTRACT = {c: "string" for c in ("id", "created_at", "user", "text")} | {c: "integer" for c in ("likes", "retweets", "reply_count", "quoted_count", "bookmarks", "views")}
+_WHOLE = "coalesce(CASE WHEN regexp_full_match({x}, '\\s*[+-]?\\d+\\s*') THEN TRY_CAST({x} AS BIGINT) END, TRY_CAST(trunc(TRY_CAST({x} AS DOUBLE)) AS BIGINT))"
+_OF = lambda c: f"max(CASE WHEN canonical = '{c}' THEN x END)"
+CELLS = _CANONICAL + f""",
+vs AS (SELECT k.feed_id, k.file_seq, k.source_file, source_row_number, h, k.name, canonical, x, type, k.place, canonical IN ({', '.join(f"'{c}'" for c in _CONTRACT)}) AS inside FROM (SELECT DISTINCT * FROM k) k JOIN cn ON cn.source_file = k.source_file AND cn.name = k.name),
+fs AS (SELECT *, row_number() OVER (PARTITION BY source_file, source_row_number, h, canonical ORDER BY x IS NULL, place) = 1 AND inside AS own FROM vs)"""
+SQL["p2_unified_values"] = CELLS + f"""
+SELECT feed_id, file_seq, source_file, source_row_number, {', '.join((_WHOLE.format(x=_OF(c).replace('THEN x', 'AND own THEN x')) if t == 'integer' else _OF(c).replace('THEN x', 'AND own THEN x')) + f' AS "{c}"' for c, t in _CONTRACT.items())},
+  CAST(count(*) FILTER (own AND x IS NOT NULL AND type <> CASE WHEN canonical IN ('id', 'created_at', 'user', 'text') THEN 'string' ELSE 'integer' END) AS INTEGER) AS branch_values, CAST(count(DISTINCT name) FILTER (x IS NOT NULL AND NOT own) AS INTEGER) AS extra_columns
+FROM fs GROUP BY feed_id, file_seq, source_file, source_row_number, h
+"""
