@@ -110,6 +110,61 @@ def kmeans_step(points: DataFrame, mu: DataFrame, key: str, vector: str) -> Data
     return mu.join(new, "cluster", "left").select("cluster", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("centre", "mu").alias("centre"))
 
 
+def _nearest(points: DataFrame, key: str, vector: str, centres: list[list[float]]) -> DataFrame:
+    """``key``, ``vector``, the nearest centre (the first of equal ones) and the square of its distance."""
+    every = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*[F.lit(float(x)) for x in c]).alias("mu")) for i, c in enumerate(centres)])
+    near = F.array_min(F.transform(every, lambda m: F.struct(square_distance(F.col(vector), m["mu"]).alias("d"), m["cluster"].alias("cluster"))))
+    return points.select(key, vector, near.alias("_n")).select(key, vector, F.col("_n.cluster").alias("cluster"), F.col("_n.d").alias("d"))
+
+
+def kmeans(points: DataFrame, key: str, vector: str, k: int, seed: int = 7, restarts: int = 1, most: int = 50) -> dict:
+    """k-means with spread first centres, restarts, and refilled clusters: centres, inertia, rounds of the best start.
+
+    First centres are drawn one by one with chances in proportion to the square of the distance to those drawn before
+    (k-means++), by hashes instead of a generator, so the result is the same on any cluster. A cluster that loses all its
+    points gets the point farthest from its own centre. Each step is one aggregation over the points; what the
+    driver holds are k centres, at most ``MAX_PROTOTYPES``. Fewer different points than k give fewer centres; points without a
+    vector take no part, none at all is an error.
+    """
+    if k > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+    given = points.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    best: dict | None = None
+    for start in range(restarts):
+        uniform = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(start)), F.lit(2**40)) + 1) / F.lit(2.0**40)
+        first = given.agg(F.min_by(vector, F.struct(uniform, key)).alias("c")).first().c
+        if first is None:
+            raise ValueError("no points")
+        centres = [list(first)]
+        while len(centres) < k:
+            far = _nearest(given, key, vector, centres).where("d > 0")
+            # the least of -ln(u) / d is a draw in proportion to d
+            drawn = far.agg(F.min_by(vector, F.struct((-F.ln(F.pmod(F.xxhash64(key, F.lit(seed), F.lit(start), F.lit(len(centres))), F.lit(2**40)) / F.lit(2.0**40) + 1e-13) / F.col("d")), key)).alias("c")).first().c
+            if drawn is None:
+                break
+            centres.append(list(drawn))
+        rounds, inertia = 0, float("inf")
+        while rounds < most:
+            rounds += 1
+            own = _nearest(given, key, vector, centres)
+            flat = own.select("cluster", "d", F.posexplode(vector).alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("m"), F.sum(F.when(F.col("pos") == 0, F.col("d"))).alias("d"))
+            means = {r.cluster: r for r in flat.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("m"), F.sum("d").alias("d")).collect()}
+            now = sum(r.d for r in means.values())
+            new = [[p.m for p in means[i].m] if i in means else None for i in range(len(centres))]
+            empty = [i for i, c in enumerate(new) if c is None]
+            if empty:
+                lost = own.orderBy(F.desc("d"), key).limit(len(empty)).collect()
+                for i, r in zip(empty, lost):
+                    new[i] = list(r[vector])
+                new = [c if c is not None else old for c, old in zip(new, centres)]
+            if now >= inertia - 1e-12 and not empty:
+                break
+            inertia, centres = now, new
+        if best is None or inertia < best["inertia"] - 1e-12:
+            best = {"centres": centres, "inertia": inertia, "rounds": rounds}
+    return best
+
+
 def scatter_mean(messages: DataFrame, keys: list[str], value: str) -> DataFrame:
     return messages.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("messages"))
 

@@ -297,3 +297,12 @@ def neighbour_overlap(spark, d):
     """Share of a vector's ten nearest that stay its nearest when vectors are cut to sixteen numbers; queries are the ids divisible by fifty, against all."""
     u = vectors.units(spark, d).select("vec_id", "embedding")
     return model.neighbour_overlap(u.where("vec_id % 50 = 0"), u, "vec_id", "embedding", 16, 10)
+
+
+@query()
+def kmeans_clusters(spark, d):
+    """The embeddings in ten clusters by k-means with three starts: members and mean distance of each."""
+    u = vectors.units(spark, d).select("vec_id", "embedding")
+    best = model.kmeans(u, "vec_id", "embedding", 10, restarts=3)
+    near = model._nearest(u.where("embedding is not null"), "vec_id", "embedding", best["centres"])
+    return near.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("d"), 6).alias("mean_square_distance"))

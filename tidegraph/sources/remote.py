@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -22,12 +23,16 @@ def exists(path: str) -> bool:
 
 
 def read_text(path: str) -> str:
+    """A file's text; OSError if it is not there or not what was written."""
     fs, p, s = _at(path)
-    stream = fs.open(p)
     try:
-        return s._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+        stream = fs.open(p)
+        try:
+            return s._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    except Py4JJavaError as e:
+        raise OSError(f"{path} cannot be read") from e
 
 
 def write_text(path: str, text: str) -> None:
