@@ -10,7 +10,7 @@ from tidegraph.config import DEFAULT, FEATURES
 from tidegraph.operators import diagnostics, graph, model, pooling, profile, records, selection, validate
 from tidegraph.plans import core, vectors
 from tidegraph.plans.core import _BLANK, _GROUPS, _NODE_UNITS, _T, EDGES, EVENTS, TWEETS, _DEGREES, _EVENT_UNITS, _X, edges_of, events, nodes, tweets
-from tidegraph.session import shared_dir
+from tidegraph.session import shared_dir, written
 from tidegraph.sources import files, readers, sinks
 from tidegraph.sources.tables import table
 
@@ -92,7 +92,7 @@ _GATES = lambda pairs: " UNION ALL ".join(f"SELECT '{g}' AS gate, coalesce({c},
     + _GATES([("x_struct_shape", "x_outside = 0"), ("mask_shape", "x_rows = x_keys"), ("x_struct_finite", "x_broken = 0"), ("inactive_rows_zero", "true"), ("n_nodes", f"nodes = {UNIVERSE}"), ("node_map_contiguous", "contiguous"), ("weight_log1p_ok", "weights = 0"), ("no_self_loops", "loops = 0"), ("relations_known", "relations = 0"), ("ends_in_universe", "ends = 0"), ("edge_keys_unique", "repeated = 0"), ("has_events", "events > 0")])
 )
 def graph_gates(spark, d):
-    e = edges_of(spark, d)
+    e = vectors.edges_once(spark, d)
     return validate.graph_gates(graph.structural_features(e, tweets(spark, d)), e, events(spark, d), nodes(spark, d), UNIVERSE)
 
 
@@ -212,7 +212,7 @@ def repeats_by_scope(spark, d):
 )
 def label_coverage(spark, d):
     """Nodes with structure or text, and those of them that a partition of the graph labels."""
-    e = edges_of(spark, d)
+    e = vectors.edges_once(spark, d)
     struct = e.select("snapshot_id", F.explode(F.array("src_index", "dst_index")).alias("node_index"))
     text = core.plain_records(spark, d).where((F.col("record_status") == "retained") & ~diagnostics.is_blank(F.col("text_normalized"))).select("snapshot_id", "node_index")
     return diagnostics.label_coverage(struct.unionByName(text), struct)
@@ -236,24 +236,27 @@ _MOVING = lambda node, snap: f"(({node} + 3 * ({snap} // 4)) % 7)"
 
 
 def _moving(spark, d):
-    n = edges_of(spark, d).select("snapshot_id", F.explode(F.array("src_index", "dst_index")).alias("node_index")).distinct()
+    n = vectors.partition(edges_of(spark, d))
     return n.withColumn("community", (F.col("node_index") + 3 * F.floor(F.col("snapshot_id") / 4)) % 7)
 
 
 @query("WITH m AS (" + _MODULARITY + "), p AS (SELECT snapshot_id, avg(modularity) AS modularity, count(*) AS relations FROM m GROUP BY 1) SELECT snapshot_id, round(modularity, 5) AS modularity, relations FROM p UNION ALL SELECT NULL, round(avg(modularity), 5), CAST(sum(relations) AS BIGINT) FROM p")
 def modularity_macro(spark, d):
     """Mean modularity over the relations of each snapshot, and over all snapshots (snapshot_id NULL)."""
-    return model.macro_means(model.directed_modularity(edges_of(spark, d), vectors.partition(spark, d)), "modularity").withColumn("modularity", F.round("modularity", 5))
+    e = vectors.edges_once(spark, d)
+    return model.macro_means(model.directed_modularity(e, vectors.partition(e)), "modularity").withColumn("modularity", F.round("modularity", 5))
 
 
 @query("WITH m AS (" + _FUTURE + "), p AS (SELECT snapshot_id, avg(average_precision) AS average_precision, count(*) AS relations FROM m GROUP BY 1) SELECT snapshot_id, round(average_precision, 5) AS average_precision, relations FROM p UNION ALL SELECT NULL, round(avg(average_precision), 5), CAST(sum(relations) AS BIGINT) FROM p")
 def future_link_macro(spark, d):
-    return model.macro_means(model.future_links(edges_of(spark, d), vectors.partition(spark, d)), "average_precision").withColumn("average_precision", F.round("average_precision", 5))
+    e = vectors.edges_once(spark, d)
+    return model.macro_means(model.future_links(e, vectors.partition(e)), "average_precision").withColumn("average_precision", F.round("average_precision", 5))
 
 
 @query("WITH c AS (" + _CONDUCTANCE + ") SELECT snapshot_id, count(*) AS communities, round(sum(conductance * volume) / sum(volume), 5) AS weighted, round(quantile_cont(conductance, 0.5), 5) AS median, round(quantile_cont(conductance, 0.9), 5) AS p90 FROM c GROUP BY 1")
 def conductance_summary(spark, d):
-    s = model.conductance_summary(model.conductance(edges_of(spark, d), vectors.partition(spark, d)))
+    e = vectors.edges_once(spark, d)
+    s = model.conductance_summary(model.conductance(e, vectors.partition(e)))
     return s.select("snapshot_id", "communities", *[F.round(c, 5).alias(c) for c in ("weighted", "median", "p90")])
 
 
@@ -272,7 +275,7 @@ ag AS (SELECT {k}, t.n, mi, CASE WHEN abs((hu + hv) / 2 - e) > 1e-15 THEN (mi -
 )
 def consecutive_agreement(spark, d):
     """How far each quarter's partition of the active nodes agrees with the next one's."""
-    a = model.consecutive_agreement(_moving(spark, d))
+    a = model.consecutive_agreement(written(_moving(spark, d), "partition"))
     return a.select("snapshot_id", "n", F.round("ami", 5).alias("ami"), F.round("ari", 5).alias("ari"))
 
 

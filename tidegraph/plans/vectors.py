@@ -10,7 +10,7 @@ from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions.vectors import norm, truncated_unit
 from tidegraph.operators import graph, model, pooling, validate
 from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, events, tweets
-from tidegraph.session import shared_dir
+from tidegraph.session import shared_dir, written
 from tidegraph.sources.tables import table
 from tidegraph.streaming import ingest
 
@@ -231,19 +231,25 @@ def time_split(spark, d):
 PART = ", pt AS (SELECT DISTINCT snapshot_id, node_index, node_index % 7 AS community FROM (SELECT snapshot_id, src_index AS node_index FROM e UNION SELECT snapshot_id, dst_index FROM e)), sd AS (SELECT e.*, src_index % 7 AS cu, dst_index % 7 AS cv FROM e)"
 
 
-def partition(spark, d):
-    """A hard partition of the active nodes into seven communities by index."""
-    n = edges_of(spark, d).select("snapshot_id", F.explode(F.array("src_index", "dst_index")).alias("node_index")).distinct()
+def partition(edge):
+    """A hard partition of the nodes of some edges into seven communities by index."""
+    n = edge.select("snapshot_id", F.explode(F.array("src_index", "dst_index")).alias("node_index")).distinct()
     return n.withColumn("community", F.col("node_index") % 7)
 
 
+def edges_once(spark, d):
+    """The edges as a written table, for queries that use them several times."""
+    return written(edges_of(spark, d), "edges")
+
+
 @query(
     f"WITH {EDGES}{PART}, fl AS (SELECT snapshot_id, relation_id, cu, cv, CAST(sum(count_raw) AS DOUBLE) AS w FROM sd GROUP BY ALL), t AS (SELECT snapshot_id, relation_id, sum(w) AS t, sum(CASE WHEN cu = cv THEN w ELSE 0 END) AS i FROM fl GROUP BY ALL), "
     "o AS (SELECT snapshot_id, relation_id, cu AS c, sum(w) AS o FROM fl GROUP BY ALL), n AS (SELECT snapshot_id, relation_id, cv AS c, sum(w) AS n FROM fl GROUP BY ALL), x2 AS (SELECT snapshot_id, relation_id, sum(o * n) AS s FROM o JOIN n USING (snapshot_id, relation_id, c) GROUP BY ALL) "
     "SELECT t.snapshot_id, t.relation_id, round(i / t - coalesce(s, 0) / (t * t), 6) AS modularity FROM t LEFT JOIN x2 USING (snapshot_id, relation_id)"
 )
 def modularity_directed(spark, d):
-    return model.directed_modularity(edges_of(spark, d), partition(spark, d)).withColumn("modularity", F.round("modularity", 6))
+    e = edges_once(spark, d)
+    return model.directed_modularity(e, partition(e)).withColumn("modularity", F.round("modularity", 6))
 
 
 @query(
@@ -251,7 +257,8 @@ def modularity_directed(spark, d):
     "h AS (SELECT *, sum(volume) OVER (PARTITION BY snapshot_id) AS a FROM g) SELECT snapshot_id, community, volume, cut, round(CASE WHEN least(volume, a - volume) > 0 THEN cut / least(volume, a - volume) ELSE 0 END, 6) AS conductance FROM h"
 )
 def conductance(spark, d):
-    return model.conductance(edges_of(spark, d), partition(spark, d)).withColumn("conductance", F.round("conductance", 6))
+    e = edges_once(spark, d)
+    return model.conductance(e, partition(e)).withColumn("conductance", F.round("conductance", 6))
 
 
 @query(
@@ -295,7 +302,8 @@ def silhouette_cosine(spark, d):
     "SELECT snapshot_id, relation_id, CAST(sum(hits) AS BIGINT) AS new_links, round(sum(hits * tp / seen) / sum(hits), 6) AS average_precision FROM cu GROUP BY ALL HAVING sum(hits) > 0"
 )
 def future_link_ap(spark, d):
-    return model.future_links(edges_of(spark, d), partition(spark, d)).withColumn("average_precision", F.round("average_precision", 6))
+    e = edges_once(spark, d)
+    return model.future_links(e, partition(e)).withColumn("average_precision", F.round("average_precision", 6))
 
 
 @query(
@@ -303,7 +311,7 @@ def future_link_ap(spark, d):
     "SELECT snapshot_id, used, round(x / t, 6) AS largest_share, round(ln(t) + l / t, 6) AS entropy, 7 - used AS empty_communities, used = 1 OR ln(t) + l / t >= 0.999 * ln(7) AS collapsed FROM t"
 )
 def collapse_flags(spark, d):
-    return model.collapse_flags(partition(spark, d), 7).withColumns({"largest_share": F.round("largest_share", 6), "entropy": F.round("entropy", 6)})
+    return model.collapse_flags(partition(edges_of(spark, d)), 7).withColumns({"largest_share": F.round("largest_share", 6), "entropy": F.round("entropy", 6)})
 
 
 @query(
@@ -312,7 +320,7 @@ def collapse_flags(spark, d):
     "SELECT snapshot_id, node_index, round(reciprocity, 6) AS reciprocity, round(relation_entropy, 6) + 0.0 AS relation_entropy FROM r JOIN h USING (snapshot_id, node_index)"
 )
 def activity_features(spark, d):
-    a = model.activity_features(edges_of(spark, d))
+    a = model.activity_features(edges_once(spark, d))
     return a.select("snapshot_id", "node_index", F.round("reciprocity", 6).alias("reciprocity"), (F.round("relation_entropy", 6) + 0.0).alias("relation_entropy"))
 
 
