@@ -28,8 +28,10 @@ def rows(spark, data, name):
 def test_personal_data_is_found_where_it_is_replaced(spark, data):
     names, samples = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("given_names", "lang_samples"))
     given, common = pii.knowledge(names, samples)
-    texts = {(r.source_table, r.row_id): r.text for r in pii.both_sources(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("graph_events", "normalized_records"))).collect()}
-    want = {k: pii.find(t, given, common) for k, t in texts.items() if t}
+    every = pii.both_sources(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("graph_events", "normalized_records")))
+    contexts = pii.name_contexts(every, "text", given, common)
+    texts = {(r.source_table, r.row_id): r.text for r in every.collect()}
+    want = {k: pii.find(t, given, common, contexts) for k, t in texts.items() if t}
     found = defaultdict(set)
     for r in rows(spark, data, "p1_found"):
         found[r.source_table, r.row_id].add(r.pii_type)

@@ -5,6 +5,9 @@ from tidegraph.llm import pii
 GIVEN = frozenset({"clara", "grace", "hope", "rose", "sol", "umut", "andrés", "باران", "رضا", "سلمی", "bernd", "jasper"})
 COMMON = frozenset("the we hope tour has and petals told us to leave at desk vivo aquí salió".split())
 
+#: What texts teach about names here.
+CONTEXTS = frozenset({"<ask for", "<falem com", ">na entrada", ">at the"})
+
 FOUND = [
     ("mail a.b+c@sub.example.org now", "email", "a.b+c@sub.example.org"),
     ("x my correo es bot.guy @ example.net mis", "email", "bot.guy @ example.net"),
@@ -40,12 +43,12 @@ NOTHING = [
 
 @pytest.mark.parametrize("text, kind, span", FOUND)
 def test_found(text, kind, span):
-    assert (kind, span) in {(k, text[a:b]) for a, b, k in pii.find(text, GIVEN, COMMON)}
+    assert (kind, span) in {(k, text[a:b]) for a, b, k in pii.find(text, GIVEN, COMMON, CONTEXTS)}
 
 
 @pytest.mark.parametrize("text", NOTHING)
 def test_nothing(text):
-    assert pii.find(text, GIVEN, COMMON) == []
+    assert pii.find(text, GIVEN, COMMON, CONTEXTS) == []
 
 
 def test_checksums():
@@ -69,6 +72,20 @@ def test_the_higher_score_stands():
     assert [k for _, _, k in pii.find("card 4111 1111 1111 1111 ok", GIVEN, COMMON)] == ["identity_number"]
 
 
+def test_contexts_of_names_are_learned(spark):
+    """Different known names in one place of a sentence teach what stands around them; one name in a copied sentence does not."""
+    given, common = frozenset({"clara", "bernd", "jasper", "hope"}), frozenset("we met the at gate and it was late summer".split())
+    texts = [f"{g} Zorvel{x} met us and later we found {g} Marn{x} waiting quietly" for g, x in (("Clara", "a"), ("Bernd", "b"), ("Jasper", "c"))]
+    texts += ["and hope blossom today"] * 50 + ["our song found Ulmar Vendik somewhere"] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = pii.name_contexts(df, "t", given, common)
+    assert "<we found" in got and ">waiting quietly" in got and not any("blossom" in k or "today" in k or k == "<and" for k in got)
+    assert [k for _, _, k in pii.find("later we found Ulmar Vendik waiting quietly", given, common, got)] == ["person_name"]
+    assert pii.find("later we found Ulmar Vendik waiting quietly", given, common) == []
+    assert pii.find("we found #Ulmar Vendik and \"Ulmar Vendik\"", given, common, got) == []
+    assert pii.name_contexts(df.limit(0), "t", given, common) == frozenset()
+
+
 def test_rest_of_the_text_stays(spark):
     rows = [(1, "é mail a@b.example ١٢ 🌙\n@x #y"), (2, None), (3, ""), (4, "no data"), (5, "z" * 200_000 + " a@b.example")]
     df = spark.createDataFrame([(i, t, "mine", 9) for i, t in rows], "id int, t string, clean_text string, _clean int")

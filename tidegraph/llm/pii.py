@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,44 +253,79 @@ _STREET_NUMBER = re.compile(r"\d")
 _GIVEN = r"(?P<g>[^\W\d_]{2,}(?:[-'][^\W\d_]+)*)"
 _FAMILY = r"(?P<f>[^\W\d_]{2,}(?:[-'][^\W\d_]+)*)"
 _FULL = rf"{_GIVEN}(?: [^\W\d_]\.)?(?P<comma>,)? {_FAMILY}"
-#: Words that announce a name right after them, in lower case.
-_STRONG = (
-    "ask for|signed by|yours truly|my name is|i met|dr.|mr.|mrs.|ms.|mr|mrs|miss|prof.|"
-    "pregunten por|pregunta por|la señora|la senora|el señor|el senor|doña|me llamo|mi nombre es|firmado|"
-    "falem com|fale com|a dona|o senhor|a senhora|meu nome é|meu nome e|me chamo|assinado|"
-    "demandez|mme|mlle|madame|monsieur|je m'appelle|mon nom est|signé|signe|"
-    "fragt an der tür nach|fragt an der tur nach|fragt nach|frau|herr|gezeichnet|ich heiße|ich heisse|mein name ist|"
-    "benim adım|benim adim|imza|sayın|sayin|"
-    "tanyakan|ibu|bapak|nama saya|tertanda|"
-    "esme man|khanome|khanoome|aghaye|emza|"
-    "اسم من|نام من|خانم|آقای|امضا|امضاء|"
-    "اسألوا عن|قالت السیدة|قال السید|السیدة|السید|اسمی|التوقیع|توقیع"
+#: Titles and introductions right before a name, in lower case; what else announces names is learned from the texts.
+_TITLES = (
+    "dr.|mr.|mrs.|ms.|mr|mrs|miss|prof.|my name is|signed by|yours truly|señora|señor|senora|senor|doña|me llamo|mi nombre es|firmado|dona|senhor|senhora|meu nome é|meu nome e|me chamo|assinado|"
+    "mme|mlle|madame|monsieur|je m'appelle|mon nom est|signé|frau|herr|ich heiße|ich heisse|mein name ist|gezeichnet|benim adım|benim adim|sayın|sayin|imza|ibu|bapak|nama saya|tertanda|"
+    "khanome|aghaye|esme man|emza|خانم|آقای|اسم من|نام من|امضا|امضاء|السیدة|السید|اسمی|التوقیع|توقیع"
 ).split("|")
-#: The same, but too common to be enough alone: a name must also be known or be followed by its own words.
-_WEAK = "با|ba|دیروز|dirooz|dün|dun|kapıda|kapida|i am|this is|soy|seu|don|pak|m.|signed|regards|sir|adım|adim|قابلت|رأیت".split("|")
-_LEADS = tuple((w, weak, re.compile(rf"(?<![\w#@]){re.escape(w)}:? {_FULL}(?![\w@])", re.I)) for words, weak in ((_STRONG, False), (_WEAK, True)) for w in words)
-#: Words that follow a name when what stands before it says little ("ba", "با", "dün").
-_AFTER_NAME = re.compile(
-    r"^(?: at the desk| again| told us| from my old| en la puerta| lo dijo| na entrada| avisou| [àa] l'entr[ée]e| l'a dit| hat das| ile | di pintu| yang bilang|"
-    r" hast| hamahang| goft| ro didam| است| هماهنگ| گفت| را دیدم| عند الباب| ذلک| وأنا هنا)",
-    re.I,
-)
-_THEN_NAMED = re.compile(rf"(?<![\w#@]){_FULL}(?= from my old school\b| az madrese\b| de mi escuela\b)", re.I)
+_LEADS = tuple((w, re.compile(rf"(?<![\w#@]){re.escape(w)}:? {_FULL}(?![\w@])", re.I)) for w in _TITLES)
+_NAME_WORD = re.compile(r"[^\W\d_]{2,}(?:[-'][^\W\d_]+)*")
+#: What may stand between the two words of a name: a blank, an initial, or a comma where the family name comes first.
+_BETWEEN = re.compile(r" (?:[^\W\d_]\. )?|, ")
+#: Least number of different known names in a context, and least share of known ones among all names it might have.
+CONTEXT_NAMES, CONTEXT_SHARE = 3, 0.5
+#: Most contexts that are shipped to the workers.
+MAX_CONTEXTS = 50_000
 _CAPITALS = re.compile(r"(?<![\w#@'\"«.-])(?P<g>[A-ZÀ-ÞĞİŞÖÜÇ][^\W\d_]+)(?: [A-Z]\.)? (?P<f>[A-ZÀ-ÞĞİŞÖÜÇ][^\W\d_]{3,})(?![\w@])")
 _QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|«[^»\n]{1,80}»|(?<!\w)[#@]\w+")
 
 
-def _is_name(m: re.Match, given: frozenset, common: frozenset, weak: bool, after: bool) -> bool:
-    g, f = m["g"].lower(), m["f"].lower()
-    if m["comma"]:  # family, given
-        if f in given:
-            return g not in common and (not weak or after)
-        return after or (not weak and g not in common and f not in common and m["g"][0].isupper() and m["f"][0].isupper())
-    if f in common and not (after and g in given):
-        return False
-    if g in given:
-        return not weak or after or m["f"][0].isupper()
-    return g not in common and (after or not weak)
+def _is_name(g: str, f: str, comma: bool, given: frozenset, common: frozenset, sure: bool) -> bool:
+    """Whether two words (lower case) are a name where one is announced; ``sure`` if also one of them is unknown to the languages."""
+    if comma:  # family, given
+        return f in given and g not in common or (sure and g not in common and f not in common)
+    return f not in common and (g in given or (sure and g not in common))
+
+
+def _candidates(s: str) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
+    """Pairs of words that stand as the parts of a name do: both in lower case, comma, start, end, and the two words before and after them.
+
+    Words in quotations, handles and hashtags are none. The words before must lead up to the pair with blanks or a colon
+    only, those after follow with blanks.
+    """
+    if not s:
+        return
+    hidden = [q.span() for q in _QUOTED.finditer(s)]
+    words = [(m.start(), m.end(), m.group().lower()) for m in _NAME_WORD.finditer(s)]
+    h = 0
+    for i in range(len(words) - 1):
+        a, b, g = words[i]
+        c, d, f = words[i + 1]
+        if c - b > 4 or (a and (s[a - 1] in "@#_" or s[a - 1].isalnum())) or (d < len(s) and (s[d] == "@" or s[d].isalnum() or s[d] == "_")):
+            continue
+        between = s[b:c]
+        if between != " " and not _BETWEEN.fullmatch(between):
+            continue
+        while h < len(hidden) and hidden[h][1] <= a:
+            h += 1
+        if h < len(hidden) and hidden[h][0] <= a:
+            continue
+        before = ""
+        if i and s[words[i - 1][1] : a] in (" ", ": "):
+            before = words[i - 1][2]
+            if i > 1 and s[words[i - 2][1] : words[i - 1][0]] == " ":
+                before = f"{words[i - 2][2]} {before}"
+        after = ""
+        if i + 2 < len(words) and s[d : words[i + 2][0]] == " ":
+            after = words[i + 2][2]
+            if i + 3 < len(words) and s[words[i + 2][1] : words[i + 3][0]] == " ":
+                after = f"{after} {words[i + 3][2]}"
+        yield g, f, between == ", ", a, d, before, after
+
+
+def context_votes(text: str, given: frozenset, common: frozenset) -> list[tuple[str, str | None]]:
+    """The contexts ('<' and the words before, '>' and those after) of pairs that could be names, and the given name if it is known."""
+    out = []
+    s = _composed(text)[0].translate(_SAME_LENGTH)
+    for g, f, comma, _, _, before, after in _candidates(s):
+        first, last = (f, g) if comma else (g, f)
+        if last in common or last in given:
+            continue
+        known = first in given
+        if known or first not in common:
+            out += [(k, first if known else None) for k in ((f"<{before}" if before else ""), (f">{after}" if after else "")) if k]
+    return out
 
 
 def _nearest(s: str, start: int, end: int) -> str:
@@ -307,11 +343,12 @@ def _nearest(s: str, start: int, end: int) -> str:
     return kind or ("phone" if _PHONE_WORDS.search(s[end : end + AFTER]) else "")
 
 
-def find(text: str, given: frozenset, common: frozenset) -> list[tuple[int, int, str]]:
+def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = frozenset()) -> list[tuple[int, int, str]]:
     """The accepted spans (start, end, type) of ``text``, in text order and without overlap.
 
     ``given``: known given names in lower case. ``common``: ordinary words of the
-    languages, in lower case; none of them is taken for a family name.
+    languages, in lower case; none of them is taken for a family name. ``contexts``: what announces
+    or follows names (``name_contexts``).
     """
     if not text:
         return []
@@ -372,22 +409,17 @@ def find(text: str, given: frozenset, common: frozenset) -> list[tuple[int, int,
                 if score >= ACCEPT and 7 <= sum(c.isdigit() for c in m.group()) <= 15:
                     add(m.start() + (m.group()[0] == "(" and ")" not in m.group()), m.end(), "phone", score)
 
-    def names(pattern: re.Pattern, weak: bool, sure: bool) -> None:
-        at = 0
-        while m := pattern.search(s, at):
-            at = m.start() + 1
-            after = sure or bool(_AFTER_NAME.match(s[m.end() : m.end() + 24]))
-            if _is_name(m, given, common, weak, after):
-                # what is known of the name and what stands around it each add to the score
-                known = m["g"].lower() in given or (m["comma"] and m["f"].lower() in given)
-                add(m.start("g"), m.end("f"), "person_name", NAME_SCORE + (0.1 if known else 0.0) + (0.1 if after else 0.0) - (0.05 if weak else 0.0))
-                at = m.end()
-
-    for lead, weak, pattern in _LEADS:
+    for lead, pattern in _LEADS:
         if lead in low:
-            names(pattern, weak, False)
-    if " from my old school" in low or " az madrese" in low or " de mi escuela" in low:
-        names(_THEN_NAMED, False, True)
+            for m in pattern.finditer(s):
+                if _is_name(m["g"].lower(), m["f"].lower(), bool(m["comma"]), given, common, True):
+                    add(m.start("g"), m.end("f"), "person_name", NAME_SCORE + 0.1)
+    if contexts:
+        for g, f, comma, start, end, before, after in _candidates(s):
+            around = (f"<{before}" in contexts) + (f">{after}" in contexts)
+            if around and _is_name(g, f, comma, given, common, True):
+                # what is known of the name and each side of it that announces one add to the score
+                add(start, end, "person_name", NAME_SCORE + 0.1 * around + (0.1 if g in given or (comma and f in given) else 0.0) - 0.05)
     for m in _CAPITALS.finditer(s):
         if m["g"].lower() in given and m["f"].lower() not in common and not quoted(m.start()):
             add(m.start(), m.end(), "person_name", NAME_SCORE)
@@ -428,32 +460,57 @@ def knowledge(names: DataFrame, samples: DataFrame) -> tuple[frozenset, frozense
     return small, frozenset(common)
 
 
+def name_contexts(texts: DataFrame, text: str, given: frozenset, common: frozenset) -> frozenset:
+    """What stands before or after names, learned from known given names in all texts.
+
+    A context counts if ``CONTEXT_NAMES`` different known given names or more stand in it, and pairs with a known one are at least
+    ``CONTEXT_SHARE`` of the pairs in it that could be names. A sentence in which an ordinary word happens to be a name
+    has only that one, however often it is copied. Counts are combined on the map side; what comes to the
+    driver are contexts with that support, whose number is checked.
+    """
+    shipped = ship(texts.sparkSession).sparkContext.broadcast((given, common))
+
+    @F.arrow_udf("array<struct<context:string,name:string>>")
+    def votes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        g, c = shipped.value
+        for batch in batches:
+            yield pa.array([[{"context": k, "name": n} for k, n in context_votes(t, g, c)] if t else [] for t in batch.to_pylist()], pa.list_(pa.struct([("context", pa.string()), ("name", pa.string())])))
+
+    vote = texts.select(F.explode(votes(F.col(text))).alias("v")).select("v.*")
+    named = vote.groupBy("context", "name").agg(F.count(F.lit(1)).alias("n"))
+    counted = named.groupBy("context").agg(F.count("name").alias("names"), F.sum(F.when(F.col("name").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum("n").alias("pairs"))
+    kept = counted.where((F.col("names") >= CONTEXT_NAMES) & (F.col("known") >= CONTEXT_SHARE * F.col("pairs"))).select("context").limit(MAX_CONTEXTS + 1).toPandas()["context"]
+    if len(kept) > MAX_CONTEXTS:
+        raise ValueError(f"more than {MAX_CONTEXTS} contexts of names")
+    return frozenset(kept)
+
+
 def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacted: bool = False) -> DataFrame:
     """``df`` with ``kinds`` (array of the types found) or, with ``redacted``, ``clean_text`` and ``spans`` (how many).
 
+    Two passes over the texts: the first learns what announces names, the second finds and replaces.
     NULL texts have no kinds and stay NULL; empty texts stay empty. Rows are
     neither moved nor merged; columns of ``df`` stay, save those with the names of the made ones.
     """
     given, common = knowledge(names, samples)
+    contexts = name_contexts(df, text, given, common)
     spark: SparkSession = ship(df.sparkSession)
-    shipped = spark.sparkContext.broadcast((given, common))
+    shipped = spark.sparkContext.broadcast((given, common, contexts))
 
     if not redacted:
 
         @F.pandas_udf("array<string>")
         def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            g, c = shipped.value
             for batch in batches:
-                yield pd.Series([sorted({k for _, _, k in find(t, g, c)}) if t else [] for t in batch], dtype=object)
+                yield pd.Series([sorted({k for _, _, k in find(t, *shipped.value)}) if t else [] for t in batch], dtype=object)
 
         # as non-deterministic it is not evaluated once more for a filter on its result
         return df.withColumn("kinds", kinds.asNondeterministic()(F.col(text)))
 
     @F.pandas_udf("clean_text string, spans int")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        g, c = shipped.value
         for batch in batches:
-            found = [(t, find(t, g, c) if t else []) for t in batch]
+            found = [(t, find(t, *shipped.value) if t else []) for t in batch]
             yield pd.DataFrame({"clean_text": [redact(t, f) if t else t for t, f in found], "spans": [len(f) for _, f in found]})
 
     made = carry(df, _text=text).withColumn("_clean", clean.asNondeterministic()(F.col("_text"))).select("_row", "_clean.*")
