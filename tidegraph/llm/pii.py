@@ -134,9 +134,9 @@ _EMAIL_SPELT = re.compile(
 
 #: What a spelt e-mail holds one of, in lower case.
 _AT = (" at ", *(f"at{gap}{end}" for gap in ("", " ") for end in ")]}"))
-#: The fewest digits any pattern below takes are the six of letter8.
-_NUMBERLIKE = re.compile(r"\d(?:[ .()\-/]{0,2}\d){5}")
-#: Those that may have no such run of digits, nino and iban.
+#: What the patterns below need: seven digits near each other, letters before six digits (letter8), or the groups of nino and iban.
+_SEVEN = re.compile(r"\d(?:[ .()\-/]{0,3}\d){6}")
+_LETTERS_SIX = re.compile(r"(?<!\w)[A-Z]{1,2} ?\d{6}", re.I)
 _THREE_PAIRS = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}")
 _IDENTITY = (
     # name, pattern, score by shape, checksum
@@ -246,6 +246,8 @@ _ADDRESS = tuple(
     )
 )
 _HOME_WORDS = re.compile(r"\b(?:live|home|flat|send|parcel|address|vivo|casa|direcci[óo]n|paquete|moro|endere[çc]o|habite|adresse|colis|wohne|wohnung|paket|adres|evim|tinggal|alamat|rumah|khoone|adrese)\b|خانه|آدرس|بیتی|عنوان", re.I)
+#: The kinds of street that stand last, as whole words: many texts have their first letters only.
+_KIND_LAST = re.compile(r"[ ,](?:street|st|road|rd|lane|ln|avenue|ave|crescent|close|court|ct|drive|dr|boulevard|blvd|terrace|way|place|square|gardens|grove|row|mews)\b", re.I)
 _STREET_NUMBER = re.compile(r"\d")
 
 # -- names ------------------------------------------------------------------------------------------
@@ -260,6 +262,7 @@ _TITLES = (
     "khanome|aghaye|esme man|emza|خانم|آقای|اسم من|نام من|امضا|امضاء|السیدة|السید|اسمی|التوقیع|توقیع"
 ).split("|")
 _LEADS = tuple((w, re.compile(rf"(?<![\w#@]){re.escape(w)}:? {_FULL}(?![\w@])", re.I)) for w in _TITLES)
+_PIECES = re.compile(r"[^\W\d_]{2,}")
 _NAME_WORD = re.compile(r"[^\W\d_]{2,}(?:[-'][^\W\d_]+)*")
 #: What may stand between the two words of a name: a blank, an initial, or a comma where the family name comes first.
 _BETWEEN = re.compile(r" (?:[^\W\d_]\. )?|, ")
@@ -278,10 +281,20 @@ def _is_name(g: str, f: str, comma: bool, given: frozenset, common: frozenset, s
     return f not in common and (g in given or (sure and g not in common))
 
 
-def _candidates(s: str) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
+def _plain_copy(made: str) -> str:
+    """A text with ASCII digits, plain spaces and one form of each letter, place for place."""
+    return made.replace("\t", " ").replace("\r", " ") if made.isascii() else made.translate(_SAME_LENGTH)
+
+
+def _all_common(s: str, common: frozenset) -> bool:
+    """Whether all words are ordinary ones, outside of quotations, handles and hashtags: such a text has no family name."""
+    return common.issuperset(_PIECES.findall(_QUOTED.sub(" ", s).lower()))
+
+
+def _candidates(s: str, common: frozenset) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
     """Pairs of words that stand as the parts of a name do: both in lower case, comma, start, end, and the two words before and after them.
 
-    Words in quotations, handles and hashtags are none. The words before must lead up to the pair with blanks or a colon
+    Words in quotations, handles and hashtags are none, and one of the two is no ordinary word. The words before must lead up to the pair with blanks or a colon
     only, those after follow with blanks.
     """
     if not s:
@@ -292,7 +305,7 @@ def _candidates(s: str) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
     for i in range(len(words) - 1):
         a, b, g = words[i]
         c, d, f = words[i + 1]
-        if c - b > 4 or (a and (s[a - 1] in "@#_" or s[a - 1].isalnum())) or (d < len(s) and (s[d] == "@" or s[d].isalnum() or s[d] == "_")):
+        if (f in common and g in common) or c - b > 4 or (a and (s[a - 1] in "@#_" or s[a - 1].isalnum())) or (d < len(s) and (s[d] == "@" or s[d].isalnum() or s[d] == "_")):
             continue
         between = s[b:c]
         if between != " " and not _BETWEEN.fullmatch(between):
@@ -317,10 +330,12 @@ def _candidates(s: str) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
 def context_votes(text: str, given: frozenset, common: frozenset) -> list[tuple[str, str | None]]:
     """The contexts ('<' and the words before, '>' and those after) of pairs that could be names, and the given name if it is known."""
     out = []
-    s = _composed(text)[0].translate(_SAME_LENGTH)
-    for g, f, comma, _, _, before, after in _candidates(s):
+    s = _plain_copy(_composed(text)[0])
+    if _all_common(s, common):
+        return out
+    for g, f, comma, _, _, before, after in _candidates(s, common):
         first, last = (f, g) if comma else (g, f)
-        if last in common or last in given:
+        if last in given or common.issuperset(_PIECES.findall(last)):
             continue
         known = first in given
         if known or first not in common:
@@ -353,7 +368,7 @@ def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = f
     if not text:
         return []
     made, places = _composed(text)
-    s = made.translate(_SAME_LENGTH)
+    s = _plain_copy(made)
     proposed: list[tuple[float, int, int, int, str]] = []  # negated score, order, start, end, kind
 
     def add(a: int, b: int, kind: str, score: float) -> None:
@@ -379,15 +394,19 @@ def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = f
             add(m.start(), m.end(), "email", EMAIL_SCORE - 0.1)
 
     if _STREET_NUMBER.search(s):
-        for gates, p in _ADDRESS:
-            if any(g in low for g in gates):
+        for i, (gates, p) in enumerate(_ADDRESS):
+            if any(g in low for g in gates) and (i != 1 or _KIND_LAST.search(s)):
                 for m in p.finditer(s):
                     home = bool(_HOME_WORDS.search(s[max(0, m.start() - BEFORE) : m.start()]))
                     add(m.start(), m.end(), "street_address", ADDRESS_SCORE + (0.2 if home else 0.0))
 
-    if _NUMBERLIKE.search(s) or _THREE_PAIRS.search(s):
+    seven = bool(_SEVEN.search(s))
+    tried = {"letter8": bool(_LETTERS_SIX.search(s)), **dict.fromkeys(("nino", "iban"), bool(_THREE_PAIRS.search(s)))}
+    if seven or any(tried.values()):
         failed: list[tuple[int, int]] = []
         for name, p, shape, check in _IDENTITY:
+            if not tried.get(name, seven):
+                continue
             for m in p.finditer(s):
                 near = _nearest(s, m.start(), m.end())
                 score = shape + {"identity": 0.5, "other": -0.6}.get(near, 0.0)
@@ -400,7 +419,7 @@ def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = f
                 if name == "nir" and m.group().count(" ") >= 5:
                     score += 0.3
                 add(m.start(), m.end(), "identity_number", score)
-        for p, shape in _PHONES:
+        for p, shape in _PHONES if seven else ():
             for m in p.finditer(s):
                 if any(a <= m.start() and m.end() <= b for a, b in failed):
                     continue
@@ -414,10 +433,10 @@ def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = f
             for m in pattern.finditer(s):
                 if _is_name(m["g"].lower(), m["f"].lower(), bool(m["comma"]), given, common, True):
                     add(m.start("g"), m.end("f"), "person_name", NAME_SCORE + 0.1)
-    if contexts:
-        for g, f, comma, start, end, before, after in _candidates(s):
+    if contexts and not _all_common(s, common):
+        for g, f, comma, start, end, before, after in _candidates(s, common):
             around = (f"<{before}" in contexts) + (f">{after}" in contexts)
-            if around and _is_name(g, f, comma, given, common, True):
+            if around and not common.issuperset(_PIECES.findall(g if comma else f)) and _is_name(g, f, comma, given, common, True):
                 # what is known of the name and each side of it that announces one add to the score
                 add(start, end, "person_name", NAME_SCORE + 0.1 * around + (0.1 if g in given or (comma and f in given) else 0.0) - 0.05)
     for m in _CAPITALS.finditer(s):
