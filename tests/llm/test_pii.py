@@ -6,7 +6,7 @@ GIVEN = frozenset({"clara", "grace", "hope", "rose", "sol", "umut", "andrés", "
 COMMON = frozenset("the we hope tour has and petals told us to leave at desk vivo aquí salió".split())
 
 #: What texts teach about names here.
-CONTEXTS = frozenset({"<ask for", "<falem com", ">na entrada", ">at the"})
+CONTEXTS = frozenset({"<ask for", "!<ask for", "<falem com", "!<falem com", ">na entrada", ">at the"})
 
 FOUND = [
     ("mail a.b+c@sub.example.org now", "email", "a.b+c@sub.example.org"),

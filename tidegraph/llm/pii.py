@@ -141,7 +141,7 @@ _THREE_PAIRS = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|[A-Z]{2}\d{2}
 _IDENTITY = (
     # name, pattern, score by shape, checksum
     ("ssn", re.compile(r"(?<![\w.-])\d{3}([- ])\d{2}\1\d{4}(?![\w-]|\.\d)"), 0.5, social_area),
-    ("cpf", re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])"), 0.9, two_checks),
+    ("cpf", re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])"), 1.06, two_checks),
     ("dni", re.compile(r"(?<![\w.-])\d{8}-?[A-ZÑa-zñ](?![\w-])"), 0.3, check_letter),
     ("nino", re.compile(r"(?<!\w)[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)"), 0.5, insurance_prefix),
     ("nir", re.compile(r"(?<![\w.-])(?:\d(?: \d{2}){2} \d[\dABab] \d{3} \d{3}(?: \d{2})?|\d{13}(?:\d{2})?)(?![\w-])"), 0.2, nir_key),
@@ -268,6 +268,8 @@ _NAME_WORD = re.compile(r"[^\W\d_]{2,}(?:[-'][^\W\d_]+)*")
 _BETWEEN = re.compile(r" (?:[^\W\d_]\. )?|, ")
 #: Least number of different known names in a context, and least share of known ones among all names it might have.
 CONTEXT_NAMES, CONTEXT_SHARE = 3, 0.5
+#: Share from which on one word alone announces names whose given name is not known; two words, or words on both sides, do so anyway.
+CONTEXT_SURE = 0.6
 #: Most contexts that are shipped to the workers.
 MAX_CONTEXTS = 50_000
 _CAPITALS = re.compile(r"(?<![\w#@'\"«.-])(?P<g>[A-ZÀ-ÞĞİŞÖÜÇ][^\W\d_]+)(?: [A-Z]\.)? (?P<f>[A-ZÀ-ÞĞİŞÖÜÇ][^\W\d_]{3,})(?![\w@])")
@@ -275,7 +277,7 @@ _QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|«[^»\n]{1,80}»|(?<!\w)[#@]\w+")
 
 
 def _is_name(g: str, f: str, comma: bool, given: frozenset, common: frozenset, sure: bool) -> bool:
-    """Whether two words (lower case) are a name where one is announced; ``sure`` if also one of them is unknown to the languages."""
+    """Whether two words (lower case) are a name; ``sure`` if what stands before announces one, so that the given name need not be known."""
     if comma:  # family, given
         return f in given and g not in common or (sure and g not in common and f not in common)
     return f not in common and (g in given or (sure and g not in common))
@@ -291,11 +293,11 @@ def _all_common(s: str, common: frozenset) -> bool:
     return common.issuperset(_PIECES.findall(_QUOTED.sub(" ", s).lower()))
 
 
-def _candidates(s: str, common: frozenset) -> Iterator[tuple[str, str, bool, int, int, str, str]]:
-    """Pairs of words that stand as the parts of a name do: both in lower case, comma, start, end, and the two words before and after them.
+def _candidates(s: str, common: frozenset) -> Iterator[tuple[str, str, bool, int, int, tuple, tuple]]:
+    """Pairs of words that stand as the parts of a name do: both in lower case, comma, start, end, and their contexts before and after.
 
     Words in quotations, handles and hashtags are none, and one of the two is no ordinary word. The words before must lead up to the pair with blanks or a colon
-    only, those after follow with blanks.
+    only, those after follow with blanks; a context is one word or two.
     """
     if not s:
         return
@@ -314,16 +316,17 @@ def _candidates(s: str, common: frozenset) -> Iterator[tuple[str, str, bool, int
             h += 1
         if h < len(hidden) and hidden[h][0] <= a:
             continue
-        before = ""
+        before = after = ()
         if i and s[words[i - 1][1] : a] in (" ", ": "):
-            before = words[i - 1][2]
+            near = words[i - 1][2]
+            before = (f"<{near}",)
             if i > 1 and s[words[i - 2][1] : words[i - 1][0]] == " ":
-                before = f"{words[i - 2][2]} {before}"
-        after = ""
+                before = (f"<{near}", f"<{words[i - 2][2]} {near}")
         if i + 2 < len(words) and s[d : words[i + 2][0]] == " ":
-            after = words[i + 2][2]
+            near = words[i + 2][2]
+            after = (f">{near}",)
             if i + 3 < len(words) and s[words[i + 2][1] : words[i + 3][0]] == " ":
-                after = f"{after} {words[i + 3][2]}"
+                after = (f">{near}", f">{near} {words[i + 3][2]}")
         yield g, f, between == ", ", a, d, before, after
 
 
@@ -339,7 +342,7 @@ def context_votes(text: str, given: frozenset, common: frozenset) -> list[tuple[
             continue
         known = first in given
         if known or first not in common:
-            out += [(k, first if known else None) for k in ((f"<{before}" if before else ""), (f">{after}" if after else "")) if k]
+            out += [(k, first if known else None) for k in (*before, *after)]
     return out
 
 
@@ -435,10 +438,12 @@ def find(text: str, given: frozenset, common: frozenset, contexts: frozenset = f
                     add(m.start("g"), m.end("f"), "person_name", NAME_SCORE + 0.1)
     if contexts and not _all_common(s, common):
         for g, f, comma, start, end, before, after in _candidates(s, common):
-            around = (f"<{before}" in contexts) + (f">{after}" in contexts)
-            if around and not common.issuperset(_PIECES.findall(g if comma else f)) and _is_name(g, f, comma, given, common, True):
+            left, right = not contexts.isdisjoint(before), not contexts.isdisjoint(after)
+            sure = left and (right or any(f"!{k}" in contexts or (" " in k and k in contexts) for k in before))
+            # words that follow a name follow much else: alone they need a known given name
+            if (left or right) and not common.issuperset(_PIECES.findall(g if comma else f)) and _is_name(g, f, comma, given, common, sure):
                 # what is known of the name and each side of it that announces one add to the score
-                add(start, end, "person_name", NAME_SCORE + 0.1 * around + (0.1 if g in given or (comma and f in given) else 0.0) - 0.05)
+                add(start, end, "person_name", NAME_SCORE + 0.1 * (left + right) + (0.1 if g in given or (comma and f in given) else 0.0) - 0.05)
     for m in _CAPITALS.finditer(s):
         if m["g"].lower() in given and m["f"].lower() not in common and not quoted(m.start()):
             add(m.start(), m.end(), "person_name", NAME_SCORE)
@@ -484,7 +489,7 @@ def name_contexts(texts: DataFrame, text: str, given: frozenset, common: frozens
 
     A context counts if ``CONTEXT_NAMES`` different known given names or more stand in it, and pairs with a known one are at least
     ``CONTEXT_SHARE`` of the pairs in it that could be names. A sentence in which an ordinary word happens to be a name
-    has only that one, however often it is copied. Counts are combined on the map side; what comes to the
+    has only that one, however often it is copied. Contexts with a share of ``CONTEXT_SURE`` come out a second time with '!' before them. Counts are combined on the map side; what comes to the
     driver are contexts with that support, whose number is checked.
     """
     shipped = ship(texts.sparkSession).sparkContext.broadcast((given, common))
@@ -498,10 +503,10 @@ def name_contexts(texts: DataFrame, text: str, given: frozenset, common: frozens
     vote = texts.select(F.explode(votes(F.col(text))).alias("v")).select("v.*")
     named = vote.groupBy("context", "name").agg(F.count(F.lit(1)).alias("n"))
     counted = named.groupBy("context").agg(F.count("name").alias("names"), F.sum(F.when(F.col("name").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum("n").alias("pairs"))
-    kept = counted.where((F.col("names") >= CONTEXT_NAMES) & (F.col("known") >= CONTEXT_SHARE * F.col("pairs"))).select("context").limit(MAX_CONTEXTS + 1).toPandas()["context"]
+    kept = counted.where((F.col("names") >= CONTEXT_NAMES) & (F.col("known") >= CONTEXT_SHARE * F.col("pairs"))).select("context", (F.col("known") >= CONTEXT_SURE * F.col("pairs")).alias("sure")).limit(MAX_CONTEXTS + 1).toPandas()
     if len(kept) > MAX_CONTEXTS:
         raise ValueError(f"more than {MAX_CONTEXTS} contexts of names")
-    return frozenset(kept)
+    return frozenset(kept["context"]) | frozenset(f"!{k}" for k in kept["context"][kept["sure"].astype(bool)])
 
 
 def scan(df: DataFrame, names: DataFrame, samples: DataFrame, text: str, redacted: bool = False) -> DataFrame:
