@@ -142,7 +142,7 @@ def evidence(df: DataFrame, text: str, address: str | None = None, ordinary: Ite
 
     ``terms`` are a text's distinct words other than numbers and hexadecimal ids, ``words`` how many words
     they are, ``foreign`` the terms that are not among ``ordinary`` words. ``mismatch``: no term of the title (first
-    line) or of the address slug occurs in the body. ``signature``: hash of the words in order, equal for
+    line) or of the address slug occurs in the body of a text of little information. ``signature``: hash of the words in order, equal for
     texts that differ in numbers, ids and punctuation only. NULL texts count as empty.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -160,12 +160,12 @@ def evidence(df: DataFrame, text: str, address: str | None = None, ordinary: Ite
         .withColumn("_masked", F.trim(F.regexp_replace(spaced, _NUMBERS, "")))
         .withColumn("_split", F.array_remove(F.split("_masked", " +"), ""))
         .withColumn("terms", F.array_distinct("_split"))
+        .withColumn("foreign", F.filter("terms", lambda t: ~t.isin(known)) if known else F.col("terms"))
         .withColumns(
             {
                 "words": F.size("_split"),
-                "foreign": F.filter("terms", lambda t: ~t.isin(known)) if known else F.col("terms"),
                 "slots": F.when(whole.rlike(_SLOT_MARK), F.regexp_count(F.regexp_replace(whole, _TALK, " "), F.lit(SLOT))).otherwise(0),
-                "mismatch": apart,
+                "mismatch": F.when(F.size("terms") - F.size("foreign") <= LOW_INFORMATION, apart).otherwise(False),
                 "signature": F.xxhash64("_masked"),
             }
         )
