@@ -35,6 +35,11 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, DIGITS, "0123456789" * (len(DIGITS) // 10))
 
 
+def plain_status(c: Column) -> Column:
+    """A status in its plain spelling: case and white space around do not matter, blank means none."""
+    return F.nullif(F.lower(strip(c)), F.lit(""))
+
+
 def is_blank(c: Column) -> Column:
     """NULL, empty or only white space."""
     return c.isNull() | c.rlike(rf"(?U)^{SPACE}*$")

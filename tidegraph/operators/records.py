@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, Config
 from tidegraph.functions.hashing import fields_hash
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error, user_object
-from tidegraph.functions.text import is_blank, normalized_text
+from tidegraph.functions.text import is_blank, normalized_text, plain_status
 from tidegraph.functions.times import created_at, snapshot
 from tidegraph.operators.skew import account_key
 
@@ -152,9 +152,9 @@ def with_duplicate_flags(records: DataFrame) -> DataFrame:
 def account_reconciliation(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per author: rows, retained rows, node index and whether the author is in the universe."""
     counted = (
-        records.where("author_account_id is not null")
-        .groupBy(F.trim("author_account_id").alias("account_id"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.lower(F.trim("record_status")) == "retained").alias("retained"))
+        records.where(account_key(F.col("author_account_id")).isNotNull())
+        .groupBy(account_key(F.col("author_account_id")).alias("account_id"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(plain_status(F.col("record_status")) == "retained").alias("retained"))
     )
     return counted.join(nodes.groupBy("account_id").agg(F.min("node_index").alias("node_index")), "account_id", "left").withColumn("matched", F.col("node_index").isNotNull())
 
@@ -177,7 +177,7 @@ def author_overlap(events: DataFrame, records: DataFrame, nodes: DataFrame) -> D
 
 def row_accounting(records: DataFrame) -> DataFrame:
     """Rows in, by status; statuses in any spelling, missing ones apart."""
-    s = F.lower(F.trim("record_status"))
+    s = plain_status(F.col("record_status"))
     return records.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows_in"),
         *[F.count_if(s == x).alias(x) for x in ("retained", "excluded", "rejected")],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, Config
 from tidegraph.functions.frames import numbered
 from tidegraph.functions.hashing import content_hash, fields_hash
-from tidegraph.functions.text import is_blank
+from tidegraph.functions.text import is_blank, plain_status
 from tidegraph.operators.graph import first_wins
 
 DOMAIN = "tidegraph-unit-v1"
@@ -36,7 +36,7 @@ def canonical_locations(report: DataFrame) -> DataFrame:
 def node_units(records: DataFrame, report: DataFrame, run: str = "run") -> DataFrame:
     """Retained records with ``reason`` (NULL if eligible) and the hashes of their text units."""
     text = F.col("text_normalized")
-    retained = records.where(F.lower(F.trim("record_status")) == "retained")
+    retained = records.where(plain_status(F.col("record_status")) == "retained")
     joined = retained.join(canonical_locations(report).withColumnRenamed("tweet_id", "_id"), F.col("tweet_id") == F.col("_id"), "left")
     other = F.col("_id").isNotNull() & ~((F.col("source_file") == F.col("f")) & (F.col("source_row_number") == F.col("r")))
     return joined.withColumns(

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.config import DEFAULT, FEATURES, Config
+from tidegraph.functions.text import plain_status
 from tidegraph.operators.graph import EDGE
 
 
@@ -126,7 +127,7 @@ def graph_gates(features: DataFrame, edge: DataFrame, events: DataFrame, nodes:
 
 def record_gates(records: DataFrame, rows_in: int, universe: int, config: Config = DEFAULT) -> DataFrame:
     """The gates of normalised records, one row each: gate and passed. ``rows_in`` is the number of raw rows."""
-    s = F.lower(F.trim("record_status"))
+    s = plain_status(F.col("record_status"))
     kept = s == "retained"
     bad = lambda c: F.count_if(kept & ~F.coalesce(c, F.lit(False)))
     one = records.agg(

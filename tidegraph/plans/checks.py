@@ -97,7 +97,7 @@ def graph_gates(spark, d):
 
 
 @query(
-    "WITH r AS (SELECT *, lower(trim(record_status)) AS s FROM normalized_records), k AS (SELECT * FROM r WHERE s = 'retained'), "
+    f"WITH r AS (SELECT *, lower({_T('record_status')}) AS s FROM normalized_records), k AS (SELECT * FROM r WHERE s = 'retained'), "
     rf"one AS (SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM k) AS retained, (SELECT count(*) FROM r WHERE s IN ('retained', 'excluded', 'rejected')) AS named, (SELECT count(*) FROM k WHERE NOT coalesce(regexp_full_match(tweet_id, '\d{{15,20}}'), false)) AS ids, (SELECT count(*) FROM k WHERE node_index IS NULL) AS nodes, "
     f"(SELECT count(*) FROM k WHERE node_index NOT BETWEEN 0 AND {_TOP}) AS range, (SELECT count(*) FROM k WHERE NOT coalesce(snapshot_id BETWEEN 0 AND {_LAST}, false)) AS snapshots, (SELECT count(*) FROM k WHERE created_at_utc IS NULL) AS times, (SELECT count(*) FROM k WHERE exclusion_reason IS NOT NULL) AS reasons, "
     "(SELECT count(*) FROM r WHERE s IN ('excluded', 'rejected') AND exclusion_reason IS NULL) AS unexplained, (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY source_file, source_row_number HAVING count(*) > 1)) AS repeated) "
@@ -206,7 +206,7 @@ def repeats_by_scope(spark, d):
 
 @query(
     f"WITH {EDGES}, s AS (SELECT DISTINCT snapshot_id, src_index AS node_index FROM e UNION SELECT DISTINCT snapshot_id, dst_index FROM e), "
-    f"g AS (SELECT * FROM s UNION SELECT DISTINCT snapshot_id, node_index FROM normalized_records WHERE lower(trim(record_status)) = 'retained' AND NOT {_BLANK('text_normalized')} AND snapshot_id IS NOT NULL AND node_index IS NOT NULL), "
+    f"g AS (SELECT * FROM s UNION SELECT DISTINCT snapshot_id, node_index FROM normalized_records WHERE lower({_T('record_status')}) = 'retained' AND NOT {_BLANK('text_normalized')} AND snapshot_id IS NOT NULL AND node_index IS NOT NULL), "
     "b AS (SELECT g.*, s.node_index IS NOT NULL AS l FROM g LEFT JOIN s ON s.snapshot_id = g.snapshot_id AND s.node_index = g.node_index) "
     "SELECT b.snapshot_id, count(*) AS eligible, count(*) FILTER (b.l) AS labelled, round(count(*) FILTER (b.l) / count(*), 6) AS share, count(*) FILTER (b.l AND coalesce(p.l, false)) AS pairs FROM b LEFT JOIN b p ON p.snapshot_id = b.snapshot_id - 1 AND p.node_index = b.node_index GROUP BY 1"
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions import hashing, times
 from tidegraph.functions.ids import account_id, tweet_id, tweet_id_error
-from tidegraph.functions.text import normalized_text
+from tidegraph.functions.text import normalized_text, plain_status
 from tidegraph.operators import diagnostics, drift, graph, profile, records, selection, validate
 from tidegraph.operators.skew import account_key
 from tidegraph.plans.dealt import CELLS, INSTANTS
@@ -55,7 +55,7 @@ def tweets(spark, d):
 def plain_records(spark, d):
     """Records with their status in its plain spelling."""
     r = table(spark, d, "normalized_records")
-    return r.withColumn("record_status", F.lower(F.trim("record_status")))
+    return r.withColumn("record_status", plain_status(F.col("record_status")))
 
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]"
@@ -76,7 +76,7 @@ EDGES = EVENTS + """,
 e AS (SELECT snapshot_id, relation_id, source_idx AS src_index, target_idx AS dst_index, count(DISTINCT signature) AS count_raw, ln(1 + count(DISTINCT signature)) AS weight_log1p FROM ev WHERE source_idx <> target_idx GROUP BY ALL)"""
 TWEETS = """,
 tw AS (SELECT CAST(snapshot_id AS INTEGER) AS snapshot_id, source_idx AS node_index, count(*) AS tweet_count FROM (SELECT DISTINCT source_file, source_row_number, snapshot_id, source_idx FROM x WHERE source_idx IS NOT NULL AND snapshot_id IS NOT NULL) GROUP BY ALL)"""
-RECORDS = """r AS (SELECT * REPLACE (lower(trim(record_status)) AS record_status) FROM normalized_records)"""
+RECORDS = f"r AS (SELECT * REPLACE (lower({_T('record_status')}) AS record_status) FROM normalized_records)"
 _DEGREES = """,
 dg AS (SELECT snapshot_id, relation_id, node_index, count(*) FILTER (o) AS out_degree, count(*) FILTER (NOT o) AS in_degree, CAST(coalesce(sum(count_raw) FILTER (o), 0) AS BIGINT) AS out_strength, CAST(coalesce(sum(count_raw) FILTER (NOT o), 0) AS BIGINT) AS in_strength
   FROM (SELECT snapshot_id, relation_id, src_index AS node_index, true AS o, count_raw FROM e UNION ALL SELECT snapshot_id, relation_id, dst_index, false, count_raw FROM e) GROUP BY ALL)"""
@@ -154,7 +154,7 @@ def node_map_gate(spark, d):
     return validate.node_map_gate(nodes(spark, d))
 
 
-_RECON = f"WITH {RECORDS}, g AS (SELECT trim(author_account_id) AS account_id, count(*) AS rows, count(*) FILTER (record_status = 'retained') AS retained FROM r WHERE author_account_id IS NOT NULL GROUP BY 1) "
+_RECON = f"WITH {RECORDS}, g AS (SELECT {_T('author_account_id')} AS account_id, count(*) AS rows, count(*) FILTER (record_status = 'retained') AS retained FROM r WHERE {_T('author_account_id')} IS NOT NULL GROUP BY 1) "
 
 
 @query(_RECON + "SELECT g.account_id, rows, retained, node_index, node_index IS NOT NULL AS matched FROM g LEFT JOIN node_universe n ON n.account_id = g.account_id")
@@ -482,7 +482,7 @@ def coverage_ladder(spark, d):
 
 
 _COVER = f"""WITH {EDGES}, cal AS ({_CAL}), s AS (SELECT DISTINCT snapshot_id, src_index AS node_index FROM e UNION SELECT DISTINCT snapshot_id, dst_index FROM e),
-t AS (SELECT DISTINCT snapshot_id, node_index FROM normalized_records WHERE lower(trim(record_status)) = 'retained' AND NOT {_BLANK('text_normalized')} AND snapshot_id IS NOT NULL AND node_index IS NOT NULL),
+t AS (SELECT DISTINCT snapshot_id, node_index FROM normalized_records WHERE lower({_T('record_status')}) = 'retained' AND NOT {_BLANK('text_normalized')} AND snapshot_id IS NOT NULL AND node_index IS NOT NULL),
 f AS (SELECT coalesce(s.snapshot_id, t.snapshot_id) AS snapshot_id, s.node_index IS NOT NULL AS s, t.node_index IS NOT NULL AS t FROM s FULL JOIN t ON s.snapshot_id = t.snapshot_id AND s.node_index = t.node_index),
 g AS (SELECT snapshot_id, count(*) FILTER (s AND NOT t) AS so, count(*) FILTER (t AND NOT s) AS tt, count(*) FILTER (s AND t) AS b, count(*) AS a FROM f GROUP BY 1)
 SELECT cal.snapshot_id, label, coalesce(so, 0) AS structure_only, coalesce(tt, 0) AS text_only, coalesce(b, 0) AS "both", coalesce(a, 0) AS active, round(coalesce(a, 0) / 4000.0, 6) AS active_share FROM cal LEFT JOIN g ON g.snapshot_id = cal.snapshot_id"""

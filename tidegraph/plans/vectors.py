@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES, RELATIONS
 from tidegraph.functions.vectors import norm, truncated_unit
 from tidegraph.operators import graph, model, pooling, validate
-from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _X, edges_of, events, tweets
+from tidegraph.operators.skew import account_key
+from tidegraph.plans.core import EDGES, TWEETS, _DEGREES, _T, _X, edges_of, events, tweets
 from tidegraph.session import shared_dir, written
 from tidegraph.sources.tables import table
 from tidegraph.streaming import ingest
@@ -262,7 +263,7 @@ def conductance(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT trim(author_account_id) AS a FROM normalized_records WHERE author_account_id IS NOT NULL), n AS (SELECT node_index % 7 AS u, (node_index // 3) % 5 AS v FROM node_universe WHERE account_id IN (FROM b)),
+    """WITH b AS (SELECT DISTINCT """ + _T('author_account_id') + """ AS a FROM normalized_records WHERE author_account_id IS NOT NULL), n AS (SELECT node_index % 7 AS u, (node_index // 3) % 5 AS v FROM node_universe WHERE account_id IN (FROM b)),
 c AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS n FROM n GROUP BY ALL), r AS (SELECT u, sum(n) AS a FROM c GROUP BY 1), k AS (SELECT v, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS n FROM c),
 mi AS (SELECT sum(c.n / t.n * ln(c.n * t.n / (a * b))) AS mi, sum(c.n * (c.n - 1) / 2) AS pairs FROM c JOIN r USING (u) JOIN k USING (v), t), hu AS (SELECT -sum(a / n * ln(a / n)) AS h FROM r, t), hv AS (SELECT -sum(b / n * ln(b / n)) AS h FROM k, t),
 lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS l FROM t, LATERAL range(CAST(t.n AS BIGINT) + 1) g(i)),
@@ -274,7 +275,7 @@ SELECT t.n, round(hu.h, 6) AS entropy_u, round(hv.h, 6) AS entropy_v, round(mi,
 )
 def partition_agreement(spark, d):
     """Entropies, mutual information, NVI, AMI and ARI of two partitions of the recorded authors."""
-    seen = table(spark, d, "normalized_records").select(F.trim("author_account_id").alias("account_id")).distinct()
+    seen = table(spark, d, "normalized_records").select(account_key(F.col("author_account_id")).alias("account_id")).distinct()
     n = table(spark, d, "node_universe").join(seen, "account_id", "left_semi")
     a = n.select("node_index", (F.col("node_index") % 7).alias("community"))
     b = n.select("node_index", (F.floor(F.col("node_index") / 3) % 5).alias("community"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -49,6 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    """What this process wrote goes when it ends, as far as its session still runs then."""
+    session = SparkSession.getActiveSession() if _WRITTEN else None
+    if session is not None:
+        try:
+            release(session)
+        except Exception:  # noqa: BLE001 - the session is ending; what is left is in the folder named for it
+            pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
