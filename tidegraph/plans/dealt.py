@@ -151,8 +151,12 @@ rt AS (SELECT z.* FROM z ANTI JOIN k1 ON k1.source_file = z.af AND k1.name = z.a
 ct AS (SELECT {_PLAIN('column_name')} AS key, min(column_name) AS kept FROM schema_registry GROUP BY 1),
 c0 AS (SELECT rt.source_file, rt.name, coalesce(kept, an) AS canonical, place FROM rt LEFT JOIN ct ON ct.key = {_PLAIN('an')} JOIN p ON p.source_file = rt.source_file AND p.name = rt.name),
 cn AS (SELECT source_file, name, CASE WHEN row_number() OVER (PARTITION BY source_file, canonical ORDER BY CAST(name <> canonical AS INTEGER), place, name) = 1 THEN canonical ELSE name END AS canonical FROM c0)"""
-SQL["p2_alternatives"] = _CANONICAL + """
-SELECT a.feed_id, canonical, a.type, CAST(sum(a.n) AS BIGINT) AS "values", count(DISTINCT a.source_file) AS files, min(a.file_seq) AS first_seq FROM n a JOIN cn ON cn.source_file = a.source_file AND cn.name = a.name WHERE a.type IS NOT NULL GROUP BY 1, 2, 3
+SQL["p2_alternatives"] = _CANONICAL + """,
+nt AS (SELECT DISTINCT k.rn, k.feed_id, k.file_seq, k.source_file, k.name, replace(regexp_replace(substr(j.fullkey, 2), '\\[\\d+\\]', '[]', 'g'), '"', '') AS path,
+  CASE j.type WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'fraction' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'integer' END AS type
+  FROM (SELECT *, row_number() OVER () AS rn FROM k WHERE type IN ('object', 'array')) k, json_tree(k.x) j WHERE j.fullkey <> '$'),
+tp AS (SELECT feed_id, file_seq, source_file, name, '' AS path, type, n FROM n UNION ALL SELECT feed_id, file_seq, source_file, name, path, type, count(*) FROM nt GROUP BY ALL)
+SELECT a.feed_id, canonical || a.path AS canonical, a.type, CAST(sum(a.n) AS BIGINT) AS "values", count(DISTINCT a.source_file) AS files, min(a.file_seq) AS first_seq FROM tp a JOIN cn ON cn.source_file = a.source_file AND cn.name = a.name WHERE a.type IS NOT NULL GROUP BY 1, 2, 3
 """
 # The contract's columns, which SQL has to name.
 _CONTRACT = {c: "string" for c in ("id", "created_at", "user", "text")} | {c: "integer" for c in ("likes", "retweets", "reply_count", "quoted_count", "bookmarks", "views")}
