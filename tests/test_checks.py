@@ -97,6 +97,14 @@ def test_privacy_and_roles():
     assert graph.graph_name("9 odd-name" + "x" * 99) == ("g_9_odd_name" + "x" * 99)[:63]
 
 
+def test_adapters_by_name():
+    from tidegraph.sources.adapters import adapter
+
+    assert adapter("graph_sheet") is graph.sheet_interactions
+    with pytest.raises(ValueError, match="event_table, graph_sheet, text_sheet"):
+        adapter("other")
+
+
 def test_snapshot_order(spark):
     rows = [(0, "2020-01-01", "2020-04-01"), (1, "2020-04-01", "2020-07-01"), (3, "2020-10-01", "2021-01-01"), (3, "2020-10-01", "2021-01-01"), (4, "2021-02-01", "2021-04-01")]
     df = spark.createDataFrame(rows, "snapshot_id int, start string, end string").selectExpr("snapshot_id", "date(start) start", "date(end) end")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tidegraph.config import DEFAULT, FEATURES
 from tidegraph.operators import diagnostics, graph, model, pooling, profile, records, selection, validate
 from tidegraph.plans import core, vectors
-from tidegraph.plans.core import _BLANK, _GROUPS, _NODE_UNITS, _T, EDGES, EVENTS, TWEETS, _DEGREES, _EVENT_UNITS, _X, edges_of, events, nodes, tweets
+from tidegraph.plans.core import _BLANK, _GROUPS, _NODE_UNITS, _T, EDGES, EVENTS, INTERACTIONS, TWEETS, _DEGREES, _EVENT_UNITS, _X, edges_of, events, nodes, tweets
 from tidegraph.session import shared_dir, written
 from tidegraph.sources import files, readers, sinks
+from tidegraph.sources.adapters import adapter
 from tidegraph.sources.tables import table
 
 QUERIES = {}
@@ -78,6 +79,31 @@ def insert_events_twice(spark, d):
     return spark.read.parquet(at).select(*e.columns)
 
 
+def _sheet(spark, d):
+    """The events as rows of a graph sheet: users and targets inside of the objects such a sheet has, times in seconds."""
+    i = core.interactions(spark, d)
+    blob = lambda c: F.concat(F.lit("{'id': "), c, F.lit(", 'username': None}"))
+    target = F.col("target_account_id")
+    inside = lambda relation: F.when(F.col("relation_id") == relation, F.concat(F.lit("{'id': 'x', 'user': "), blob(target), F.lit("}")))
+    return i.select(
+        "source_file", "source_row_number", F.unix_seconds(F.col("created").cast("timestamp")).cast("string").alias("created_at"), blob(F.col("author_account_id")).alias("user"), F.col("cleaned_text").alias("text"),
+        F.when(F.col("relation_id") == 0, F.concat(F.lit("["), blob(target), F.lit("]"))).alias("user_mentions"), inside(1).alias("retweeted_status"), inside(2).alias("reply_status"), inside(3).alias("quoted_status"),
+    )
+
+
+@query(f"WITH {INTERACTIONS} SELECT CASE reason WHEN 'invalid_relation' THEN 'no_relation_target' ELSE reason END AS reason, count(*) AS rows FROM l GROUP BY 1")
+def sheet_ladder_counts(spark, d):
+    """What becomes of the events when they come as rows of a graph sheet, through the adapter of that form."""
+    return graph.ladder_counts(adapter("graph_sheet")(_sheet(spark, d)), nodes(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT snapshot_id, relation_id, src_index, dst_index, count(*) AS rows FROM (SELECT CAST(snapshot_id AS INTEGER) AS snapshot_id, relation_id, source_idx AS src_index, target_idx AS dst_index FROM l WHERE reason = 'event') GROUP BY ALL")
+def sheet_links(spark, d):
+    """The links of a graph sheet: how many of its rows lead from one node to another, by quarter and relation."""
+    i = graph.indexed(adapter("graph_sheet")(_sheet(spark, d)), nodes(spark, d)).where(graph.ladder() == "event")
+    return i.groupBy("snapshot_id", "relation_id", F.col("source_idx").alias("src_index"), F.col("target_idx").alias("dst_index")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 # -- gates -------------------------------------------------------------------------------------------
 
 _BROKEN = " OR ".join(f"{f} IS NULL OR isnan({f}) OR isinf({f})" for f in FEATURES)
