@@ -105,6 +105,12 @@ def test_adapters_by_name():
         adapter("other")
 
 
+def test_weighted_loss(spark):
+    one = lambda x: spark.createDataFrame([(x,)], "loss double")
+    r = model.weighted_loss({"a": (2.0, one(1.5)), "b": (0.5, one(None)), "c": (1.0, one(0.25))}).first()
+    assert (r.a, r.b, r.c, r.total) == (1.5, None, 0.25, 3.25)
+
+
 def test_snapshot_order(spark):
     rows = [(0, "2020-01-01", "2020-04-01"), (1, "2020-04-01", "2020-07-01"), (3, "2020-10-01", "2021-01-01"), (3, "2020-10-01", "2021-01-01"), (4, "2021-02-01", "2021-04-01")]
     df = spark.createDataFrame(rows, "snapshot_id int, start string, end string").selectExpr("snapshot_id", "date(start) start", "date(end) end")

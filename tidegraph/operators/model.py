@@ -188,6 +188,17 @@ def bce_with_logits(logit: Column, label: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit)))
 
 
+def weighted_loss(parts: dict[str, tuple[float, DataFrame]]) -> DataFrame:
+    """One row: each part's loss and ``total``, their weighted sum; a part is a table of one row and one column. A part without a value counts as nothing."""
+    names = list(parts)
+    one = None
+    for name in names:
+        row = parts[name][1].toDF(name)
+        one = row if one is None else one.join(row, F.lit(True))
+    terms = [F.lit(float(parts[n][0])) * F.coalesce(F.col(n), F.lit(0.0)) for n in names]
+    return one.select(*names, sum(terms[1:], terms[0]).alias("total"))
+
+
 def semantic_loss(df: DataFrame, a: str, b: str, mask: str) -> DataFrame:
     """Mean of 1 - cosine over masked rows, 0 if there are none: one row."""
     return df.agg(F.coalesce(F.avg(F.when(F.col(mask), 1 - cosine(F.col(a), F.col(b)))), F.lit(0.0)).alias("loss"))

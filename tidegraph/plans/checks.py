@@ -335,3 +335,15 @@ def kmeans_clusters(spark, d):
     best = model.kmeans(u, "vec_id", "embedding", 10, restarts=3)
     near = model._nearest(u.where("embedding is not null"), "vec_id", "embedding", best["centres"])
     return near.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("d"), 6).alias("mean_square_distance"))
+
+
+_WEIGHTS = {"structural_bce": 1.0, "cluster_kl": 0.1, "semantic_loss": 0.5, "proto_separation": 0.05}
+
+
+@query(
+    "WITH p AS (SELECT " + ", ".join(f"({vectors.SQL[n]}) AS {n}" for n in _WEIGHTS) + ") SELECT *, round(" + " + ".join(f"{w} * {n}" for n, w in _WEIGHTS.items()) + ", 5) AS total FROM p"
+)
+def weighted_loss(spark, d):
+    """The losses of structure, clusters, meaning and prototypes, and their weighted sum."""
+    parts = {n: (w, vectors.QUERIES[n](spark, d)) for n, w in _WEIGHTS.items()}
+    return model.weighted_loss(parts).withColumn("total", F.round("total", 5))
